@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, secrets
+from . import bpe, langid, mixing, secrets, topk
 from .common import table
 
 
@@ -32,11 +32,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
+    "op9_top_k": op9_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
