@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, secrets, topk
+from . import bpe, langid, mixing, secrets, syncmers, topk
 from .common import table
 
 
@@ -36,12 +36,17 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
     "op9_top_k": op9_top_k,
+    "op10_syncmers": op10_syncmers,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
