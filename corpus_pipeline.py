@@ -5,10 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from girthline.llm import bpe, jaccard, langid, mixing, secrets
+from girthline.llm.common import crc_fold, written
+from girthline.llm.queries import tokenizer_path
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which language identification finds a language; those without a letter, or without text, go.
+
+    The profiles learn from the labelled documents outside fold 2 of 4, as in the operator's own query.
+    """
+    labelled = docs.where(crc_fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.train(labelled), names=("_pipeline_lang", "_pipeline_score"))
+    return found.where("_pipeline_lang <> 'und'").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: the one with the smallest id, once even if its row repeats.
+    Rows without id can't be linked and stay."""
+    found = jaccard.classes(docs)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret masked."""
+    return secrets.redacted(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document of the mix, repeats included."""
+    return bpe.encode(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each_group),
+    ("secrets", without_secrets),
+    ("mixing", mixed),
+    ("bpe", encoded),
+]
+#: Byte-pair encoding can't be expressed in SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

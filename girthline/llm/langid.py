@@ -129,8 +129,8 @@ def train(labelled: DataFrame, top: int = TOP, sample: int = SAMPLE) -> list[tup
     return [(r["lang"], r["gram"], r["rank"]) for r in best.select("lang", "gram", "rank").collect()]
 
 
-def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TOP) -> DataFrame:
-    """All columns of `docs` and lang_pred, score.
+def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TOP, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of `docs` and two more, `names`: the language and the score.
 
     score is 1 less the mean out-of-place distance to the best language as a share of the largest (`top`, which a
     gram outside the profile counts). Ties go to the first language in code-point order. Text that is null or has no
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             pred, score = [], []
             for part in groups(texts):
                 doc, gram, n, letters = grams(texts[part])
@@ -162,11 +162,10 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TO
                 pred += [langs[b] if k else "und" for b, k in zip(best.tolist(), ok.tolist())]
                 score += np.where(ok, np.clip(1 - far / top, 0, 1), 0.0).tolist()
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], *names])
 
-    kept = docs.drop("lang_pred", "score")
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
-    return kept.withColumn("_text", F.col("text")).mapInArrow(run, schema)
+    schema = docs.limit(0).schema.add(names[0], "string").add(names[1], "double")
+    return docs.select("*", F.col("text").alias("_langid_text")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

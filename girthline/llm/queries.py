@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, lm_scoring, mixing, secrets, syncmers, topk
+from . import bpe, jaccard, langid, lm_scoring, mixing, packing, secrets, syncmers, topk, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages"))))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -51,12 +59,14 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
     "op4_jaccard": op4_jaccard,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
+    "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_top_k": op9_top_k,
     "op10_syncmers": op10_syncmers,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL}
