@@ -12,7 +12,8 @@ Nothing of quadratic size is made for a group of copies:
    A document with too few shared tokens has no partner and is done.
 2. Each class is compared with few anchors, the same for all that share prefix tokens, and the links found so far make
    components.
-3. Only pairs of different components are left to compare; all of them that pass the filters under every order are.
+3. Only pairs of different components are left to compare, and all that pass the filters under every order are: those
+   in short posting lists as rows, those in long ones in blocks inside a task, of which only links leave it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from .tokens import mix, ngrams, portions, word_hashes
 WORDS, PERCENT = 5, 80
 #: Token orders, and anchors that a class is compared with in a round of step 2.
 ORDERS, ANCHORS, ROUNDS = 3, 2, 2
+#: Longest posting list whose pairs become rows; longer ones are compared in blocks of this many sets.
+LIGHT, BLOCK = 32, 512
 #: Text that a batch holds, text for each hash bucket, and the least number of buckets (a token's hash has 32 bits more).
 BATCH_CHARS, BATCH_DOCS, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 8000, 2_000_000, 256
 
@@ -132,16 +136,26 @@ def gather(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return back.groupBy("batch").applyInArrow(assemble, "doc_id long, n long, sig1 long, sig2 long, tokens binary, dfs binary")
 
 
-def order_of(tokens: np.ndarray, dfs: np.ndarray, k: int) -> np.ndarray:
-    """Places of a set's tokens in global order k: rare tokens first, by doubling of frequency, then by a hash."""
-    rare = np.log2(dfs).astype(np.int64)
-    return np.lexsort((mix(tokens, np.full(len(tokens), k, np.uint64)), rare))
+def shrink(tokens: np.ndarray, dfs: np.ndarray) -> bytes:
+    """Sorted tokens and the doubling of each one's frequency, compressed by byte planes."""
+    order = np.argsort(tokens)
+    planes = np.diff(tokens[order], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + np.log2(dfs[order]).astype(np.uint8).tobytes())
 
 
-def prefix(tokens: np.ndarray, dfs: np.ndarray, n: int, k: int, percent: int) -> np.ndarray:
-    """Prefix tokens under order k. Tokens that nothing else holds come first in every order, so they only shorten it."""
+def grow(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n = len(raw) // 9
+    return np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64), raw[8 * n :]
+
+
+def prefix(tokens: np.ndarray, rare: np.ndarray, n: int, k: int, percent: int) -> np.ndarray:
+    """Prefix tokens under global order k: rare tokens first, by doubling of frequency, then by a hash.
+
+    Tokens that nothing else holds come first in every order, so they only shorten the prefix.
+    """
     length = n - least_shared(n, percent) + 1 - (n - len(tokens))
-    return tokens[order_of(tokens, dfs, k)[: max(0, length)]]
+    return tokens[np.lexsort((mix(tokens, np.full(len(tokens), k, np.uint64)), rare))[: max(0, length)]]
 
 
 def postings(active: DataFrame, k: int, percent: int) -> DataFrame:
@@ -150,12 +164,12 @@ def postings(active: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, n = b.column("node").to_numpy(), b.column("n").to_numpy()
-            found = [prefix(np.frombuffer(t, np.uint64), np.frombuffer(d, "<u4"), m, k, percent) for t, d, m in zip(b.column("tokens").to_pylist(), b.column("dfs").to_pylist(), n.tolist())]
+            found = [prefix(*grow(t), m, k, percent) for t, m in zip(b.column("tokens").to_pylist(), n.tolist())]
             size = [len(x) for x in found]
             if sum(size):
                 yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(found).view(np.int64)), "node": pa.array(np.repeat(node, size)), "n": pa.array(np.repeat(n, size))})
 
-    return active.select("node", "n", "tokens", "dfs").mapInArrow(run, "token long, node long, n long")
+    return active.select("node", "n", "tokens").mapInArrow(run, "token long, node long, n long")
 
 
 def verified(pairs: DataFrame, active: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -164,19 +178,91 @@ def verified(pairs: DataFrame, active: DataFrame, percent: int, orders: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            cols = [batch.column(c).to_pylist() for c in ("n_a", "tokens_a", "dfs_a", "n_b", "tokens_b", "dfs_b")]
-            for i, (na, ta, da, nb, tb, db) in enumerate(zip(*cols)):
-                ta, tb = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
-                da, db = np.frombuffer(da, "<u4"), np.frombuffer(db, "<u4")
-                if all(len(np.intersect1d(prefix(ta, da, na, k, percent), prefix(tb, db, nb, k, percent), True)) for k in range(orders)):
+            cols = [batch.column(c).to_pylist() for c in ("n_a", "tokens_a", "n_b", "tokens_b")]
+            for i, (na, a, nb, b) in enumerate(zip(*cols)):
+                (ta, ra), (tb, rb) = grow(a), grow(b)
+                if all(len(np.intersect1d(prefix(ta, ra, na, k, percent), prefix(tb, rb, nb, k, percent), True)) for k in range(orders)):
                     both = len(np.intersect1d(ta, tb, True))
                     keep[i] = 100 * both >= percent * (na + nb - both)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    side = lambda s: active.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("dfs").alias(f"dfs_{s}"))
+    side = lambda s: active.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence matrices of `width` tokens at a time."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    if not m:
+        return out
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    _, which, n = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    shared = n[which] > 1
+    column, owner = place[which[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        s = slice(*np.searchsorted(column, [at, at + width]))
+        part = np.zeros((m, width), np.float32)
+        part[owner[s], column[s] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def forest(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the symmetric mask connects."""
+    seen, out = np.zeros(len(mask), bool), []
+    for root in range(len(mask)):
+        if seen[root]:
+            continue
+        seen[root], todo = True, [root]
+        while todo:
+            i = todo.pop()
+            near = np.flatnonzero(mask[i] & ~seen).tolist()
+            seen[near] = True
+            out += [(i, j) for j in near]
+            todo += near
+    return out
+
+
+def block_links(lists: DataFrame, active: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Links inside long posting lists (token, node, n, comp, m), enough to connect what all of them connect.
+
+    A list is cut into blocks of bounded size, and each pair of blocks is one group: the filters of all orders are
+    intersected as matrices, what remains is verified by exact overlaps, and only links of a spanning forest leave the
+    task, so no row is made for a pair.
+    """
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = lists.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = own.withColumn("other", other).select("token", "node", "n", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rows = dealt.join(active.select("node", "tokens"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, n, comp, own = (table.column(c).to_numpy() for c in ("node", "n", "comp", "own"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sets = [grow(t) for t in table.column("tokens").to_pylist()]
+        ok = comp[:, None] != comp[None, :]
+        ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        if lo != hi:
+            ok &= own[:, None] != own[None, :]
+        for k in range(orders):
+            if ok.any():
+                ok &= overlaps([prefix(t, r, int(m), k, percent) for (t, r), m in zip(sets, n)]) > 0
+        edges = []
+        if ok.any():
+            used = np.flatnonzero(ok.any(1))
+            both = overlaps([sets[i][0] for i in used])
+            union = n[used][:, None] + n[used][None, :] - both
+            linked = ok[np.ix_(used, used)] & (100 * both >= percent * union)
+            edges = [(int(node[used[i]]), int(node[used[j]])) for i, j in forest(linked)]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return rows.groupBy("token", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, comp: the smallest node that each node of `edges` (a, b) reaches.
 
@@ -201,7 +287,7 @@ def size_ok(a: str, b: str, percent: int):
 
 
 def links(active: DataFrame, percent: int = PERCENT, orders: int = ORDERS, anchors: int = ANCHORS, rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) between sets (node, n, tokens, dfs) with the components of all pairs that reach the threshold."""
+    """Links (a, b) between sets (node, n, tokens) with the components of all pairs that reach the threshold."""
     edges, comps = None, None
 
     def with_comp(df: DataFrame) -> DataFrame:
@@ -221,18 +307,17 @@ def links(active: DataFrame, percent: int = PERCENT, orders: int = ORDERS, ancho
         edges = found if edges is None else edges.unionByName(found)
         comps = components(edges)
 
-    def crossing(k: int) -> DataFrame:
-        posts = with_comp(postings(active, k, percent))
-        mixed = posts.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
-        p = written(posts.join(mixed, "token", "left_semi"), "crossing")
-        a = p.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        b = p.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_ok("na", "nb", percent)).select("a", "b").distinct()
-
-    pairs = crossing(0)
-    for k in range(1, orders):
-        pairs = pairs.join(crossing(k), ["a", "b"], "left_semi")
-    return edges.unionByName(verified(written(pairs, "candidates"), active, percent, orders))
+    # What is left: lists of the first order's prefixes that still hold several components. Lists of the same sets,
+    # as the tokens of one passage have them, are worked on once.
+    posts = written(with_comp(postings(active, 0, percent)), "postings")
+    lists = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+    lists = lists.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
+    left = written(posts.join(lists, "token"), "crossing")
+    light = left.where(F.col("m") <= LIGHT)
+    side = lambda s: light.select("token", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("comp").alias(f"c{s}"))
+    pairs = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_ok("na", "nb", percent)).select("a", "b").distinct()
+    edges = edges.unionByName(verified(written(pairs, "candidates"), active, percent, orders))
+    return edges.unionByName(block_links(left.where(F.col("m") > LIGHT), active, percent, orders))
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -252,17 +337,17 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Drop the tokens that only copies hold; drop sets that then can't have a partner."""
         for b in batches:
-            keep, tokens, dfs = [], [], []
+            keep, tokens = [], []
             for t, d, n, c in zip(*(b.column(x).to_pylist() for x in ("tokens", "dfs", "n", "copies"))):
                 d = np.frombuffer(d, "<u4")
                 more = d > c
                 keep.append(bool(more.sum() >= least_shared(n, percent)))
                 if keep[-1]:
-                    tokens.append(np.frombuffer(t, np.uint64)[more].tobytes()), dfs.append(d[more].tobytes())
+                    tokens.append(shrink(np.frombuffer(t, np.uint64)[more], d[more]))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("node").filter(keep), b.column("n").filter(keep), pa.array(tokens, pa.binary()), pa.array(dfs, pa.binary())], names=["node", "n", "tokens", "dfs"])
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(keep), b.column("n").filter(keep), pa.array(tokens, pa.binary())], names=["node", "n", "tokens"])
 
-    active = written(shared.select("node", "n", "copies", "tokens", "dfs").mapInArrow(others, "node long, n long, tokens binary, dfs binary"), "active")
+    active = written(shared.select("node", "n", "copies", "tokens", "dfs").mapInArrow(others, "node long, n long, tokens binary"), "active")
     # Classes whose first ids are the same row id are one document already.
     comps = components(links(active, percent).unionByName(same.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))))
     found = same.join(comps.select("node", "comp"), "node", "left").select("sig1", "sig2", F.coalesce("comp", "node").alias("component_id"))
