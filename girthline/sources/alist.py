@@ -20,7 +20,7 @@ def read(spark: SparkSession, path: str, columns_first: bool = True, checked: bo
 
     The degree lines may be missing. With `checked`, degrees, their largest values and both sides' lists must agree.
     """
-    x = lines(spark, path).cache()
+    x = lines(spark, path)
     head = {r["no"]: r["xs"] for r in x.where("no < 4").collect()}
     first, second = head[0]
     degrees = len(head.get(2, [])) == first and len(head.get(3, [])) == second
