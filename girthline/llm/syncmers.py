@@ -13,8 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
 #: Characters of a k-mer and of its inner s-mers; a k-mer holds 8 of these (the doubling below fixes that number).
 S = 6
 K = S + 7
@@ -29,14 +27,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def short(h: Column) -> Column:
+    """31 bits of a 64-bit hash."""
+    return F.shiftrightunsigned(h, 33).cast("int")
+
+
 def anchors(text: Column) -> Column:
-    """Closed syncmers of a text: array of (pos, hash), pos in code points from 0, hash of 32 bits."""
+    """Closed syncmers of a text: array of (pos, hash), pos in code points from 0, hash of 31 bits."""
     mins = lambda a, step: let(a, lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), lambda p, q: F.least(p, q)))
 
     def of(h: Column) -> Column:
         # The last 7 windows are not whole; their minima mix in fewer hashes and are cut off.
         low = F.slice(mins(mins(mins(h, 1), 2), 4), F.lit(1), F.greatest(F.size(h) - 7, F.lit(0)))
-        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.struct(i.alias("pos"), F.shiftrightunsigned(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7)), 32).alias("hash")))
+        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.struct(i.alias("pos"), short(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))).alias("hash")))
         return F.filter(F.transform(low, mark), lambda a: a.isNotNull())
 
     smers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), 1)
@@ -45,8 +48,8 @@ def anchors(text: Column) -> Column:
 
 def sketch(hashes: Column, whole: Column) -> Column:
     """The smallest distinct hashes, sorted; a text without anchors has one: its whole. The empty text has none."""
-    some = let(hashes, lambda h: F.when(F.size(h) > 0, h).when(whole != "", F.array(F.shiftrightunsigned(F.xxhash64(whole), 32))).otherwise(F.array().cast("array<bigint>")))
-    return F.slice(F.array_sort(F.array_distinct(some)), F.lit(1), F.lit(SKETCH))
+    some = let(hashes, lambda h: F.when(F.size(h) > 0, h).when(whole != "", F.array(short(F.xxhash64(whole)))).otherwise(F.array().cast("array<int>")))
+    return F.slice(F.sort_array(F.array_distinct(some)), F.lit(1), F.lit(SKETCH))
 
 
 def as_text(found: Column) -> Column:
@@ -55,7 +58,7 @@ def as_text(found: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimate of the Jaccard similarity of the anchor sets of two sketches; two empty ones are alike."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), F.lit(1), F.lit(SKETCH))
+    union = F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), F.lit(SKETCH))
     shared = let(F.array_intersect(a, b), lambda both: F.size(F.array_intersect(union, both)))
     return F.when(F.size(union) == 0, 1.0).otherwise(shared / F.size(union)).cast("double")
 
@@ -77,7 +80,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document by ascending doc_id; the last document's next is the first. The anchors of the edited text are those of
-    its two parts and those of the seam, so no part of a text is searched twice.
+    its two parts and those of the seam, so no part of a text is searched twice and texts are shuffled once.
 
     Null text is the empty text. Documents with equal ids follow each other by text; a row without id comes after all
     others, so that its next is the first document, and is no document's next (with no ids at all, nothing follows).
@@ -91,30 +94,32 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     lo, width = float(facts["lo"] or 0), max(1.0, (float(facts["hi"] or 0) - float(facts["lo"] or 0) + 1) / max(1, facts["n"]) * NEIGHBOURS)
     place = F.floor((F.col("doc_id").cast("double") - F.lit(lo)) / F.lit(width)).cast("long")
     bucket = F.when(F.col("doc_id").isNotNull(), place).otherwise(F.lit(-1).cast("long") - F.pmod(F.xxhash64(text), F.lit(1024)))
-    rows = docs.select("doc_id", text.alias("text"), bucket.alias("bucket"))
+    # Not null, or Spark would filter each use of the exchange below differently and shuffle the texts again.
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce(bucket, F.lit(0).cast("long")).alias("bucket"))
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    seen = rows.withColumn("at", F.row_number().over(order)).withColumn("next", F.when(F.col("bucket") >= 0, F.lead("text").over(order)))
+    lead = lambda c: F.when(F.col("bucket") >= 0, F.lead(c).over(order))
+    seen = rows.withColumn("at", F.row_number().over(order)).withColumn("next", lead("text")).withColumn("given", F.floor(F.lag(F.length("text")).over(order) / 2).cast("int"))
 
-    # One row a bucket: which comes next. A thousandth of the documents' number, without texts.
+    # Within a bucket each document also sketches what the one before it takes over, and hands it back by the window.
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    hashes = lambda a: F.transform(a, lambda x: x["hash"])
+    low = lambda h: F.slice(F.sort_array(F.array_distinct(h)), F.lit(1), F.lit(SKETCH))
+    upto = lambda own, m: let(m, lambda most: low(hashes(F.filter(own, lambda a: a["pos"] + K <= most))))
+    found = seen.withColumn("s", let(anchors(F.col("text")), lambda own: F.struct(sketch(hashes(own), F.col("text")).alias("own"), upto(own, n - half).alias("kept"), upto(own, F.coalesce("given", F.lit(0))).alias("given"))))
+    kept, added = F.left("text", n - half), F.left("next", half)
+    seam = F.concat(F.right(kept, F.lit(K - 1)), F.left(added, F.lit(K - 1)))
+    row = lambda df: df.select("doc_id", n.cast("long").alias("n_chars"), F.concat(kept, added).alias("edited"), F.col("s.own").alias("sketch"), F.concat("s.kept", "next_given", hashes(anchors(seam))).alias("parts"), "next_sketch")
+    inner = row(found.withColumn("next_sketch", lead("s.own")).withColumn("next_given", lead("s.given")).where("next IS NOT NULL"))
+
+    # The last document of each bucket, and rows without id, look up the next bucket's first. A thousandth of the rows.
     used = docs.select(bucket.alias("bucket")).distinct()
     first = used.where("bucket >= 0").agg(F.min("bucket")).first()[0]
     after = used.withColumn("next_bucket", F.when(F.col("bucket") >= 0, F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.lit(first))).otherwise(F.lit(first)))
-    heads = seen.where("at = 1 AND bucket >= 0").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
-    ends = seen.where("next IS NULL").drop("next").join(after, "bucket").join(heads, "next_bucket", "left")
-    paired = seen.where("next IS NOT NULL").select("doc_id", "bucket", "at", "bucket", (F.col("at") + 1).alias("next_at"), "text", "next").toDF("doc_id", "bucket", "at", "next_bucket", "next_at", "text", "next")
-    paired = paired.unionByName(ends.select("doc_id", "bucket", "at", "next_bucket", F.lit(1).alias("next_at"), "text", F.coalesce("head", F.lit("")).alias("next")))
+    heads = seen.where("at = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
+    ends = seen.where("next IS NULL").drop("next").join(after, "bucket").join(heads, "next_bucket", "left").withColumn("next", F.coalesce("head", F.lit("")))
+    ends = ends.withColumn("s", let(anchors(F.col("text")), lambda own: F.struct(sketch(hashes(own), F.col("text")).alias("own"), upto(own, n - half).alias("kept"))))
+    outer = row(ends.withColumn("next_sketch", sketch(hashes(anchors(F.col("next"))), F.col("next"))).withColumn("next_given", hashes(anchors(added))))
 
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    cut = paired.withColumn("n_chars", n.cast("long")).withColumn("kept", n - half).withColumn("added", F.left("next", half)).drop("next")
-    cut = cut.withColumn("edited", F.concat(F.left("text", F.col("kept")), F.col("added"))).withColumn("own", anchors(F.col("text")))
-    hashes = lambda a: F.transform(a, lambda x: x["hash"])
-    seam = F.concat(F.right(F.left("text", F.col("kept")), F.lit(K - 1)), F.left("added", F.lit(K - 1)))
-    kept = F.filter("own", lambda a: a["pos"] + K <= F.col("kept"))
-    both = F.concat(hashes(kept), hashes(anchors(F.col("added"))), hashes(anchors(seam)))
-    done = cut.select("doc_id", "bucket", "at", "next_bucket", "next_at", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(hashes("own"), F.col("text")).alias("sketch"), sketch(both, F.col("edited")).alias("edited_sketch"))
-    done = written(done, "fingerprints")
-    following = done.select(F.col("bucket").alias("b"), F.col("at").alias("a"), F.col("sketch").alias("next_sketch"))
-    out = done.join(following, (F.col("next_bucket") == F.col("b")) & (F.col("next_at") == F.col("a")), "left")
-    none = F.array().cast("array<bigint>")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.coalesce("next_sketch", none)).alias("near_next"))
+    both = inner.unionByName(outer).withColumn("edited_sketch", sketch(F.col("parts"), F.col("edited")))
+    return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
