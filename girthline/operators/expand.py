@@ -24,11 +24,28 @@ def within(checks: Column, group: Column) -> Column:
     return F.size(F.filter(checks, lambda c: F.array_contains(group, c)))
 
 
+def pairs(neighbours: DataFrame) -> DataFrame:
+    """Cycles of two variables. Pairs are counted by id alone, with a map-side part; only those with two checks in
+    common meet their check lists again, so the wide join of checks stays narrow.
+
+    A start s and a variable v with edge multiplicities p and q at each common check make, over ordered choices of two
+    checks, the sum of p q times the sum of q, less the sum of p q q: for simple edges n (n - 1).
+    """
+    m = neighbours.select("v", F.explode("cs").alias("c")).groupBy("c", "v").agg(F.count("*").alias("m"))
+    s, v = m.select("c", F.col("v").alias("s"), F.col("m").alias("p")), m.select("c", "v", F.col("m").alias("q"))
+    both = s.join(v, "c").where("s < v").groupBy("s", "v").agg(F.sum(F.col("p") * F.col("q")).alias("x"), F.sum("q").alias("y"), F.sum(F.col("p") * F.col("q") * F.col("q")).alias("z"), F.count("*").alias("n"))
+    both = both.where("n >= 2").select("s", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.col("x") * F.col("y") - F.col("z"))).alias("k"))
+    x = both.join(neighbours.select(F.col("v").alias("s"), F.col("cs").alias("scs")), "s").join(neighbours.select("v", "cs"), "v")
+    return x.select(F.array("s", "v").alias("vs"), F.concat("scs", "cs").alias("checks")).selectExpr(*candidate).withColumn("flags", F.lit(SEED_CYCLE))
+
+
 def cycles(adjacency: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
     """Simple cycles of k variables and k different checks, a row for each choice of checks (for k = 2, for each order).
 
     The start is the smallest id; of the two directions (k of 3 and more) the one whose second variable is smaller.
     """
+    if k == 2:
+        return pairs(neighbours)
     start = neighbours.where("dv >= 2")
     x = start.select(F.col("v").alias("s"), F.col("cs").alias("scs"), F.array("v").alias("vs"), F.col("cs").alias("checks"), no_ids().alias("pc"), F.col("cs").alias("cur"))
     for _ in range(k - 1):

@@ -115,6 +115,20 @@ def test_repeated_edges_count(spark):
     assert (x["b"], x["elementary"], x["even"]) == (0, True, [0]) and g.repeated_edges().count() == 1
 
 
+def test_pairs_with_repeated_edges(spark):
+    """Raw pair cycles by walking edges: s to a check, to v, by another edge to another check that s touches."""
+    edges = [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1), (1, 1), (2, 1), (2, 0), (2, 2), (0, 2)]
+    g = Tanner(spark.createDataFrame(edges, "c int, v int"), 3, 3)
+    want = {}
+    for s in range(3):
+        for v in range(s + 1, 3):
+            raw = sum(c2 != c1 and (c2, s) in edges for c1, a in edges if a == s for c, b in edges if c == c1 and b == v for c2, d in edges if d == v)
+            if raw:
+                want[s, v] = raw
+    got = {tuple(r["vs"]): r["raw"] for r in accept.merged(expand.cycles(g.adjacency(), g.neighbours(), 2)).collect()}
+    assert got == want
+
+
 def test_bounds():
     assert bounds_by_size(4, 4, [3], 6) == [0, 0, 0, 3, 4]
     assert bounds_by_size(3, 3, [2, 3], 4) == [0, 0, 2, 3]
