@@ -21,26 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, written
-from .tokens import ngrams, word_hashes
+from .tokens import ngrams, squeeze, unsqueeze, word_hashes
 
 #: Order of the model; folds of the ids' crc32: which one is held out, and which training fold sets the weights.
-ORDER, FOLDS, HELD_OUT, TUNING = 3, 10, 0, 1
+ORDER, FOLDS, HELD_OUT, TUNING = 2, 10, 0, 1
 #: Steps of expectation-maximisation; weights to begin with and for context frequencies that tuning never saw.
 STEPS, PRIOR = 8, 0.5
 #: Frequencies of contexts fall into buckets by doubling.
 LEVELS = 32
-#: Text of a batch and of a hash bucket, in bytes, and the least number of buckets.
-BATCH_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 4_000_000, 64
+#: Text of a batch and of a hash bucket, in bytes, about; buckets are numbered by at least so many bits of a hash.
+BATCH_BYTES, BUCKET_BYTES, LEAST_BITS = 4_000_000, 4_000_000, 6
 #: Hashes that no word has: the end of a text, and what stands before its first word.
 END, START = np.uint64(0xE3D5A1F0C2B49687), np.uint64(0x1B7C93D2E8F60A45)
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those of 255 and more follow as 32-bit integers."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes()
+    """Counts as bytes; those of 255 and more follow as 32-bit integers; compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes())
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(data)
     out = np.frombuffer(data, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(data, "<u4", offset=n)
     return out
@@ -49,7 +50,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 class Batch:
     """The tokens of a batch of texts and its distinct n-grams of each order."""
 
-    def __init__(self, texts: list[str | None], order: int, buckets: int):
+    def __init__(self, texts: list[str | None], order: int, bits: int):
         parts = [word_hashes(t) for t in texts]
         self.size = np.array([len(p) + 1 for p in parts], np.int64)
         pad, end = np.full(order - 1, START), np.array([END])
@@ -57,7 +58,8 @@ class Batch:
         self.first = np.cumsum(self.size) - self.size
         at = np.arange(int(self.size.sum())) + np.repeat((order - 1) * np.arange(1, len(parts) + 1), self.size)
         self.grams = [np.unique(ngrams(seq, j)[at - (j - 1)], return_inverse=True) for j in range(1, order + 1)]
-        edge = lambda g: np.searchsorted(((g >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+        # The highest bits tell the bucket, so a bucket's n-grams are a slice.
+        edge = lambda g: np.append(np.searchsorted(g, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(g))
         self.edges = [edge(g) for g, _ in self.grams]
 
 
@@ -102,12 +104,12 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
     fold's documents the counts without that fold; further rows hold each bucket's share of N and V."""
     facts = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     size = (facts["bytes"] or 0) + 20 * facts["n"]
-    batches, buckets = max(1, -(-size // BATCH_BYTES)), max(LEAST_BUCKETS, size // BUCKET_BYTES)
+    batches, bits = max(1, -(-size // BATCH_BYTES)), max(LEAST_BITS, int(size // BUCKET_BYTES).bit_length())
     fold = crc_fold(F.col("doc_id"), FOLDS)
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold"))
 
     def send(table: pa.Table) -> pa.Table:
-        b = Batch(table.column("text").to_pylist(), order, buckets)
+        b = Batch(table.column("text").to_pylist(), order, bits)
         fold = np.repeat(table.column("fold").to_numpy(), b.size)
         out: dict[str, list] = {"batch": [], "bucket": [], "level": [], "keys": [], "counts": []}
         for j, ((g, which), edge) in enumerate(zip(b.grams, b.edges), 1):
@@ -116,7 +118,7 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
             for k in np.flatnonzero(np.diff(edge)).tolist():
                 s = slice(edge[k], edge[k + 1])
                 out["bucket"].append(k), out["level"].append(j)
-                out["keys"].append(g[s].astype("<u8").tobytes() if j == 1 else (g[s] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+                out["keys"].append(squeeze(g[s] if j == 1 else (g[s] >> np.uint64(32 - bits)).astype("<u4")))
                 out["counts"].append(pack(np.concatenate([train[s], tune[s]])))
         out["batch"] = [table.column("batch")[0].as_py()] * len(out["keys"])
         return pa.table(out, schema=sent_schema)
@@ -125,9 +127,9 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         bucket, level = table.column("bucket")[0].as_py(), table.column("level")[0].as_py()
-        keys, counts, width = table.column("keys").to_pylist(), table.column("counts").to_pylist(), 8 if level == 1 else 4
-        n = [len(k) // width for k in keys]
-        _, which = np.unique(np.frombuffer(b"".join(keys), f"<u{width}"), return_inverse=True)
+        keys, counts = [unsqueeze(k, 8 if level == 1 else 4) for k in table.column("keys").to_pylist()], table.column("counts").to_pylist()
+        n = [len(k) for k in keys]
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
         both = [unpack(c, 2 * m) for c, m in zip(counts, n)]
         train = np.bincount(which, np.concatenate([x[:m] for x, m in zip(both, n)])).astype(np.int64)
         tune = np.bincount(which, np.concatenate([x[m:] for x, m in zip(both, n)])).astype(np.int64)
@@ -146,7 +148,7 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
     def receive(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"batch": answers.column("batch"), "ids": [None] * answers.num_rows, **{c: [None] * answers.num_rows for c in ("folds", "sizes", "counts", "tuning")}, "stats": answers.column("counts")}, schema=out_schema)
-        b, fold = Batch(table.column("text").to_pylist(), order, buckets), table.column("fold").to_numpy()
+        b, fold = Batch(table.column("text").to_pylist(), order, bits), table.column("fold").to_numpy()
         got = {(j, k): c for j, k, c in zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("counts").to_pylist())}
         tuned = np.repeat(fold == TUNING, b.size)
         planes, without = [], []

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
+import zstandard
 
 #: Words whose hash a worker remembers; bounds memory, not results.
 REMEMBER = 400_000
@@ -57,3 +58,14 @@ def portions(texts: list[str | None], most_chars: int, most_texts: int) -> Itera
         n += size
     if at < len(texts):
         yield slice(at, len(texts))
+
+
+def squeeze(ascending: np.ndarray) -> bytes:
+    """Ascending unsigned integers: differences, by byte planes, compressed."""
+    width = ascending.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(ascending, prepend=ascending.dtype.type(0)).view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unsqueeze(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel(), dtype=f"<u{width}")
