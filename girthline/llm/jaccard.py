@@ -360,3 +360,21 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 def counted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_shingles": pa.array([len(s) for s in shingle_sets(b.column(1).to_pylist(), words)], pa.int64())})
+
+
+#: The same classes for DuckDB, by joining all shingles; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+         WHEN len(words) > 0 THEN [array_to_string(words, ' ') || ' '] ELSE [] END) AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s),
+x AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n_shingles + nb.n_shingles - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""

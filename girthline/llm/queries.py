@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_syncmers": op10_syncmers,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_jaccard": jaccard.SQL, "op9_top_k": topk.SQL}

@@ -195,3 +195,13 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
     rest = queries.drop("floor").join(floors, queries["vec_id"] == floors["query_id"], "left").select("vec_id", "x", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
     found = start.select("query_id", "vec_id", "score").unionByName(searched(rest, False))
     return ranked(found).select("query_id", "rank", "vec_id", "score")
+
+
+#: The same search for DuckDB, over all pairs of a query and a vector.
+SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_has_any([true], list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""

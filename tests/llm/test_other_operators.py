@@ -146,7 +146,7 @@ def test_oracle(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf)
     cols = sorted(got.columns)
