@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .tokens import mix, ngrams, portions, word_hashes
 
 #: Shingle length in words; similarity in hundredths.
@@ -270,16 +270,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Everything stays distributed; each round is written to the shared folder.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), label)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), label)
+    held = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), label)
     while True:
+        labels = held.select("node", "comp")
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("low"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
-        spread = written(spread, label)
+        spread = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp")), label)
         jump = spread.select(F.col("node").alias("via"), F.col("comp").alias("to"))
         after = written(spread.join(jump, spread["comp"] == jump["via"], "left").select("node", "was", F.least("comp", F.coalesce("to", "comp")).alias("comp")), label)
+        for x in (held, spread):
+            forget(x)
+        held = after
         if after.where("comp <> was").isEmpty():
+            forget(both)
             return after.select("node", "comp")
-        labels = after.select("node", "comp")
 
 
 def size_ok(a: str, b: str, percent: int):

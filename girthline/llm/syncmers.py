@@ -8,11 +8,11 @@ doubling, no position is ever looked up in the text again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Characters of a k-mer and of its inner s-mers; a k-mer holds 8 of these (the doubling below fixes that number).
 S = 6
 K = S + 7
@@ -22,11 +22,6 @@ SKETCH = 64
 NEIGHBOURS = 1024
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once; Spark would compute it again at each mention inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def short(h: Column) -> Column:
     """31 bits of a 64-bit hash."""
     return F.shiftrightunsigned(h, 33).cast("int")
