@@ -6,12 +6,14 @@ streams by, so nothing is shuffled, no document can make a task large, and a los
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Row length in tokens; tokens of a shard; ids of the byte tokenizer's end of text and of padding.
@@ -74,6 +76,31 @@ def byte_ids(text: str) -> np.ndarray:
     return np.append(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint16), np.uint16(END))
 
 
+_encodings: dict[str, object] = {}
+
+
+def rank_encoder(spark: SparkSession, path: str, pattern: str, end: int, most: int = 64_000_000) -> Callable[[str], np.ndarray]:
+    """An encoder of a byte-pair rank file (a line a token: base 64, rank), which puts `end` after each text.
+
+    The file's content goes to the executors; its size is checked. A worker builds the encoding once.
+    """
+    with open(path, "rb") as f:
+        content = f.read(most + 1)
+    if len(content) > most:
+        raise ValueError(f"{path} is larger than {most} bytes")
+    shared, key = spark.sparkContext.broadcast(content), hashlib.sha256(content + pattern.encode()).hexdigest()
+
+    def encode(text: str) -> np.ndarray:
+        if key not in _encodings:
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
+            _encodings[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return np.append(np.array(_encodings[key].encode_ordinary(text), np.uint32), np.uint32(end))
+
+    return encode
+
+
 def pack(docs: DataFrame, encode: Callable[[str], np.ndarray] = byte_ids, row: int = ROW, shard: int = SHARD, pad: int = PAD) -> DataFrame:
     """Packed rows: shard, row, n_tokens, ids, cu_seqlens, positions, doc_ids, starts.
 

@@ -41,7 +41,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+    import public_tokenizers
+
+    # 50256 is the id that the rank file leaves free; it ends texts and fills rows.
+    encode = packing.rank_encoder(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), bpe.PATTERN, 50256)
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), encode, pad=50256))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,21 @@ def test_packing(spark, docs, docs_rows, empty):
     assert packing.pack(empty).count() == 0 and packing.digest(packed).count() == len(rows)
 
 
+def test_packing_of_ranks(spark, docs, docs_rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    encode = packing.rank_encoder(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    seg = collections.defaultdict(list)
+    for r in packing.unpack(packing.pack(docs, encode, row=512, pad=50256)).where("doc_id IN (3, 83, 88, 89)").collect():
+        seg[r["doc_id"]].append((r["start"], bytes(r["ids"])))
+    for i in (3, 83, 88, 89):
+        text = next(r[1] for r in docs_rows if r[0] == i) or ""
+        ids = np.frombuffer(b"".join(b for _, b in sorted(seg[i])), "<u4").tolist()
+        assert ids == [*tok.encode(text, add_special_tokens=False).ids, 50256]
+
+
 def test_pipeline(spark, docs, docs_rows, tmp_path):
     from tests.llm.test_text_operators import plain_components
     from tokenizers import Tokenizer
