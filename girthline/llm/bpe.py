@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import portions
+
 #: The split before the merges of byte-level BPE files of this family, and the name they give the split.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words a worker remembers at most, and characters it takes up at once. Both bound memory, not results.
+#: Words a worker remembers at most, and bytes of text it takes up at once. Both bound memory, not results.
 REMEMBER, CHUNK = 300_000, 1_000_000
 
 
@@ -157,18 +159,6 @@ def encoder(spec: str, key: str) -> Bpe:
     return _loaded[key]
 
 
-def chunks(texts: list[str], most: int = CHUNK) -> Iterator[slice]:
-    """Slices of about `most` characters; a longer text is a slice of its own."""
-    at, n = 0, 0
-    for i, t in enumerate(texts):
-        if i > at and n + len(t) > most:
-            yield slice(at, i)
-            at, n = i, 0
-        n += len(t)
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def read_spec(path: str, most: int = 64_000_000) -> str:
     """A tokenizer file's content, which goes to the executors; its size is checked."""
     with open(path, encoding="utf-8") as f:
@@ -192,9 +182,9 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value, key)
         for batch in batches:
-            doc, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for part in chunks(texts):
-                ids = bpe.encode(texts[part])
+            doc = batch.column(0)
+            for part, texts in portions(batch.column(1), CHUNK, CHUNK):
+                ids = bpe.encode([t or "" for t in texts])
                 back = [bpe.decode(x) for x in ids]
                 cols = {
                     "doc_id": doc[part],

@@ -37,7 +37,7 @@ ORDERS, ANCHORS, ROUNDS = 3, 2, 2
 #: Longest posting list whose pairs become rows; longer ones are compared in blocks of this many sets.
 LIGHT, BLOCK = 32, 512
 #: Text that a batch holds, text for each hash bucket, and the least number of buckets (a token's hash has 32 bits more).
-BATCH_CHARS, BATCH_DOCS, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 8000, 2_000_000, 256
+BATCH_BYTES, BATCH_DOCS, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 8000, 2_000_000, 256
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -71,9 +71,9 @@ def gather(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
         for rows in batches:
-            ids, texts = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_pylist()
-            for part in portions(texts, BATCH_CHARS, BATCH_DOCS):
-                sets = shingle_sets(texts[part], words)
+            ids = rows.column(0).to_numpy(zero_copy_only=False)
+            for part, texts in portions(rows.column(1), BATCH_BYTES, BATCH_DOCS):
+                sets = shingle_sets(texts, words)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets)
                 doc = np.repeat(np.arange(len(sets), dtype=np.uint32), n)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold
+from .tokens import portions
 
 #: n-grams of 1 to 3 characters; so many of each profile and each document.
 ORDERS, TOP = 3, 300
@@ -18,8 +19,8 @@ ORDERS, TOP = 3, 300
 SAMPLE = 4000
 #: More labels than this aren't languages; training then stops with an error.
 MOST_LANGS = 1000
-#: Documents and characters that are counted at once.
-GROUP, CHARS = 120, 600_000
+#: Documents and bytes of text that are counted at once.
+GROUP, BYTES = 120, 400_000
 
 _folded: list[np.ndarray] = []
 
@@ -75,17 +76,6 @@ def ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, top: int = TOP)
     return d[keep], gram[at[keep]], rank[keep]
 
 
-def groups(texts: list[str]) -> Iterator[slice]:
-    at, n = 0, 0
-    for i, t in enumerate(texts):
-        if i > at and (n + len(t) > CHARS or i - at == GROUP):
-            yield slice(at, i)
-            at, n = i, 0
-        n += len(t)
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def train(labelled: DataFrame, top: int = TOP, sample: int = SAMPLE) -> list[tuple[str, int, int]]:
     """(lang, gram, rank) rows of the profiles from (doc_id, text, lang).
 
@@ -110,9 +100,9 @@ def train(labelled: DataFrame, top: int = TOP, sample: int = SAMPLE) -> list[tup
             total.clear()
 
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in groups(texts):
-                doc, gram, n, _ = grams(texts[part])
+            langs = batch.column(0).to_pylist()
+            for part, texts in portions(batch.column(1), BYTES, GROUP):
+                doc, gram, n, _ = grams(texts)
                 mine = np.array(langs[part], object)[doc] if len(doc) else np.zeros(0, object)
                 for k in set(langs[part]):
                     own = mine == k
@@ -144,10 +134,9 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             pred, score = [], []
-            for part in groups(texts):
-                doc, gram, n, letters = grams(texts[part])
+            for _, texts in portions(batch.column(batch.num_columns - 1), BYTES, GROUP):
+                doc, gram, n, letters = grams([t or "" for t in texts])
                 doc, gram, rank = ranked(doc, gram, n, top)
                 size, count = len(letters), np.bincount(doc, minlength=len(letters))
                 best, far = np.zeros(size, np.int64), np.full(size, float(top))

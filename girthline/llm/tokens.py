@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 
 #: Words whose hash a worker remembers; bounds memory, not results.
-REMEMBER = 400_000
+REMEMBER = 200_000
 MIX, ADD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,17 +49,19 @@ def ngrams(flat: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def portions(texts: list[str | None], most_chars: int, most_texts: int) -> Iterator[slice]:
-    """Slices of bounded size; a longer text is a slice of its own."""
+def portions(texts: pa.Array, most_bytes: int, most_texts: int) -> Iterator[tuple[slice, list[str | None]]]:
+    """Slices of bounded size of an Arrow column, each with its texts; a longer text is a slice of its own.
+
+    Only one slice's texts are Python objects at a time, however many rows the batch has.
+    """
+    size = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     at, n = 0, 0
-    for i, t in enumerate(texts):
-        size = len(t or "")
-        if i > at and (n + size > most_chars or i - at == most_texts):
-            yield slice(at, i)
+    for i, m in enumerate([*size, None]):
+        if m is None or i > at and (n + m > most_bytes or i - at == most_texts):
+            if i > at:
+                yield slice(at, i), texts.slice(at, i - at).to_pylist()
             at, n = i, 0
-        n += size
-    if at < len(texts):
-        yield slice(at, len(texts))
+        n += m or 0
 
 
 def squeeze(ascending: np.ndarray) -> bytes:
