@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import disjoint
 
 #: Provenance flags.
-SEED_CYCLE, ETSL_DPL_SEED, ETSL_DOT1, ETSL_SINGLETON = 1, 2, 4, 8
+SEED_CYCLE, ETSL_LEAFLESS_SEED, ETSL_DOT1, ETSL_SINGLETON = 1, 2, 4, 8
 
 no_ids = lambda: F.array().cast("array<int>")
 candidate = "array_sort(vs) AS vs", "array_sort(checks) AS checks"
