@@ -12,19 +12,21 @@ however often it occurs, and no table of n-grams is ever broadcast or collected.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, written
-from .tokens import ngrams, squeeze, unsqueeze, word_hashes
+from .tokens import ngrams, portions, word_hashes
 
 #: Order of the model; folds of the ids' crc32: which one is held out, and which training fold sets the weights.
-ORDER, FOLDS, HELD_OUT, TUNING = 2, 10, 0, 1
+ORDER, FOLDS, HELD_OUT, TUNING = 3, 10, 0, 1
 #: Steps of expectation-maximisation; weights to begin with and for context frequencies that tuning never saw.
 STEPS, PRIOR = 8, 0.5
 #: Frequencies of contexts fall into buckets by doubling.
@@ -63,12 +65,54 @@ class Batch:
         self.edges = [edge(g) for g, _ in self.grams]
 
 
+def apart(values: np.ndarray) -> bytes:
+    """Unsigned integers by byte planes, each compressed by itself: random low bytes don't spoil the code of the others."""
+    planes = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in values.view(np.uint8).reshape(-1, values.itemsize).T]
+    return np.array([len(x) for x in planes], "<u4").tobytes() + b"".join(planes)
+
+
+def together(data: bytes, width: int) -> np.ndarray:
+    ends = 4 * width + np.cumsum(np.frombuffer(data, "<u4", width, 0), dtype=np.int64)
+    starts = [4 * width, *ends[:-1].tolist()]
+    planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(data[a:b]), np.uint8) for a, b in zip(starts, ends.tolist())]
+    return np.stack(planes, 1).view(f"<u{width}").ravel()
+
+
+def squeeze(ascending: np.ndarray) -> bytes:
+    return apart(np.diff(ascending, prepend=ascending.dtype.type(0)))
+
+
+def unsqueeze(data: bytes, width: int) -> np.ndarray:
+    return np.cumsum(together(data, width), dtype=f"<u{width}")
+
+
 def shrink(planes: list[np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).astype("<u4").tobytes())
+    return apart(np.concatenate(planes).astype("<u4"))
 
 
 def grow(data: bytes, planes: int) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").reshape(planes, -1).astype(np.float64)
+    return together(data, 4).reshape(planes, -1).astype(np.float64)
+
+
+def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in batches of about BATCH_BYTES of text, each one compressed value, so that texts are shuffled small.
+
+    A batch's number is a hash of its place and content: a repeated task that met other rows gives other numbers, for
+    which there are no answers, rather than wrong counts.
+    """
+    k = 0
+    for batch in batches:
+        for part, _ in portions(batch.column("text"), BATCH_BYTES, BATCH_BYTES // 20):
+            some, sink = batch.slice(part.start, part.stop - part.start), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, some.schema) as out:
+                out.write_batch(some)
+            data, k = sink.getvalue().to_pybytes(), k + 1
+            number = hashlib.blake2b(b"%d %d " % (TaskContext.get().partitionId(), k) + data, digest_size=8).digest()
+            yield pa.RecordBatch.from_pydict({"batch": pa.array([int.from_bytes(number) >> 1], pa.int64()), "docs": pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())})
+
+
+def unbundle(table: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in table.column("docs").to_pylist())
 
 
 def estimates(counts: np.ndarray, size: np.ndarray, total: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -104,11 +148,12 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
     fold's documents the counts without that fold; further rows hold each bucket's share of N and V."""
     facts = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     size = (facts["bytes"] or 0) + 20 * facts["n"]
-    batches, bits = max(1, -(-size // BATCH_BYTES)), max(LEAST_BITS, int(size // BUCKET_BYTES).bit_length())
+    bits = max(LEAST_BITS, int(size // BUCKET_BYTES).bit_length())
     fold = crc_fold(F.col("doc_id"), FOLDS)
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold")).mapInArrow(bundle, "batch long, docs binary")
 
     def send(table: pa.Table) -> pa.Table:
+        number, table = table.column("batch")[0].as_py(), unbundle(table)
         b = Batch(table.column("text").to_pylist(), order, bits)
         fold = np.repeat(table.column("fold").to_numpy(), b.size)
         out: dict[str, list] = {"batch": [], "bucket": [], "level": [], "keys": [], "counts": []}
@@ -120,7 +165,7 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
                 out["bucket"].append(k), out["level"].append(j)
                 out["keys"].append(squeeze(g[s] if j == 1 else (g[s] >> np.uint64(32 - bits)).astype("<u4")))
                 out["counts"].append(pack(np.concatenate([train[s], tune[s]])))
-        out["batch"] = [table.column("batch")[0].as_py()] * len(out["keys"])
+        out["batch"] = [number] * len(out["keys"])
         return pa.table(out, schema=sent_schema)
 
     sent_schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("level", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -148,6 +193,7 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
     def receive(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"batch": answers.column("batch"), "ids": [None] * answers.num_rows, **{c: [None] * answers.num_rows for c in ("folds", "sizes", "counts", "tuning")}, "stats": answers.column("counts")}, schema=out_schema)
+        number, table = table.column("batch")[0].as_py(), unbundle(table)
         b, fold = Batch(table.column("text").to_pylist(), order, bits), table.column("fold").to_numpy()
         got = {(j, k): c for j, k, c in zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("counts").to_pylist())}
         tuned = np.repeat(fold == TUNING, b.size)
@@ -160,7 +206,7 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
                 train[edge[k] : edge[k + 1]], tune[edge[k] : edge[k + 1]] = both[:m], both[m:]
             planes.append(train[which])
             without.append((train - tune)[which[tuned]])
-        row = {"batch": [table.column("batch")[0].as_py()], "ids": [table.column("doc_id").to_pylist()], "folds": [fold.astype(np.uint8).tobytes()], "sizes": [b.size.astype("<i8").tobytes()], "counts": [shrink(planes)], "tuning": [shrink(without)], "stats": [None]}
+        row = {"batch": [number], "ids": [table.column("doc_id").to_pylist()], "folds": [fold.astype(np.uint8).tobytes()], "sizes": [b.size.astype("<i8").tobytes()], "counts": [shrink(planes)], "tuning": [shrink(without)], "stats": [None]}
         return pa.table(row, schema=out_schema)
 
     back = rows.groupBy("batch").applyInArrow(send, "batch long, bucket long, level long, keys binary, counts binary").groupBy("bucket", "level").applyInArrow(count, "batch long, bucket long, level long, keys binary, counts binary")

@@ -248,6 +248,18 @@ def test_lm_probabilities(spark):
     assert sum(chain(full, [*seq[:3], x], 3, w)[0][-1] for x in [*"abcdefgh", ">", "unseen"]) == pytest.approx(1)
 
 
+def test_lm_order_of_the_query(docs):
+    """Longer contexts count without being asked for: the default is a trigram model."""
+    scores = lambda *order: sorted(r["score"] for r in lm_scoring.score(docs, *order).collect())
+    assert scores() == pytest.approx(scores(3)) and scores() != pytest.approx(scores(2))
+
+
+def test_lm_coding():
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 32, 1000).astype("<u4"))
+    assert (lm_scoring.unsqueeze(lm_scoring.squeeze(values), 4) == values).all() and len(lm_scoring.unsqueeze(lm_scoring.squeeze(values[:0]), 4)) == 0
+    assert (lm_scoring.grow(lm_scoring.shrink([values, values + 0]), 2) == values).all()
+
+
 def test_syncmers(spark, docs, docs_rows, empty):
     got = syncmers.compare_edited(docs).collect()
     assert len(got) == len(docs_rows)
