@@ -1,6 +1,7 @@
 """Queries over the driver's tables, one an operator, and the same results as DuckDB SQL.
 
-G is the graph of parts (checks) and orders (variables) in `lineitem`; G400 is a denser part of it for larger supports.
+G is the graph of parts (checks) and orders (variables) in `lineitem`; G400 is a small, denser part of
+it for tests; each query over G400 is registered over the whole of G as well.
 """
 
 from __future__ import annotations
@@ -59,6 +60,22 @@ def graph400(spark: SparkSession, sf: str) -> Tanner:
     return Tanner(rows, 181, 401)
 
 
+def whole_graph(spark: SparkSession, sf: str) -> Tanner:
+    """G with its dimensions."""
+    return graphs.from_edges(big_graph(spark, sf).edges)
+
+
+def both(name: str, sql: str | None = None):
+    """A query over G400 and the same one over all of G: its name without `_g400`, or with `_all` where that is taken."""
+
+    def add(f: Callable[[SparkSession, Tanner], DataFrame]) -> Callable[[SparkSession, Tanner], DataFrame]:
+        query(name, sql)(lambda spark, sf: f(spark, graph400(spark, sf)))
+        query(name.removesuffix("_g400") if name.endswith("_g400") else f"{name}_all", sql and sql.replace(E400, E))(lambda spark, sf: f(spark, whole_graph(spark, sf)))
+        return f
+
+    return add
+
+
 def longs(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "tinyint", "smallint", "bigint") else F.col(c) for c, t in df.dtypes))
 
@@ -114,9 +131,8 @@ def isolated_vars(spark, sf):
     return longs(graphs.isolated(orders, big_graph(spark, sf).edges))
 
 
-@query("csr_graph_roundtrip", f"WITH {E400} SELECT c, v FROM e")
-def csr_graph_roundtrip(spark, sf):
-    g = graph400(spark, sf)
+@both("csr_graph_roundtrip", f"WITH {E400} SELECT c, v FROM e")
+def csr_graph_roundtrip(spark, g):
     indptr, indices = graphs.to_csr(g)
     return longs(graphs.from_csr(spark, g.checks, g.variables, indptr, indices).edges)
 
@@ -175,15 +191,13 @@ STATS3 = """m AS (SELECT v1, v2, v3, count_if(t % 2 = 1)::BIGINT AS b, max(t) <=
   SELECT v1, v2, v3, e.c, count(*) AS t FROM u JOIN e ON e.v IN (v1, v2, v3) GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query("cycles3_sets_g400", f"WITH {E400}, {TRI} SELECT v1 || ',' || v2 || ',' || v3 AS vs, count(*) AS raw FROM t GROUP BY v1, v2, v3")
-def cycles3_sets(spark, sf):
-    g = graph400(spark, sf)
+@both("cycles3_sets_g400", f"WITH {E400}, {TRI} SELECT v1 || ',' || v2 || ',' || v3 AS vs, count(*) AS raw FROM t GROUP BY v1, v2, v3")
+def cycles3_sets(spark, g):
     return listed(accept.merged(expand.cycles(g.adjacency(), g.neighbours(), 3)).select("vs", "raw"))
 
 
-@query("elementary_filter_g400", f"WITH {E400}, {TRI}, u AS (SELECT DISTINCT * FROM t), {STATS3} SELECT v1 || ',' || v2 || ',' || v3 AS vs, b, elementary FROM m")
-def elementary_filter(spark, sf):
-    g = graph400(spark, sf)
+@both("elementary_filter_g400", f"WITH {E400}, {TRI}, u AS (SELECT DISTINCT * FROM t), {STATS3} SELECT v1 || ',' || v2 || ',' || v3 AS vs, b, elementary FROM m")
+def elementary_filter(spark, g):
     return listed(accept.measured(accept.merged(expand.cycles(g.adjacency(), g.neighbours(), 3))).select("vs", "b", "elementary"))
 
 
@@ -191,20 +205,18 @@ DOT = f"""{PARENTS}, o AS (SELECT v1, v2, e.v, count_if(t = 1) AS odd, count_if(
 h AS (SELECT list_sort([v1, v2, v]) AS l FROM o WHERE odd >= 2 AND even = 0)"""
 
 
-@query("dot_children_a3_g400", f"WITH {E400}, {DOT} SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l")
-def dot_children(spark, sf):
-    g = graph400(spark, sf)
+@both("dot_children_a3_g400", f"WITH {E400}, {DOT} SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l")
+def dot_children(spark, g):
     return listed(accept.merged(expand.dot(parents2(g).where("b >= 2"), g.adjacency())).select("vs", "raw"))
 
 
-@query("dot_multiset_count", f"WITH {E400}, {DOT} SELECT count(*) AS raw, count(DISTINCT l) AS different FROM h")
-def dot_multiset_count(spark, sf):
-    g = graph400(spark, sf)
+@both("dot_multiset_count", f"WITH {E400}, {DOT} SELECT count(*) AS raw, count(DISTINCT l) AS different FROM h")
+def dot_multiset_count(spark, g):
     x = expand.dot(parents2(g).where("b >= 2"), g.adjacency())
     return longs(x.agg(F.count("*").alias("raw"), F.count_distinct("vs").alias("different")))
 
 
-@query(
+@both(
     "path2_children_g400",
     f"""WITH {E400}, {PARENTS},
     x AS (SELECT k.v1, k.v2, k.c AS c0, e.v AS x1 FROM k JOIN e ON e.c = k.c WHERE t = 1 AND b >= 2 AND e.v NOT IN (v1, v2)
@@ -214,28 +226,26 @@ def dot_multiset_count(spark, sf):
     h AS (SELECT list_sort([v1, v2, x1, x2]) AS l FROM y)
     SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l""",
 )
-def path2_children(spark, sf):
-    g = graph400(spark, sf)
+def path2_children(spark, g):
     return listed(accept.merged(expand.path(parents2(g).where("b >= 2"), written(g.adjacency(), "adjacency"), 2)).select("vs", "raw"))
 
 
 RINGS = "r AS (SELECT v1 AS r1, v2 AS r2, e.c FROM s JOIN e ON e.v IN (v1, v2) WHERE b <= 5 GROUP BY ALL)"
 
 
-@query(
+@both(
     "lollipop_d1_g400",
     f"""WITH {E400}, {PARENTS}, {RINGS},
     x AS (SELECT v1, v2, r1, r2, count(*) AS n, count_if(t = 1) AS odd FROM k JOIN r ON r.c = k.c WHERE b >= 1 AND r1 NOT IN (v1, v2) AND r2 NOT IN (v1, v2) GROUP BY ALL),
     h AS (SELECT list_sort([v1, v2, r1, r2]) AS l FROM x WHERE n = 1 AND odd = 1)
     SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l""",
 )
-def lollipop_d1(spark, sf):
-    g = graph400(spark, sf)
+def lollipop_d1(spark, g):
     rings = accept.judged(pair_sets(g), BOUNDS[2]).where("reject_reason IS NULL")
     return listed(accept.merged(expand.lollipop(parents2(g), rings, g.adjacency(), 2, 2)).select("vs", "raw"))
 
 
-@query(
+@both(
     "lollipop_d2_g400",
     f"""WITH {E400}, {PARENTS}, {RINGS},
     x AS (SELECT k.v1, k.v2, e.v AS x1 FROM k JOIN e ON e.c = k.c WHERE t = 1 AND b >= 1 AND e.v NOT IN (v1, v2)
@@ -246,25 +256,23 @@ def lollipop_d1(spark, sf):
     h AS (SELECT list_sort([v1, v2, x1, r1, r2]) AS l FROM z WHERE NOT EXISTS (SELECT 1 FROM near q WHERE q.v1 = z.v1 AND q.v2 = z.v2 AND q.r1 = z.r1 AND q.r2 = z.r2))
     SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l""",
 )
-def lollipop_d2(spark, sf):
-    g = graph400(spark, sf)
+def lollipop_d2(spark, g):
     rings = written(accept.judged(pair_sets(g), BOUNDS[2]).where("reject_reason IS NULL"), "rings")
     return listed(accept.merged(expand.lollipop(parents2(g), rings, written(g.adjacency(), "adjacency"), 3, 2)).select("vs", "raw"))
 
 
-@query("singleton_seeds_g400", f"WITH {E400}, {DEG} SELECT v::VARCHAR AS vs, dv AS b FROM d WHERE dv <= 3")
-def singleton_seeds(spark, sf):
-    return listed(accept.measured(expand.singletons(graph400(spark, sf).neighbours(), 3)).select("vs", "b"))
+@both("singleton_seeds_g400", f"WITH {E400}, {DEG} SELECT v::VARCHAR AS vs, dv AS b FROM d WHERE dv <= 3")
+def singleton_seeds(spark, g):
+    return listed(accept.measured(expand.singletons(g.neighbours(), 3)).select("vs", "b"))
 
 
-@query(
+@both(
     "dot1_children_a2_g400",
     f"""WITH {E400}, {DEG}, p AS (SELECT a.v AS v1, b.v AS v2, count(*) AS n FROM e a JOIN e b ON a.c = b.c AND a.v <> b.v GROUP BY 1, 2)
     SELECT least(v1, v2) || ',' || greatest(v1, v2) AS vs, count(*) AS raw FROM p JOIN d x ON x.v = v1 JOIN d y ON y.v = v2
     WHERE n = 1 AND x.dv BETWEEN 1 AND 3 AND x.dv + y.dv - 2 <= 3 GROUP BY 1""",
 )
-def dot1_children(spark, sf):
-    g = graph400(spark, sf)
+def dot1_children(spark, g):
     seeds = accept.measured(expand.singletons(g.neighbours(), 3)).where("b >= 1")
     return listed(accept.merged(expand.dot1(seeds, g.adjacency(), 3)).select("vs", "raw"))
 
@@ -273,19 +281,18 @@ CAND3 = f"{DOT}, {TRI}, w AS (SELECT [v1, v2, v3] AS l, 1 AS flag FROM t UNION A
 MEASURED3 = "m AS (SELECT v1, v2, v3, count_if(t % 2 = 1)::BIGINT AS b, max(t) <= 2 AS elementary FROM (SELECT v1, v2, v3, e.c, count(*) AS t FROM u JOIN e ON e.v IN (v1, v2, v3) GROUP BY ALL) GROUP BY ALL)"
 
 
-@query("flags_merge_a3_g400", f"WITH {E400}, {CAND3} SELECT array_to_string(l, ',') AS vs, flags::BIGINT AS flags, raw FROM g")
-def flags_merge(spark, sf):
-    g = graph400(spark, sf)
+@both("flags_merge_a3_g400", f"WITH {E400}, {CAND3} SELECT array_to_string(l, ',') AS vs, flags::BIGINT AS flags, raw FROM g")
+def flags_merge(spark, g):
     x = expand.cycles(g.adjacency(), g.neighbours(), 3).unionByName(expand.dot(parents2(g).where("b >= 2"), g.adjacency()))
     return listed(accept.merged(x).select("vs", "flags", "raw"))
 
 
-@query("lets_classes_a3_g400", f"WITH {E400}, {CAND3}, {MEASURED3} SELECT 2::BIGINT AS a, b, count(*) AS n FROM s WHERE b <= 3 GROUP BY b UNION ALL SELECT 3, b, count(*) FROM m WHERE elementary AND b <= 3 GROUP BY b")
-def lets_classes(spark, sf):
-    return longs(enumerate_sets(graph400(spark, sf), 4, 3, BOUNDS).counts)
+@both("lets_classes_a3_g400", f"WITH {E400}, {CAND3}, {MEASURED3} SELECT 2::BIGINT AS a, b, count(*) AS n FROM s WHERE b <= 3 GROUP BY b UNION ALL SELECT 3, b, count(*) FROM m WHERE elementary AND b <= 3 GROUP BY b")
+def lets_classes(spark, g):
+    return longs(enumerate_sets(g, 4, 3, BOUNDS).counts)
 
 
-@query(
+@both(
     "stats_a3_g400",
     f"""WITH {E400}, {CAND3}, {MEASURED3},
     c AS (SELECT coalesce(sum(n * (n - 1)), 0) AS raw2, count(*) AS sets2, count_if(b > 5)::BIGINT AS bad2, count_if(b <= 3)::BIGINT AS out2 FROM s),
@@ -294,15 +301,15 @@ def lets_classes(spark, sf):
     SELECT (raw2 + raw3)::BIGINT AS generated_candidates, (raw2 - sets2 + raw3 - sets3)::BIGINT AS duplicate_candidates, ne3 AS rejected_non_elementary,
            bad2 + bad3 AS rejected_by_b, sets2 - bad2 + ok3 AS accepted_intermediate, 0::BIGINT AS rejected_by_size, out2 + ok3 AS written_supports FROM c, q, z""",
 )
-def stats_a3(spark, sf):
-    r = enumerate_sets(graph400(spark, sf), 4, 3, BOUNDS)
+def stats_a3(spark, g):
+    r = enumerate_sets(g, 4, 3, BOUNDS)
     return spark.createDataFrame([r.stats], ", ".join(f"{k} long" for k in r.stats))
 
 
-@query("etsl_classes_a3_g400")
-def etsl_classes(spark, sf):
+@both("etsl_classes_a3_g400")
+def etsl_classes(spark, g):
     """With leaves and singleton seeds; its rules feed back through several sizes, so tests hold it against brute force."""
-    r = enumerate_sets(graph400(spark, sf), 4, 3, BOUNDS, leaves=True, singletons=True)
+    r = enumerate_sets(g, 4, 3, BOUNDS, leaves=True, singletons=True)
     return longs(r.supports.groupBy("a", "b", "kind").agg(F.count("*").alias("n")))
 
 
@@ -432,9 +439,9 @@ def euclidean_geometry_hx(spark, sf):
     return longs(codes.euclidean_geometry(spark, 2).hx.edges)
 
 
-@query("girth_g400", f"WITH {E400}, {PAIRS} SELECT 4::BIGINT AS girth WHERE EXISTS (SELECT 1 FROM p)")
-def girth_g400(spark, sf):
-    return spark.createDataFrame([(codes.girth(graph400(spark, sf)),)], "girth long")
+@both("girth_g400", f"WITH {E400}, {PAIRS} SELECT 4::BIGINT AS girth WHERE EXISTS (SELECT 1 FROM p)")
+def girth_g400(spark, g):
+    return spark.createDataFrame([(codes.girth(g),)], "girth long")
 
 
 def event_errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -480,10 +487,10 @@ def bin2int_orders(spark, sf):
     return longs(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), bin2int(int2bin(F.col("o_orderkey"), 6)).alias("low")))
 
 
-@query("alist_roundtrip", f"WITH {E400} SELECT c, v FROM e")
-def alist_roundtrip(spark, sf):
+@both("alist_roundtrip", f"WITH {E400} SELECT c, v FROM e")
+def alist_roundtrip(spark, g):
     path = f"{scratch_dir(spark)}/girthline/g400.alist"
-    alist.as_lines(graph400(spark, sf)).coalesce(1).sortWithinPartitions("no").select("line").write.mode("overwrite").text(path)
+    alist.as_lines(g).coalesce(1).sortWithinPartitions("no").select("line").write.mode("overwrite").text(path)
     return longs(alist.read(spark, path).edges)
 
 
@@ -493,14 +500,14 @@ def gf2_ranks(spark, sf):
     return spark.createDataFrame(rows, "code string, rank_hx int, rank_hz int")
 
 
-@query("gf2_kernel_g400")
-def gf2_kernel(spark, sf):
-    return longs(linear.kernel(graph400(spark, sf)))
+@both("gf2_kernel_g400")
+def gf2_kernel(spark, g):
+    return longs(linear.kernel(g))
 
 
-@query("gf2_row_echelon_g400")
-def gf2_row_echelon(spark, sf):
-    return longs(linear.row_echelon(graph400(spark, sf), reduced=True))
+@both("gf2_row_echelon_g400")
+def gf2_row_echelon(spark, g):
+    return longs(linear.row_echelon(g, reduced=True))
 
 
 @query("logical_operators_bb72")

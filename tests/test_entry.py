@@ -36,6 +36,15 @@ def test_without_oracle(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_whole_graph(spark):
+    """Every operator over the sub-graph is registered over all of lineitem too, and sees every edge."""
+    sub = [n for n in queries.QUERIES if n.endswith("_g400")]
+    assert len(sub) == 15 and all(n.removesuffix("_g400") in queries.QUERIES for n in sub)
+    edges = sorted(map(tuple, spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_partkey", "l_orderkey").distinct().collect()))
+    for name in ("csr_graph_roundtrip_all", "alist_roundtrip_all"):
+        assert sorted((r["c"], r["v"]) for r in queries.QUERIES[name](spark, SF).collect()) == edges
+
+
 def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT / "girthline", tmp_path / "girthline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
