@@ -1,13 +1,15 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer is a closed syncmer if the smallest hash of its inner s-mers is that of its first or its last s-mer. That
-depends on the k-mer alone, so texts that share a passage share its anchors wherever it stands. A fingerprint holds the
-smallest anchor hashes. Everything is DataFrame code over arrays: s-mers by one regular expression, window minima by
+depends on the k-mer alone, so texts that share a passage share its anchors wherever it stands. Likeness is that of all
+anchors; a fingerprint is a compact text of the smallest anchor hashes. Everything is DataFrame code over arrays: s-mers by one regular expression, window minima by
 doubling, no position is ever looked up in the text again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ K = S + 7
 SKETCH = 64
 #: Documents to a bucket of neighbours, about.
 NEIGHBOURS = 1024
+#: Occurrences in all texts up to which an anchor is rare enough to match passages by.
+RARE = 16
 
 
 def short(h: Column) -> Column:
@@ -27,42 +31,41 @@ def short(h: Column) -> Column:
     return F.shiftrightunsigned(h, 33).cast("int")
 
 
-def anchors(text: Column) -> Column:
-    """Closed syncmers of a text: array of (pos, hash), pos in code points from 0, hash of 31 bits."""
+def anchors(text: Column, kept: Callable[[Column], Column] = short) -> Column:
+    """Closed syncmers of a text: array of (pos, hash), pos in code points from 0, hash of 31 bits or what is `kept`."""
     mins = lambda a, step: let(a, lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), lambda p, q: F.least(p, q)))
 
     def of(h: Column) -> Column:
         # The last 7 windows are not whole; their minima mix in fewer hashes and are cut off.
         low = F.slice(mins(mins(mins(h, 1), 2), 4), F.lit(1), F.greatest(F.size(h) - 7, F.lit(0)))
-        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.struct(i.alias("pos"), short(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))).alias("hash")))
+        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.struct(i.alias("pos"), kept(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))).alias("hash")))
         return F.filter(F.transform(low, mark), lambda a: a.isNotNull())
 
     smers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), 1)
     return let(F.transform(smers, lambda x: F.xxhash64(x)), of)
 
 
-def sketch(hashes: Column, whole: Column) -> Column:
-    """The smallest distinct hashes, sorted; a text without anchors has one: its whole. The empty text has none."""
+def distinct(hashes: Column, whole: Column) -> Column:
+    """All distinct hashes, sorted; a text without anchors has one: its whole. The empty text has none."""
     some = let(hashes, lambda h: F.when(F.size(h) > 0, h).when(whole != "", F.array(short(F.xxhash64(whole)))).otherwise(F.array().cast("array<int>")))
-    return F.slice(F.sort_array(F.array_distinct(some)), F.lit(1), F.lit(SKETCH))
+    return F.sort_array(F.array_distinct(some))
 
 
 def as_text(found: Column) -> Column:
-    return F.array_join(F.transform(found, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """The fingerprint of sorted hashes: the first SKETCH of them."""
+    return F.array_join(F.transform(F.slice(found, F.lit(1), F.lit(SKETCH)), lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimate of the Jaccard similarity of the anchor sets of two sketches; two empty ones are alike."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), F.lit(SKETCH))
-    shared = let(F.array_intersect(a, b), lambda both: F.size(F.array_intersect(union, both)))
-    return F.when(F.size(union) == 0, 1.0).otherwise(shared / F.size(union)).cast("double")
+    """Jaccard similarity of two sets of hashes; two empty ones are alike."""
+    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both))).cast("double")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint and the sketch as an array, for each row; null text is the empty text."""
+    """doc_id, n_chars, fingerprint and all distinct hashes as an array, for each row; null text is the empty text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), sketch(F.transform(anchors(text), lambda a: a["hash"]), text).alias("sketch"))
-    return found.select("doc_id", "n_chars", as_text(F.col("sketch")).alias("fingerprint"), "sketch")
+    found = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), distinct(F.transform(anchors(text), lambda a: a["hash"]), text).alias("hashes"))
+    return found.select("doc_id", "n_chars", as_text(F.col("hashes")).alias("fingerprint"), "hashes")
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -70,6 +73,22 @@ def positions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(anchors(F.coalesce(F.col("text"), F.lit("")))).alias("a")).select("doc_id", "a.pos", "a.hash")
 
 
+def passages(docs: DataFrame, rare: int = RARE) -> DataFrame:
+    """doc_a, doc_b, shift, n_anchors, first, last: passages that two documents share, doc_a < doc_b.
+
+    A row a pair and shift (position in doc_b less that in doc_a) with the anchors that agree on it: how many, and from
+    where to where (end exclusive, in doc_a) they reach. Only anchors with 2 to `rare` occurrences in all texts are
+    joined, by 64-bit hashes, so an anchor makes a bounded number of rows. Rows without id have no passages, nor have
+    rows of one id with each other.
+    """
+    every = F.explode(anchors(F.col("text"), lambda h: h)).alias("a")
+    at = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", every).select("doc_id", "a.pos", "a.hash")
+    some = at.join(at.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n").between(2, rare)).select("hash"), "hash")
+    a, b = (some.select("hash", F.col("doc_id").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
+    met = a.join(b, "hash").where("doc_a < doc_b").groupBy("doc_a", "doc_b", (F.col("pos_b") - F.col("pos_a")).alias("shift"))
+    return met.agg(F.count("*").alias("n_anchors"), F.min("pos_a").alias("first"), (F.max("pos_a") + K).alias("last"))
+
+
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next document's are.
 
@@ -95,17 +114,17 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     lead = lambda c: F.when(F.col("bucket") >= 0, F.lead(c).over(order))
     seen = rows.withColumn("at", F.row_number().over(order)).withColumn("next", lead("text")).withColumn("given", F.floor(F.lag(F.length("text")).over(order) / 2).cast("int"))
 
-    # Within a bucket each document also sketches what the one before it takes over, and hands it back by the window.
+    # Within a bucket each document also finds the anchors of what the one before it takes over, and hands them back by
+    # the window.
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     hashes = lambda a: F.transform(a, lambda x: x["hash"])
-    low = lambda h: F.slice(F.sort_array(F.array_distinct(h)), F.lit(1), F.lit(SKETCH))
-    upto = lambda own, m: let(m, lambda most: low(hashes(F.filter(own, lambda a: a["pos"] + K <= most))))
-    found = seen.withColumn("s", let(anchors(F.col("text")), lambda own: F.struct(sketch(hashes(own), F.col("text")).alias("own"), upto(own, n - half).alias("kept"), upto(own, F.coalesce("given", F.lit(0))).alias("given"))))
+    upto = lambda own, m: let(m, lambda most: F.array_distinct(hashes(F.filter(own, lambda a: a["pos"] + K <= most))))
+    found = seen.withColumn("s", let(anchors(F.col("text")), lambda own: F.struct(distinct(hashes(own), F.col("text")).alias("own"), upto(own, n - half).alias("kept"), upto(own, F.coalesce("given", F.lit(0))).alias("given"))))
     kept, added = F.left("text", n - half), F.left("next", half)
     seam = F.concat(F.right(kept, F.lit(K - 1)), F.left(added, F.lit(K - 1)))
-    row = lambda df: df.select("doc_id", n.cast("long").alias("n_chars"), F.concat(kept, added).alias("edited"), F.col("s.own").alias("sketch"), F.concat("s.kept", "next_given", hashes(anchors(seam))).alias("parts"), "next_sketch")
-    inner = row(found.withColumn("next_sketch", lead("s.own")).withColumn("next_given", lead("s.given")).where("next IS NOT NULL"))
+    row = lambda df: df.select("doc_id", n.cast("long").alias("n_chars"), F.concat(kept, added).alias("edited"), F.col("s.own").alias("hashes"), F.concat("s.kept", "next_given", hashes(anchors(seam))).alias("parts"), "next_hashes")
+    inner = row(found.withColumn("next_hashes", lead("s.own")).withColumn("next_given", lead("s.given")).where("next IS NOT NULL"))
 
     # The last document of each bucket, and rows without id, look up the next bucket's first. A thousandth of the rows.
     used = docs.select(bucket.alias("bucket")).distinct()
@@ -113,8 +132,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     after = used.withColumn("next_bucket", F.when(F.col("bucket") >= 0, F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.lit(first))).otherwise(F.lit(first)))
     heads = seen.where("at = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
     ends = seen.where("next IS NULL").drop("next").join(after, "bucket").join(heads, "next_bucket", "left").withColumn("next", F.coalesce("head", F.lit("")))
-    ends = ends.withColumn("s", let(anchors(F.col("text")), lambda own: F.struct(sketch(hashes(own), F.col("text")).alias("own"), upto(own, n - half).alias("kept"))))
-    outer = row(ends.withColumn("next_sketch", sketch(hashes(anchors(F.col("next"))), F.col("next"))).withColumn("next_given", hashes(anchors(added))))
+    ends = ends.withColumn("s", let(anchors(F.col("text")), lambda own: F.struct(distinct(hashes(own), F.col("text")).alias("own"), upto(own, n - half).alias("kept"))))
+    outer = row(ends.withColumn("next_hashes", distinct(hashes(anchors(F.col("next"))), F.col("next"))).withColumn("next_given", hashes(anchors(added))))
 
-    both = inner.unionByName(outer).withColumn("edited_sketch", sketch(F.col("parts"), F.col("edited")))
-    return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    both = inner.unionByName(outer).withColumn("edited_hashes", distinct(F.col("parts"), F.col("edited")))
+    return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("hashes")).alias("fingerprint"), as_text(F.col("edited_hashes")).alias("edited_fingerprint"), likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))

@@ -284,3 +284,25 @@ def test_syncmers_by_definition(spark):
     assert [r["pos"] for r in rows if r["doc_id"] == 1] == want
     at = lambda d: {r["hash"]: r["pos"] for r in rows if r["doc_id"] == d}
     assert all(at(2)[h] == p - 8 for h, p in at(1).items() if p >= 10)
+
+
+def test_syncmers_of_long_texts(spark):
+    """Likeness comes from all anchors and passages are found, also where the smallest hashes know nothing of them."""
+    rng = np.random.default_rng(5)
+    made = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
+    shared = made(60)
+    texts = [made(3000) + " " + shared, made(200) + " " + shared + " " + made(3000), made(500)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = collections.defaultdict(set)
+    for r in syncmers.positions(table).collect():
+        sets[r["doc_id"]].add(r["hash"])
+    like = lambda a, b: len(a & b) / len(a | b)
+    got = {r["doc_id"]: r for r in syncmers.compare_edited(table).collect()}
+    assert 0 < got[0]["near_next"] < 0.05 and [got[i]["near_next"] for i in range(3)] == pytest.approx([like(sets[i], sets[(i + 1) % 3]) for i in range(3)])
+    cut = [t[: len(t) - len(t) // 2] + texts[(i + 1) % 3][: len(t) // 2] for i, t in enumerate(texts)]
+    edited = {r["doc_id"]: set(r["hashes"]) for r in syncmers.fingerprints(spark.createDataFrame(list(enumerate(cut)), "doc_id long, text string")).collect()}
+    assert [got[i]["near_edited"] for i in range(3)] == pytest.approx([like(sets[i], edited[i]) for i in range(3)])
+    assert all(len(r["fingerprint"]) == 8 * syncmers.SKETCH for r in got.values())
+    (best,) = syncmers.passages(table).where("n_anchors > 20").collect()
+    assert (best["doc_a"], best["doc_b"], best["shift"]) == (0, 1, texts[1].index(shared) - texts[0].index(shared))
+    assert texts[0][best["first"] : best["last"]] in " " + shared + " " and best["last"] - best["first"] > 0.9 * len(shared)
