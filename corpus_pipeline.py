@@ -24,10 +24,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id, once even if its row repeats.
-    Rows without id can't be linked and stay."""
-    found = jaccard.classes(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+
+    A document is an id and a text, known by a 64-bit hash of both, so different texts under one id are documents of
+    their own. Rows without id stay."""
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_pipeline_key", key)
+    found = jaccard.classes(named.select(F.col("_pipeline_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_pipeline_key"), "component_id")
+    first = found.join(named.select("_pipeline_key", "doc_id"), "_pipeline_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_pipeline_key")).alias("first"))
+    kept = named.join(first.select("first._pipeline_key"), "_pipeline_key", "left_semi").dropDuplicates(["_pipeline_key"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -167,3 +167,12 @@ def test_oracle(spark, name):
     cols = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, want))
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts under one id are different documents, and the copy that goes is the copy."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(5, one), (5, two), (5, two), (3, one), (7, three), (None, one)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, table.repartition(3), "").collect()]
+    assert sorted(got, key=str) == sorted([(3, one), (5, two), (7, three), (None, one)], key=str)
