@@ -7,9 +7,8 @@ orders all put rare tokens first and break ties by different hashes.
 
 Nothing of quadratic size is made for a group of copies:
 
-1. Equal sets become one class. Document frequencies are counted in hash buckets, to which each batch of documents sends
-   compact arrays and from which the shared tokens return; tokens that no other class has only count towards sizes.
-   A document with too few shared tokens has no partner and is done.
+1. Equal sets become one class. Document frequencies are counted by totals.Exchange; tokens that no other class has only
+   count towards sizes. A document with too few shared tokens has no partner and is done.
 2. Each class is compared with few anchors, the same for all that share prefix tokens, and the links found so far make
    components.
 3. Only pairs of different components are left to compare, and all that pass the filters under every order are: those
@@ -23,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
-from .tokens import mix, ngrams, portions, word_hashes
+from .tokens import mix, ngrams, word_hashes
+from .totals import MESSAGE, Exchange, bundle, text_size, unbundle
 
 #: Shingle length in words; similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -36,8 +35,8 @@ WORDS, PERCENT = 5, 80
 ORDERS, ANCHORS, ROUNDS = 3, 2, 2
 #: Longest posting list whose pairs become rows; longer ones are compared in blocks of this many sets.
 LIGHT, BLOCK = 32, 512
-#: Text that a batch holds, text for each hash bucket, and the least number of buckets (a token's hash has 32 bits more).
-BATCH_BYTES, BATCH_DOCS, BUCKET_BYTES, LEAST_BUCKETS = 3_000_000, 8000, 2_000_000, 256
+#: Bits of a shingle's hash by which its frequency is counted.
+KEY_BITS = 44
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -63,77 +62,45 @@ def least_shared(n: np.ndarray | int, percent: int = PERCENT):
 
 def gather(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, sig1, sig2, tokens, dfs for each row: set size, a 128-bit signature of the set, and (unless too few
-    for any partner) the tokens that other rows hold, with the number of rows that hold them, as arrays in binary."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, int(size // BUCKET_BYTES))
-    schema = "batch long, bucket long, payload binary, ids binary"
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = TaskContext.get().partitionId() << 32
-        for rows in batches:
-            ids = rows.column(0).to_numpy(zero_copy_only=False)
-            for part, texts in portions(rows.column(1), BATCH_BYTES, BATCH_DOCS):
-                sets = shingle_sets(texts, words)
-                n = np.array([len(s) for s in sets], np.int64)
-                flat = np.concatenate(sets)
-                doc = np.repeat(np.arange(len(sets), dtype=np.uint32), n)
-                sums = np.zeros((2, len(sets)), np.uint64)
-                np.add.at(sums[0], doc, flat)
-                np.add.at(sums[1], doc, mix(flat, flat))
-                sums[0] ^= n.astype(np.uint64)
-                bucket = ((flat >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.argsort(bucket.astype(np.uint32), kind="stable")
-                low, doc, bucket = (flat & np.uint64(0xFFFFFFFF)).astype("<u4")[order], doc.astype("<u4")[order], bucket[order]
-                start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                stop = np.append(start, len(bucket))[1:]
-                keys = [*bucket[start].astype(np.int64).tolist(), -1 - batch]
-                payload = [low[a:b].tobytes() for a, b in zip(start, stop)]
-                owners = [doc[a:b].tobytes() for a, b in zip(start, stop)]
-                # A batch's own facts travel with the rest, under a key of their own.
-                payload.append(np.concatenate([n.view(np.uint64), sums[0], sums[1]]).tobytes())
-                owners.append(ids[part].astype("<i8").tobytes())
-                yield pa.RecordBatch.from_pydict({"batch": pa.array([batch] * len(keys), pa.int64()), "bucket": pa.array(keys, pa.int64()), "payload": pa.array(payload, pa.binary()), "ids": pa.array(owners, pa.binary())})
-                batch += 1
-
-    def count(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        if bucket < 0:
-            return table
-        payload, ids = table.column("payload").to_pylist(), table.column("ids").to_pylist()
-        low = np.frombuffer(b"".join(payload), "<u4")
-        _, which, n = np.unique(low, return_inverse=True, return_counts=True)
-        df = n[which]
-        back, docs_, at = [], [], 0
-        for p, d in zip(payload, ids):
-            own = slice(at, at + len(p) // 4)
-            at = own.stop
-            shared = df[own] > 1
-            back.append(low[own][shared].tobytes() + df[own][shared].astype("<u4").tobytes())
-            docs_.append(np.frombuffer(d, "<u4")[shared].tobytes())
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "payload": pa.array(back, pa.binary()), "ids": pa.array(docs_, pa.binary())})
-
-    def assemble(table: pa.Table) -> pa.Table:
-        token, df, doc, facts, ids = [], [], [], None, None
-        for bucket, payload, owner in zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), table.column("ids").to_pylist()):
-            if bucket < 0:
-                facts, ids = np.frombuffer(payload, np.uint64).reshape(3, -1), np.frombuffer(owner, "<i8")
-            elif payload:
-                low, n = np.frombuffer(payload, "<u4").reshape(2, -1)
-                token.append(low.astype(np.uint64) | np.uint64(bucket << 32)), df.append(n), doc.append(np.frombuffer(owner, "<u4"))
-        size = facts[0].view(np.int64)
+    for any partner) the tokens that other rows hold, with the number of rows that hold them, as arrays in binary.
+
+    Shingles are counted by KEY_BITS bits of their hashes. Two that share these bits are both counted too high, which
+    changes their place in the orders alike for all sets and keeps tokens that could go, so no link depends on it.
+    """
+    way = Exchange(text_size(docs), KEY_BITS, 1)
+    rows = docs.select("doc_id", "text").mapInArrow(bundle, "unit long, docs binary")
+
+    def opened(table: pa.Table) -> tuple[int, pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        number, table = table.column("unit")[0].as_py(), unbundle(table)
+        sets = shingle_sets(table.column("text").to_pylist(), words)
+        flat = np.concatenate(sets)
+        keys, which = np.unique(flat >> np.uint64(64 - KEY_BITS), return_inverse=True)
+        return number, table, np.array([len(s) for s in sets], np.int64), flat, keys, which
+
+    def send(table: pa.Table) -> pa.Table:
+        number, _, _, _, keys, which = opened(table)
+        return way.messages(number, keys, [np.bincount(which, minlength=len(keys))])
+
+    def assemble(table: pa.Table, answers: pa.Table) -> pa.Table:
+        _, table, size, flat, keys, which = opened(table)
+        (totals,) = way.answered(keys, answers)
+        doc = np.repeat(np.arange(len(size)), size)
+        sums = np.zeros((2, len(size)), np.uint64)
+        np.add.at(sums[0], doc, flat)
+        np.add.at(sums[1], doc, mix(flat, flat))
+        sums[0] ^= size.astype(np.uint64)
+        df = totals[which]
+        shared = df > 1
+        token, df = flat[shared], df[shared].astype("<u8")
+        edge = np.searchsorted(doc[shared], np.arange(len(size) + 1))
         tokens, dfs = [None] * len(size), [None] * len(size)
-        if token:
-            token, df, doc = np.concatenate(token), np.concatenate(df), np.concatenate(doc)
-            order = np.argsort(doc, kind="stable")
-            token, df, doc = token[order], df[order], doc[order]
-            edge = np.searchsorted(doc, np.arange(len(size) + 1))
-            for i in np.flatnonzero((np.diff(edge) >= least_shared(size, percent)) & (size > 0)).tolist():
-                tokens[i], dfs[i] = token[edge[i] : edge[i + 1]].tobytes(), df[edge[i] : edge[i + 1]].astype("<u4").tobytes()
-        return pa.table({"doc_id": pa.array(ids), "n": pa.array(size), "sig1": pa.array(facts[1].view(np.int64)), "sig2": pa.array(facts[2].view(np.int64)), "tokens": pa.array(tokens, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
+        for i in np.flatnonzero((np.diff(edge) >= least_shared(size, percent)) & (size > 0)).tolist():
+            own = slice(edge[i], edge[i + 1])
+            tokens[i], dfs[i] = token[own].tobytes(), df[own].tobytes()
+        return pa.table({"doc_id": table.column("doc_id"), "n": pa.array(size), "sig1": pa.array(sums[0].view(np.int64)), "sig2": pa.array(sums[1].view(np.int64)), "tokens": pa.array(tokens, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, schema)
-    back = sent.groupBy("bucket").applyInArrow(count, schema)
-    return back.groupBy("batch").applyInArrow(assemble, "doc_id long, n long, sig1 long, sig2 long, tokens binary, dfs binary")
+    answers = way.totals(rows.groupBy("unit").applyInArrow(send, MESSAGE))
+    return rows.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(assemble, "doc_id long, n long, sig1 long, sig2 long, tokens binary, dfs binary")
 
 
 def shrink(tokens: np.ndarray, dfs: np.ndarray) -> bytes:
@@ -158,36 +125,57 @@ def prefix(tokens: np.ndarray, rare: np.ndarray, n: int, k: int, percent: int) -
     return tokens[np.lexsort((mix(tokens, np.full(len(tokens), k, np.uint64)), rare))[: max(0, length)]]
 
 
-def postings(active: DataFrame, k: int, percent: int) -> DataFrame:
+def prefixes(tokens: bytes, n: int, percent: int, orders: int) -> bytes:
+    """A set's prefix tokens under each order, sorted within it: the orders' ends, then the tokens."""
+    t, rare = grow(tokens)
+    found = [np.sort(prefix(t, rare, n, k, percent)) for k in range(orders)]
+    return np.concatenate([np.cumsum([len(x) for x in found]).astype(np.uint64), *found]).astype("<u8").tobytes()
+
+
+def of_order(data: bytes, k: int, orders: int) -> np.ndarray:
+    x = np.frombuffer(data, "<u8")
+    ends = x[:orders].astype(np.int64)
+    return x[orders + (ends[k - 1] if k else 0) : orders + ends[k]]
+
+
+def postings(active: DataFrame, k: int, orders: int) -> DataFrame:
     """token, node, n for the prefix tokens of each set under order k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, n = b.column("node").to_numpy(), b.column("n").to_numpy()
-            found = [prefix(*grow(t), m, k, percent) for t, m in zip(b.column("tokens").to_pylist(), n.tolist())]
+            found = [of_order(p, k, orders) for p in b.column("prefixes").to_pylist()]
             size = [len(x) for x in found]
             if sum(size):
                 yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(found).view(np.int64)), "node": pa.array(np.repeat(node, size)), "n": pa.array(np.repeat(n, size))})
 
-    return active.select("node", "n", "tokens").mapInArrow(run, "token long, node long, n long")
+    return active.select("node", "n", "prefixes").mapInArrow(run, "token long, node long, n long")
 
 
 def verified(pairs: DataFrame, active: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Of pairs (a, b) those that share a prefix token under every order and reach the threshold."""
+    """Of pairs (a, b) those that share a prefix token under every order and reach the threshold.
+
+    The filters of all orders are intersected on prefixes alone; only pairs that pass them all fetch their sets.
+    """
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("prefixes_a").to_pylist(), batch.column("prefixes_b").to_pylist())
+            keep = pa.array([all(len(np.intersect1d(of_order(a, k, orders), of_order(b, k, orders), True)) for k in range(orders)) for a, b in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             cols = [batch.column(c).to_pylist() for c in ("n_a", "tokens_a", "n_b", "tokens_b")]
             for i, (na, a, nb, b) in enumerate(zip(*cols)):
-                (ta, ra), (tb, rb) = grow(a), grow(b)
-                if all(len(np.intersect1d(prefix(ta, ra, na, k, percent), prefix(tb, rb, nb, k, percent), True)) for k in range(orders)):
-                    both = len(np.intersect1d(ta, tb, True))
-                    keep[i] = 100 * both >= percent * (na + nb - both)
+                both = len(np.intersect1d(grow(a)[0], grow(b)[0], True))
+                keep[i] = 100 * both >= percent * (na + nb - both)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    side = lambda s: active.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    side = lambda s, *cols: active.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in cols))
+    left = pairs.join(side("a", "prefixes"), "a").join(side("b", "prefixes"), "b").mapInArrow(passing, "a long, b long")
+    return left.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b").mapInArrow(run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -238,23 +226,23 @@ def block_links(lists: DataFrame, active: DataFrame, percent: int, orders: int)
     own = lists.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = own.withColumn("other", other).select("token", "node", "n", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    rows = dealt.join(active.select("node", "tokens"), "node")
+    rows = dealt.join(active.select("node", "tokens", "prefixes"), "node")
 
     def run(table: pa.Table) -> pa.Table:
         node, n, comp, own = (table.column(c).to_numpy() for c in ("node", "n", "comp", "own"))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        sets = [grow(t) for t in table.column("tokens").to_pylist()]
+        sets, firsts = table.column("tokens").to_pylist(), table.column("prefixes").to_pylist()
         ok = comp[:, None] != comp[None, :]
         ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
         if lo != hi:
             ok &= own[:, None] != own[None, :]
         for k in range(orders):
             if ok.any():
-                ok &= overlaps([prefix(t, r, int(m), k, percent) for (t, r), m in zip(sets, n)]) > 0
+                ok &= overlaps([of_order(p, k, orders) for p in firsts]) > 0
         edges = []
         if ok.any():
             used = np.flatnonzero(ok.any(1))
-            both = overlaps([sets[i][0] for i in used])
+            both = overlaps([grow(sets[i])[0] for i in used])
             union = n[used][:, None] + n[used][None, :] - both
             linked = ok[np.ix_(used, used)] & (100 * both >= percent * union)
             edges = [(int(node[used[i]]), int(node[used[j]])) for i, j in forest(linked)]
@@ -290,7 +278,7 @@ def size_ok(a: str, b: str, percent: int):
 
 
 def links(active: DataFrame, percent: int = PERCENT, orders: int = ORDERS, anchors: int = ANCHORS, rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) between sets (node, n, tokens) with the components of all pairs that reach the threshold."""
+    """Links (a, b) between sets (node, n, tokens, prefixes) with the components of all pairs that reach the threshold."""
     edges, comps = None, None
 
     def with_comp(df: DataFrame) -> DataFrame:
@@ -300,7 +288,7 @@ def links(active: DataFrame, percent: int = PERCENT, orders: int = ORDERS, ancho
         return df.join(c, df["node"] == c["_n"], "left").withColumn("comp", F.coalesce("_c", "node")).drop("_n", "_c")
 
     for k in range(rounds):
-        posts = written(with_comp(postings(active, k, percent)), "postings")
+        posts = written(with_comp(postings(active, k, orders)), "postings")
         # Only lists that hold several components can link anything new.
         heads = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("anchor"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("x"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
         near = posts.join(heads.select("token", "x.*"), "token").where((F.col("comp") != F.col("other")) & size_ok("n", "m", percent))
@@ -312,7 +300,7 @@ def links(active: DataFrame, percent: int = PERCENT, orders: int = ORDERS, ancho
 
     # What is left: lists of the first order's prefixes that still hold several components. Lists of the same sets,
     # as the tokens of one passage have them, are worked on once.
-    posts = written(with_comp(postings(active, 0, percent)), "postings")
+    posts = written(with_comp(postings(active, 0, orders)), "postings")
     lists = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
     lists = lists.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
     left = written(posts.join(lists, "token"), "crossing")
@@ -324,12 +312,12 @@ def links(active: DataFrame, percent: int = PERCENT, orders: int = ORDERS, ancho
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs`, exactly.
+    """doc_id, n_shingles, component_id for each row of `docs`, exactly but for collisions of 64-bit shingle hashes.
 
     Null text and text without words make the empty set, which links with nothing; its component is its own id. Rows
     that share a doc_id are one document. Rows without doc_id get no component and link nothing, since links name ids.
-    Repeated rows get a row each; an empty table gives an empty result; other columns are ignored. Shingles are known
-    by hashes of 40 and more bits.
+    Repeated rows get a row each; an empty table gives an empty result; other columns are ignored. A very long text is a
+    batch of its own and one large set; whole sets are compared, whatever their size. Ties in the orders go by hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     every = written(gather(rows, words, percent), "sets")
@@ -340,17 +328,18 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Drop the tokens that only copies hold; drop sets that then can't have a partner."""
         for b in batches:
-            keep, tokens = [], []
+            keep, tokens, firsts = [], [], []
             for t, d, n, c in zip(*(b.column(x).to_pylist() for x in ("tokens", "dfs", "n", "copies"))):
-                d = np.frombuffer(d, "<u4")
+                d = np.frombuffer(d, "<u8")
                 more = d > c
                 keep.append(bool(more.sum() >= least_shared(n, percent)))
                 if keep[-1]:
                     tokens.append(shrink(np.frombuffer(t, np.uint64)[more], d[more]))
+                    firsts.append(prefixes(tokens[-1], n, percent, ORDERS))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("node").filter(keep), b.column("n").filter(keep), pa.array(tokens, pa.binary())], names=["node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(keep), b.column("n").filter(keep), pa.array(tokens, pa.binary()), pa.array(firsts, pa.binary())], names=["node", "n", "tokens", "prefixes"])
 
-    active = written(shared.select("node", "n", "copies", "tokens", "dfs").mapInArrow(others, "node long, n long, tokens binary"), "active")
+    active = written(shared.select("node", "n", "copies", "tokens", "dfs").mapInArrow(others, "node long, n long, tokens binary, prefixes binary"), "active")
     # Classes whose first ids are the same row id are one document already.
     comps = components(links(active, percent).unionByName(same.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))))
     found = same.join(comps.select("node", "comp"), "node", "left").select("sig1", "sig2", F.coalesce("comp", "node").alias("component_id"))

@@ -5,25 +5,22 @@ the uniform P_0 = 1 / (V + 1). The weights l_j belong to buckets of the context'
 expectation-maximisation on the tokens of a fold of the training documents, with the counts of the other training
 documents. The final estimates use the counts of all of them.
 
-Counting works by request and answer: a batch of documents sends its distinct n-grams with their counts to hash
-buckets; each bucket adds up all batches' counts and sends the totals back. A frequent n-gram costs a batch one entry,
-however often it occurs, and no table of n-grams is ever broadcast or collected.
+N-grams are counted by totals.Exchange: first words and pairs, then longer n-grams, but of these only those all of whose
+pairs also occur in training outside the batch; any other one can't occur elsewhere, so the batch's own count is its total.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, written
-from .tokens import ngrams, portions, word_hashes
+from .tokens import ngrams, word_hashes
+from .totals import EMPTY, MESSAGE, Exchange, apart, bundle, pack, text_size, together, unbundle, unpack
 
 #: Order of the model; folds of the ids' crc32: which one is held out, and which training fold sets the weights.
 ORDER, FOLDS, HELD_OUT, TUNING = 3, 10, 0, 1
@@ -31,88 +28,55 @@ ORDER, FOLDS, HELD_OUT, TUNING = 3, 10, 0, 1
 STEPS, PRIOR = 8, 0.5
 #: Frequencies of contexts fall into buckets by doubling.
 LEVELS = 32
-#: Text of a batch and of a hash bucket, in bytes, about; buckets are numbered by at least so many bits of a hash.
-BATCH_BYTES, BUCKET_BYTES, LEAST_BITS = 4_000_000, 4_000_000, 6
+#: Bits of an n-gram's key. The last one tells words from longer n-grams.
+KEY_BITS = 54
 #: Hashes that no word has: the end of a text, and what stands before its first word.
 END, START = np.uint64(0xE3D5A1F0C2B49687), np.uint64(0x1B7C93D2E8F60A45)
 
 
-def pack(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those of 255 and more follow as 32-bit integers; compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes())
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    data = zstandard.ZstdDecompressor().decompress(data)
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<u4", offset=n)
-    return out
-
-
 class Batch:
-    """The tokens of a batch of texts and its distinct n-grams of each order."""
+    """The tokens of a batch of texts and its distinct n-grams of each order, by key, with each token's place among them."""
 
-    def __init__(self, texts: list[str | None], order: int, bits: int):
+    def __init__(self, texts: list[str | None], order: int):
         parts = [word_hashes(t) for t in texts]
         self.size = np.array([len(p) + 1 for p in parts], np.int64)
         pad, end = np.full(order - 1, START), np.array([END])
         seq = np.concatenate([x for p in parts for x in (pad, p, end)])
         self.first = np.cumsum(self.size) - self.size
         at = np.arange(int(self.size.sum())) + np.repeat((order - 1) * np.arange(1, len(parts) + 1), self.size)
-        self.grams = [np.unique(ngrams(seq, j)[at - (j - 1)], return_inverse=True) for j in range(1, order + 1)]
-        # The highest bits tell the bucket, so a bucket's n-grams are a slice.
-        edge = lambda g: np.append(np.searchsorted(g, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(g))
-        self.edges = [edge(g) for g, _ in self.grams]
-
-
-def apart(values: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes, each compressed by itself: random low bytes don't spoil the code of the others."""
-    planes = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in values.view(np.uint8).reshape(-1, values.itemsize).T]
-    return np.array([len(x) for x in planes], "<u4").tobytes() + b"".join(planes)
-
-
-def together(data: bytes, width: int) -> np.ndarray:
-    ends = 4 * width + np.cumsum(np.frombuffer(data, "<u4", width, 0), dtype=np.int64)
-    starts = [4 * width, *ends[:-1].tolist()]
-    planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(data[a:b]), np.uint8) for a, b in zip(starts, ends.tolist())]
-    return np.stack(planes, 1).view(f"<u{width}").ravel()
-
-
-def squeeze(ascending: np.ndarray) -> bytes:
-    return apart(np.diff(ascending, prepend=ascending.dtype.type(0)))
-
-
-def unsqueeze(data: bytes, width: int) -> np.ndarray:
-    return np.cumsum(together(data, width), dtype=f"<u{width}")
+        key = lambda j: ngrams(seq, j)[at - (j - 1)] >> np.uint64(65 - KEY_BITS) << np.uint64(1) | np.uint64(j == 1)
+        self.grams = [np.unique(key(j), return_inverse=True) for j in range(1, order + 1)]
+
+    def counts(self, fold: np.ndarray, levels: slice) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct keys of some orders, with their counts in all training documents and in the tuning fold."""
+        grams = self.grams[levels]
+        own = [(np.bincount(w, fold != HELD_OUT, len(g)).astype(np.int64), np.bincount(w, fold == TUNING, len(g)).astype(np.int64)) for g, w in grams]
+        keys = np.concatenate([g for g, _ in grams])
+        order = np.argsort(keys, kind="stable")
+        found, start = np.unique(keys[order], return_index=True)
+        return found, [np.add.reduceat(np.concatenate([o[k] for o in own])[order], start) if len(start) else np.zeros(0, np.int64) for k in (0, 1)]
+
+    def open(self, more: np.ndarray) -> list[np.ndarray]:
+        """Of the n-grams of order 3 and more, those all of whose pairs have `more` (by order-2 n-gram) occurrences elsewhere."""
+        back = every = more[self.grams[1][1]]
+        out = []
+        for g, which in self.grams[2:]:
+            # The pair that ends one token earlier; before a text's first token there is none.
+            back = np.concatenate([[True], back[:-1]])
+            back[self.first] = True
+            every = every & back
+            flag = np.zeros(len(g), bool)
+            flag[which] = every
+            out.append(flag)
+        return out
 
 
 def shrink(planes: list[np.ndarray]) -> bytes:
-    return apart(np.concatenate(planes).astype("<u4"))
+    return apart(np.concatenate(planes).astype("<u8"))
 
 
 def grow(data: bytes, planes: int) -> np.ndarray:
-    return together(data, 4).reshape(planes, -1).astype(np.float64)
-
-
-def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in batches of about BATCH_BYTES of text, each one compressed value, so that texts are shuffled small.
-
-    A batch's number is a hash of its place and content: a repeated task that met other rows gives other numbers, for
-    which there are no answers, rather than wrong counts.
-    """
-    k = 0
-    for batch in batches:
-        for part, _ in portions(batch.column("text"), BATCH_BYTES, BATCH_BYTES // 20):
-            some, sink = batch.slice(part.start, part.stop - part.start), pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, some.schema) as out:
-                out.write_batch(some)
-            data, k = sink.getvalue().to_pybytes(), k + 1
-            number = hashlib.blake2b(b"%d %d " % (TaskContext.get().partitionId(), k) + data, digest_size=8).digest()
-            yield pa.RecordBatch.from_pydict({"batch": pa.array([int.from_bytes(number) >> 1], pa.int64()), "docs": pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())})
-
-
-def unbundle(table: pa.Table) -> pa.Table:
-    return pa.concat_tables(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in table.column("docs").to_pylist())
+    return together(data, 8).reshape(planes, -1).astype(np.float64)
 
 
 def estimates(counts: np.ndarray, size: np.ndarray, total: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -144,73 +108,82 @@ def mixtures(f: list[np.ndarray], bucket: list[np.ndarray], weights: np.ndarray,
 
 
 def gather(docs: DataFrame, order: int) -> DataFrame:
-    """A row a batch: its documents, the training counts of each token's n-grams of every order, and for the tuning
-    fold's documents the counts without that fold; further rows hold each bucket's share of N and V."""
-    facts = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
-    size = (facts["bytes"] or 0) + 20 * facts["n"]
-    bits = max(LEAST_BITS, int(size // BUCKET_BYTES).bit_length())
+    """A row a batch: its documents, the training counts of each token's n-grams of every order, for the tuning fold's
+    documents the counts without that fold, and its training and tuning tokens; a further row a bucket holds its
+    distinct training words."""
+    way = Exchange(text_size(docs), KEY_BITS, 2)
     fold = crc_fold(F.col("doc_id"), FOLDS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold")).mapInArrow(bundle, "batch long, docs binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold")).mapInArrow(bundle, "unit long, docs binary")
+
+    def opened(table: pa.Table, order: int) -> tuple[int, pa.Table, Batch, np.ndarray]:
+        number, table = table.column("unit")[0].as_py(), unbundle(table)
+        b = Batch(table.column("text").to_pylist(), order)
+        return number, table, b, np.repeat(table.column("fold").to_numpy(), b.size)
 
     def send(table: pa.Table) -> pa.Table:
-        number, table = table.column("batch")[0].as_py(), unbundle(table)
-        b = Batch(table.column("text").to_pylist(), order, bits)
-        fold = np.repeat(table.column("fold").to_numpy(), b.size)
-        out: dict[str, list] = {"batch": [], "bucket": [], "level": [], "keys": [], "counts": []}
-        for j, ((g, which), edge) in enumerate(zip(b.grams, b.edges), 1):
-            train = np.bincount(which, fold != HELD_OUT, len(g)).astype(np.int64)
-            tune = np.bincount(which, fold == TUNING, len(g)).astype(np.int64)
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                s = slice(edge[k], edge[k + 1])
-                out["bucket"].append(k), out["level"].append(j)
-                out["keys"].append(squeeze(g[s] if j == 1 else (g[s] >> np.uint64(32 - bits)).astype("<u4")))
-                out["counts"].append(pack(np.concatenate([train[s], tune[s]])))
-        out["batch"] = [number] * len(out["keys"])
-        return pa.table(out, schema=sent_schema)
-
-    sent_schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("level", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def count(table: pa.Table) -> pa.Table:
-        bucket, level = table.column("bucket")[0].as_py(), table.column("level")[0].as_py()
-        keys, counts = [unsqueeze(k, 8 if level == 1 else 4) for k in table.column("keys").to_pylist()], table.column("counts").to_pylist()
-        n = [len(k) for k in keys]
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        both = [unpack(c, 2 * m) for c, m in zip(counts, n)]
-        train = np.bincount(which, np.concatenate([x[:m] for x, m in zip(both, n)])).astype(np.int64)
-        tune = np.bincount(which, np.concatenate([x[m:] for x, m in zip(both, n)])).astype(np.int64)
-        ends = np.cumsum(n)
-        own = [which[e - m : e] for e, m in zip(ends.tolist(), n)]
-        batch, back = table.column("batch").to_pylist(), [pack(np.concatenate([train[w], tune[w]])) for w in own]
-        if level == 1:
-            batch.append(-1 - bucket)
-            back.append(np.array([train.sum(), (train > 0).sum(), tune.sum()], "<i8").tobytes())
-        size = len(batch)
-        return pa.table({"batch": batch, "bucket": [bucket] * size, "level": [level] * size, "keys": [None] * size, "counts": back}, schema=sent_schema)
-
-    kinds = "batch long, ids array<long>, folds binary, sizes binary, counts binary, tuning binary, stats binary"
-    out_schema = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("folds", "sizes", "counts", "tuning", "stats"))])
+        number, _, b, fold = opened(table, min(order, 2))
+        return way.messages(number, *b.counts(fold, slice(0, 2)))
+
+    def words(keys: np.ndarray, sums: list[np.ndarray]) -> bytes:
+        return np.array([((keys & np.uint64(1) == 1) & (sums[0] > 0)).sum()], "<i8").tobytes()
+
+    def rest(b: Batch, fold: np.ndarray, known: list[np.ndarray], keys: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Keys and own counts of the longer n-grams, and which of them are to be sent."""
+        more, counts = b.counts(fold, slice(2, None))
+        at = np.searchsorted(keys, b.grams[1][0])
+        flags = b.open(known[0][at] > own[0][at])
+        sent = np.zeros(len(more), bool)
+        for (g, _), flag in zip(b.grams[2:], flags):
+            sent[np.searchsorted(more, g[flag])] = True
+        return more, counts, sent
+
+    def relay(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """Take the totals of words and pairs, send longer n-grams; the totals travel along under a bucket of their own."""
+        if not table.num_rows:
+            return answers
+        number, _, b, fold = opened(table, order)
+        keys, own = b.counts(fold, slice(0, 2))
+        known = way.answered(keys, answers)
+        carry = pa.table({"unit": [number], "bucket": [-1 - number], "keys": [None], "counts": [pack(np.concatenate(known))]}, schema=EMPTY.schema)
+        if order <= 2:
+            return carry
+        more, counts, sent = rest(b, fold, known, keys, own)
+        return pa.concat_tables([carry, way.messages(number, more[sent], [c[sent] for c in counts])])
+
+    kinds = "unit long, ids array<long>, folds binary, sizes binary, counts binary, tuning binary, tokens long, tuned long, words long"
+    out_schema = pa.schema([("unit", pa.int64()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("folds", "sizes", "counts", "tuning")), *((c, pa.int64()) for c in ("tokens", "tuned", "words"))])
 
     def receive(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"batch": answers.column("batch"), "ids": [None] * answers.num_rows, **{c: [None] * answers.num_rows for c in ("folds", "sizes", "counts", "tuning")}, "stats": answers.column("counts")}, schema=out_schema)
-        number, table = table.column("batch")[0].as_py(), unbundle(table)
-        b, fold = Batch(table.column("text").to_pylist(), order, bits), table.column("fold").to_numpy()
-        got = {(j, k): c for j, k, c in zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), answers.column("counts").to_pylist())}
-        tuned = np.repeat(fold == TUNING, b.size)
+            n = answers.num_rows
+            own = {"unit": answers.column("unit"), "words": [int(np.frombuffer(x, "<i8")[0]) for x in answers.column("counts").to_pylist()]}
+            return pa.table({c: own.get(c, [None] * n) for c in out_schema.names}, schema=out_schema)
+        number, table, b, fold = opened(table, order)
+        folds, tuned = table.column("fold").to_numpy(), fold == TUNING
+        keys, own = b.counts(fold, slice(0, 2))
+        bucket = answers.column("bucket").to_numpy()
+        carry = answers.column("counts")[int(np.flatnonzero(bucket < 0)[0])].as_py()
+        known = list(unpack(carry, 2 * len(keys)).reshape(2, -1))
+        if order > 2:
+            more, counts, sent = rest(b, fold, known, keys, own)
+            for c, got in zip(counts, way.answered(more[sent], answers.filter(pa.array(bucket >= 0)))):
+                c[sent] = got
+            keys, known = (keys, more), (known, counts)
+        else:
+            keys, known = (keys, keys[:0]), (known, known)
         planes, without = [], []
-        for j, ((g, which), edge) in enumerate(zip(b.grams, b.edges), 1):
-            train, tune = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                m = int(edge[k + 1] - edge[k])
-                both = unpack(got[j, k], 2 * m)
-                train[edge[k] : edge[k + 1]], tune[edge[k] : edge[k + 1]] = both[:m], both[m:]
+        for j, (g, which) in enumerate(b.grams):
+            side = int(j > 1)
+            at = np.searchsorted(keys[side], g)
+            train, tune = known[side][0][at], known[side][1][at]
             planes.append(train[which])
             without.append((train - tune)[which[tuned]])
-        row = {"batch": [number], "ids": [table.column("doc_id").to_pylist()], "folds": [fold.astype(np.uint8).tobytes()], "sizes": [b.size.astype("<i8").tobytes()], "counts": [shrink(planes)], "tuning": [shrink(without)], "stats": [None]}
+        row = {"unit": [number], "ids": [table.column("doc_id").to_pylist()], "folds": [folds.astype(np.uint8).tobytes()], "sizes": [b.size.astype("<i8").tobytes()], "counts": [shrink(planes)], "tuning": [shrink(without)], "tokens": [int((fold != HELD_OUT).sum())], "tuned": [int(tuned.sum())], "words": [None]}
         return pa.table(row, schema=out_schema)
 
-    back = rows.groupBy("batch").applyInArrow(send, "batch long, bucket long, level long, keys binary, counts binary").groupBy("bucket", "level").applyInArrow(count, "batch long, bucket long, level long, keys binary, counts binary")
-    return rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(receive, kinds)
+    first = way.totals(rows.groupBy("unit").applyInArrow(send, MESSAGE), words)
+    second = way.totals(rows.groupBy("unit").cogroup(first.groupBy("unit")).applyInArrow(relay, MESSAGE))
+    return rows.groupBy("unit").cogroup(second.groupBy("unit")).applyInArrow(receive, kinds)
 
 
 def learn(gathered: DataFrame, order: int, tokens: int, uniform: float, steps: int = STEPS) -> np.ndarray:
@@ -254,16 +227,13 @@ def score(docs: DataFrame, order: int = ORDER, steps: int = STEPS) -> DataFrame:
 
     Tokens are a text's words, A-Z lower-cased, and one end; base_score is the smoothed unigram log10 probability and
     score that of the interpolated model. Null text is the empty text: only its end is scored. A null id hashes as the
-    empty text. Repeated rows get a row each; an empty table gives an empty result; other columns are ignored. Where
-    there is nothing to tune on, all weights are one half. Counts of single words go by 64-bit hashes, of longer
-    n-grams by 32 bits inside their bucket.
+    empty text. Repeated rows get a row each, with equal scores; an empty table gives an empty result; other columns are
+    ignored. A very long text is a batch of its own and its memory grows with it. Nothing is ranked, so ties don't
+    matter. Where there is nothing to tune on, all weights are one half. N-grams are known by keys of KEY_BITS bits.
     """
     gathered = written(gather(docs, order), "counts")
-    stats = np.zeros(3, np.int64)
-    shares = gathered.where("stats IS NOT NULL").mapInArrow(add_up, "tokens long, kinds long, tuning long").agg(*(F.sum(c).alias(c) for c in ("tokens", "kinds", "tuning"))).first()
-    if shares["tokens"] is not None:
-        stats[:] = shares["tokens"], shares["kinds"], shares["tuning"]
-    tokens, kinds, tuned = stats.tolist()
+    facts = gathered.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "tuned"))).first()
+    tokens, kinds, tuned = facts["tokens"], facts["words"], facts["tuned"]
     uniform = 1 / (kinds + 1)
     weights = learn(gathered, order, tokens - tuned, uniform, steps)
 
@@ -283,9 +253,3 @@ def score(docs: DataFrame, order: int = ORDER, steps: int = STEPS) -> DataFrame:
                 })
 
     return gathered.where("ids IS NOT NULL").select("ids", "folds", "sizes", "counts").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = np.array([np.frombuffer(x, "<i8") for x in batch.column("stats").to_pylist()], np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, k]) for k in range(3)], names=["tokens", "kinds", "tuning"])
