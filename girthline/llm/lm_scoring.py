@@ -5,8 +5,7 @@ the uniform P_0 = 1 / (V + 1). The weights l_j belong to buckets of the context'
 expectation-maximisation on the tokens of a fold of the training documents, with the counts of the other training
 documents. The final estimates use the counts of all of them.
 
-N-grams are counted by totals.Exchange: first words and pairs, then longer n-grams, but of these only those all of whose
-pairs also occur in training outside the batch; any other one can't occur elsewhere, so the batch's own count is its total.
+N-grams are counted by totals.Exchange: batches of documents send their distinct n-grams and get the totals back.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, written
 from .tokens import ngrams, word_hashes
-from .totals import EMPTY, MESSAGE, Exchange, apart, bundle, pack, text_size, together, unbundle, unpack
+from .totals import MESSAGE, Exchange, apart, bundle, text_size, together, unbundle
 
 #: Order of the model; folds of the ids' crc32: which one is held out, and which training fold sets the weights.
 ORDER, FOLDS, HELD_OUT, TUNING = 3, 10, 0, 1
@@ -28,51 +27,33 @@ ORDER, FOLDS, HELD_OUT, TUNING = 3, 10, 0, 1
 STEPS, PRIOR = 8, 0.5
 #: Frequencies of contexts fall into buckets by doubling.
 LEVELS = 32
-#: Bits of an n-gram's key. The last one tells words from longer n-grams.
-KEY_BITS = 54
+#: Bits of an n-gram's key, at least, and beyond those of its bucket: as the input grows, so do the keys, and about one
+#: in a million meets another at any size. The last bit tells words from longer n-grams.
+KEY_BITS, KEY_REST = 48, 40
 #: Hashes that no word has: the end of a text, and what stands before its first word.
 END, START = np.uint64(0xE3D5A1F0C2B49687), np.uint64(0x1B7C93D2E8F60A45)
 
 
 class Batch:
-    """The tokens of a batch of texts and its distinct n-grams of each order, by key, with each token's place among them."""
+    """The tokens of a batch of texts: their numbers, and each one's place among the distinct n-grams of all orders."""
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: list[str | None], order: int, key_bits: int):
         parts = [word_hashes(t) for t in texts]
         self.size = np.array([len(p) + 1 for p in parts], np.int64)
         pad, end = np.full(order - 1, START), np.array([END])
         seq = np.concatenate([x for p in parts for x in (pad, p, end)])
-        self.first = np.cumsum(self.size) - self.size
         at = np.arange(int(self.size.sum())) + np.repeat((order - 1) * np.arange(1, len(parts) + 1), self.size)
-        key = lambda j: ngrams(seq, j)[at - (j - 1)] >> np.uint64(65 - KEY_BITS) << np.uint64(1) | np.uint64(j == 1)
-        self.grams = [np.unique(key(j), return_inverse=True) for j in range(1, order + 1)]
-
-    def counts(self, fold: np.ndarray, levels: slice) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Distinct keys of some orders, with their counts in all training documents and in the tuning fold."""
-        grams = self.grams[levels]
-        own = [(np.bincount(w, fold != HELD_OUT, len(g)).astype(np.int64), np.bincount(w, fold == TUNING, len(g)).astype(np.int64)) for g, w in grams]
-        keys = np.concatenate([g for g, _ in grams])
-        order = np.argsort(keys, kind="stable")
-        found, start = np.unique(keys[order], return_index=True)
-        return found, [np.add.reduceat(np.concatenate([o[k] for o in own])[order], start) if len(start) else np.zeros(0, np.int64) for k in (0, 1)]
-
-    def open(self, more: np.ndarray) -> list[np.ndarray]:
-        """Of the n-grams of order 3 and more, those all of whose pairs have `more` (by order-2 n-gram) occurrences elsewhere."""
-        back = every = more[self.grams[1][1]]
-        out = []
-        for g, which in self.grams[2:]:
-            # The pair that ends one token earlier; before a text's first token there is none.
-            back = np.concatenate([[True], back[:-1]])
-            back[self.first] = True
-            every = every & back
-            flag = np.zeros(len(g), bool)
-            flag[which] = every
-            out.append(flag)
-        return out
-
-
-def shrink(planes: list[np.ndarray]) -> bytes:
-    return apart(np.concatenate(planes).astype("<u8"))
+        key = lambda j: ngrams(seq, j)[at - (j - 1)] >> np.uint64(65 - key_bits) << np.uint64(1) | np.uint64(j == 1)
+        self.keys, which = np.unique(np.concatenate([key(j) for j in range(1, order + 1)]), return_inverse=True)
+        self.which = which.reshape(order, -1)
+
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        """How often each n-gram ends at one of these tokens (a mask)."""
+        return np.bincount(self.which[:, tokens].ravel(), minlength=len(self.keys))
+
+
+def shrink(planes: np.ndarray) -> bytes:
+    return apart(planes.ravel().astype("<u8"))
 
 
 def grow(data: bytes, planes: int) -> np.ndarray:
@@ -111,45 +92,22 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
     """A row a batch: its documents, the training counts of each token's n-grams of every order, for the tuning fold's
     documents the counts without that fold, and its training and tuning tokens; a further row a bucket holds its
     distinct training words."""
-    way = Exchange(text_size(docs), KEY_BITS, 2)
+    way = Exchange(text_size(docs), KEY_BITS, 2, KEY_REST)
     fold = crc_fold(F.col("doc_id"), FOLDS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold")).mapInArrow(bundle, "unit long, docs binary")
 
-    def opened(table: pa.Table, order: int) -> tuple[int, pa.Table, Batch, np.ndarray]:
+    def opened(table: pa.Table) -> tuple[int, pa.Table, Batch, np.ndarray]:
         number, table = table.column("unit")[0].as_py(), unbundle(table)
-        b = Batch(table.column("text").to_pylist(), order)
+        b = Batch(table.column("text").to_pylist(), order, way.keep)
         return number, table, b, np.repeat(table.column("fold").to_numpy(), b.size)
 
     def send(table: pa.Table) -> pa.Table:
-        number, _, b, fold = opened(table, min(order, 2))
-        return way.messages(number, *b.counts(fold, slice(0, 2)))
+        number, _, b, fold = opened(table)
+        return way.messages(number, b.keys, [b.counts(fold != HELD_OUT), b.counts(fold == TUNING)])
 
     def words(keys: np.ndarray, sums: list[np.ndarray]) -> bytes:
         return np.array([((keys & np.uint64(1) == 1) & (sums[0] > 0)).sum()], "<i8").tobytes()
 
-    def rest(b: Batch, fold: np.ndarray, known: list[np.ndarray], keys: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Keys and own counts of the longer n-grams, and which of them are to be sent."""
-        more, counts = b.counts(fold, slice(2, None))
-        at = np.searchsorted(keys, b.grams[1][0])
-        flags = b.open(known[0][at] > own[0][at])
-        sent = np.zeros(len(more), bool)
-        for (g, _), flag in zip(b.grams[2:], flags):
-            sent[np.searchsorted(more, g[flag])] = True
-        return more, counts, sent
-
-    def relay(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """Take the totals of words and pairs, send longer n-grams; the totals travel along under a bucket of their own."""
-        if not table.num_rows:
-            return answers
-        number, _, b, fold = opened(table, order)
-        keys, own = b.counts(fold, slice(0, 2))
-        known = way.answered(keys, answers)
-        carry = pa.table({"unit": [number], "bucket": [-1 - number], "keys": [None], "counts": [pack(np.concatenate(known))]}, schema=EMPTY.schema)
-        if order <= 2:
-            return carry
-        more, counts, sent = rest(b, fold, known, keys, own)
-        return pa.concat_tables([carry, way.messages(number, more[sent], [c[sent] for c in counts])])
-
     kinds = "unit long, ids array<long>, folds binary, sizes binary, counts binary, tuning binary, tokens long, tuned long, words long"
     out_schema = pa.schema([("unit", pa.int64()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("folds", "sizes", "counts", "tuning")), *((c, pa.int64()) for c in ("tokens", "tuned", "words"))])
 
@@ -158,32 +116,14 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
             n = answers.num_rows
             own = {"unit": answers.column("unit"), "words": [int(np.frombuffer(x, "<i8")[0]) for x in answers.column("counts").to_pylist()]}
             return pa.table({c: own.get(c, [None] * n) for c in out_schema.names}, schema=out_schema)
-        number, table, b, fold = opened(table, order)
+        number, table, b, fold = opened(table)
+        train, tune = way.answered(b.keys, answers)
         folds, tuned = table.column("fold").to_numpy(), fold == TUNING
-        keys, own = b.counts(fold, slice(0, 2))
-        bucket = answers.column("bucket").to_numpy()
-        carry = answers.column("counts")[int(np.flatnonzero(bucket < 0)[0])].as_py()
-        known = list(unpack(carry, 2 * len(keys)).reshape(2, -1))
-        if order > 2:
-            more, counts, sent = rest(b, fold, known, keys, own)
-            for c, got in zip(counts, way.answered(more[sent], answers.filter(pa.array(bucket >= 0)))):
-                c[sent] = got
-            keys, known = (keys, more), (known, counts)
-        else:
-            keys, known = (keys, keys[:0]), (known, known)
-        planes, without = [], []
-        for j, (g, which) in enumerate(b.grams):
-            side = int(j > 1)
-            at = np.searchsorted(keys[side], g)
-            train, tune = known[side][0][at], known[side][1][at]
-            planes.append(train[which])
-            without.append((train - tune)[which[tuned]])
-        row = {"unit": [number], "ids": [table.column("doc_id").to_pylist()], "folds": [folds.astype(np.uint8).tobytes()], "sizes": [b.size.astype("<i8").tobytes()], "counts": [shrink(planes)], "tuning": [shrink(without)], "tokens": [int((fold != HELD_OUT).sum())], "tuned": [int(tuned.sum())], "words": [None]}
+        row = {"unit": [number], "ids": [table.column("doc_id").to_pylist()], "folds": [folds.astype(np.uint8).tobytes()], "sizes": [b.size.astype("<i8").tobytes()], "counts": [shrink(train[b.which])], "tuning": [shrink((train - tune)[b.which[:, tuned]])], "tokens": [int((fold != HELD_OUT).sum())], "tuned": [int(tuned.sum())], "words": [None]}
         return pa.table(row, schema=out_schema)
 
-    first = way.totals(rows.groupBy("unit").applyInArrow(send, MESSAGE), words)
-    second = way.totals(rows.groupBy("unit").cogroup(first.groupBy("unit")).applyInArrow(relay, MESSAGE))
-    return rows.groupBy("unit").cogroup(second.groupBy("unit")).applyInArrow(receive, kinds)
+    answers = way.totals(rows.groupBy("unit").applyInArrow(send, MESSAGE), words)
+    return rows.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(receive, kinds)
 
 
 def learn(gathered: DataFrame, order: int, tokens: int, uniform: float, steps: int = STEPS) -> np.ndarray:
@@ -229,7 +169,7 @@ def score(docs: DataFrame, order: int = ORDER, steps: int = STEPS) -> DataFrame:
     score that of the interpolated model. Null text is the empty text: only its end is scored. A null id hashes as the
     empty text. Repeated rows get a row each, with equal scores; an empty table gives an empty result; other columns are
     ignored. A very long text is a batch of its own and its memory grows with it. Nothing is ranked, so ties don't
-    matter. Where there is nothing to tune on, all weights are one half. N-grams are known by keys of KEY_BITS bits.
+    matter. Where there is nothing to tune on, all weights are one half. N-grams are known by keys of KEY_BITS bits and more.
     """
     gathered = written(gather(docs, order), "counts")
     facts = gathered.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "tuned"))).first()

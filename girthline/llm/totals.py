@@ -29,8 +29,6 @@ MESSAGE = "unit long, bucket long, keys binary, counts binary"
 _schema = pa.schema([("unit", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-EMPTY = _schema.empty_table()
-
 
 def apart(values: np.ndarray) -> bytes:
     """Unsigned integers by byte planes, each compressed by itself: random low bytes don't spoil the code of the others."""
@@ -87,11 +85,12 @@ def unbundle(table: pa.Table) -> pa.Table:
 
 
 class Exchange:
-    """The way of messages for `size` bytes of text, with keys of `keep` bits and so many counts to a key."""
+    """The way of messages for `size` bytes of text, with so many counts to a key. Keys have `keep` bits, or, with many
+    buckets, `rest` more than a bucket's number."""
 
-    def __init__(self, size: int, keep: int, planes: int):
-        self.keep, self.planes = keep, planes
-        self.bits = max(LEAST_BITS, int(size // BUCKET_BYTES).bit_length())
+    def __init__(self, size: int, keep: int, planes: int, rest: int = 0):
+        self.planes, self.bits = planes, max(LEAST_BITS, int(size // BUCKET_BYTES).bit_length())
+        self.keep = min(63, max(keep, rest + self.bits))
         self.fan = FAN
         self.units = size // BATCH_BYTES + 1
 
@@ -132,10 +131,13 @@ class Exchange:
         n = [len(k) for k in keys]
         found, which = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.concatenate([unpack(c, self.planes * m).reshape(self.planes, m) for c, m in zip(table.column("counts").to_pylist(), n)], 1)
-        # Integers are added as such: sums of 2^53 and more would lose ones as floating-point numbers.
+        # bincount adds floating-point numbers, which would lose ones from 2^53 on.
         sums = np.zeros((self.planes, len(found)), np.int64)
         for s, c in zip(sums, counts):
-            np.add.at(s, which, c)
+            if float(c.sum(dtype=float)) < 2**52:
+                s[:] = np.bincount(which, c, len(found))
+            else:
+                np.add.at(s, which, c)
         return found | base, list(sums), np.split(which, np.cumsum(n)[:-1])
 
     def replies(self, table: pa.Table, sums: list[np.ndarray], places: list[np.ndarray]) -> dict[str, list]:

@@ -259,7 +259,7 @@ def test_totals_coding():
     assert (totals.unsqueeze(totals.squeeze(values)) == values).all() and len(totals.unsqueeze(totals.squeeze(values[:0]))) == 0
     large = np.array([2**32 + 5, 7, 255, 254, 2**53 + 1])
     assert totals.unpack(totals.pack(large), 5).tolist() == large.tolist()
-    assert (lm_scoring.grow(lm_scoring.shrink([large, large + 0]), 2) == large).all()
+    assert (lm_scoring.grow(lm_scoring.shrink(np.stack([large, large + 0])), 2) == large).all()
 
 
 def test_totals_above_32_bits(spark):
