@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import forget, scratch_dir, written
+
+__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "crc_fold", "cuts", "forget", "let", "part_of", "scratch_dir", "table", "unused", "word_count", "written"]
+
 #: White space of the word rule: the space and the control characters 09 to 0D.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
@@ -34,38 +36,30 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent, as in tests on one machine, a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="girthline-"))
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage like checkpoint(), computes every row once, and survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/girthline/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.girthline_path = path
-    return back
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table that written() made, once nothing reads it any more."""
-    path = getattr(df, "girthline_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add: those given, with as many underscores in front as no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    lead = "_"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def cuts(df: DataFrame, column: str, most: int) -> list:
+    """At most `most` - 1 ascending values that cut a numeric column into parts of about equal numbers of rows."""
+    shares = [k / most for k in range(1, most)]
+    found = df.agg(F.percentile_approx(column, shares, 20 * most).alias("q")).first()["q"] if shares else []
+    return sorted(set(found or []))
+
+
+def part_of(value: Column, edges: list) -> Column:
+    """The number of edges up to a value: of a coarse step and a fine one, so that few are looked at."""
+    if not edges:
+        return F.when(value.isNotNull(), F.lit(0))
+    step = max(1, int(len(edges) ** 0.5))
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    count = lambda xs: F.size(F.filter(xs, lambda e: e <= value))
+    coarse = F.greatest(count(listed([g[0] for g in groups])) - 1, F.lit(0))
+    fine = F.element_at(F.array(*map(listed, groups)), coarse + 1)
+    return F.when(value.isNotNull(), coarse * step + count(fine))
