@@ -1,4 +1,9 @@
-"""Scratch tables in the folder that spark.checkpoint.dir names."""
+"""Scratch tables in the folder that spark.checkpoint.dir names.
+
+Each is a Parquet table under <folder>/girthline/<application id>, so that lineage is cut, every row is computed once and
+the loss of any executor does no harm. A table is needed as long as what was made of it is read: forget() deletes one,
+clear() all of an application's, once its results are written elsewhere.
+"""
 
 from __future__ import annotations
 
@@ -20,8 +25,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: lineage is cut, and each row is computed once."""
-    path = f"{scratch_dir(df.sparkSession)}/girthline/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+def own_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/girthline/{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path that no other call has."""
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """`df` as a Parquet table in the shared folder."""
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.girthline_path = path
+    return back
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that written() made, once nothing reads it any more."""
+    path = getattr(df, "girthline_path", None)
+    if path:
+        remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Results that were not written elsewhere can't be read any more."""
+    remove(spark, own_dir(spark))
