@@ -60,10 +60,6 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edited(table(spark, sf_dir, "documents"))
 
 
-def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmers.passages(table(spark, sf_dir, "documents"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
@@ -75,7 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_top_k": op9_top_k,
     "op10_syncmers": op10_syncmers,
-    "op10_passages": op10_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_jaccard": jaccard.SQL, "op9_top_k": topk.SQL}

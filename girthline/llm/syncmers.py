@@ -1,29 +1,27 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer is a closed syncmer if the smallest hash of its inner s-mers is that of its first or its last s-mer. That
-depends on the k-mer alone, so texts that share a passage share its anchors wherever it stands. Likeness is that of all
-anchors; a fingerprint is a compact text of the smallest anchor hashes. Everything is DataFrame code over arrays: s-mers by one regular expression, window minima by
-doubling, no position is ever looked up in the text again.
+depends on the k-mer alone, so texts that share a passage share its anchors wherever it stands. Texts are matched by
+position through links: a link is an anchor, the next anchor, and the distance between them, so a passage's links agree
+in order and offset wherever it stands, and anchors that texts share in other places or orders don't count. Likeness is
+that of all links; a fingerprint is a compact text of the smallest hashes of links. Everything is DataFrame code over
+arrays: s-mers by one regular expression, window minima by doubling, no position is ever looked up in the text again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cuts, let, part_of
 
 #: Characters of a k-mer and of its inner s-mers; a k-mer holds 8 of these (the doubling below fixes that number).
 S = 6
 K = S + 7
 #: Hashes in a fingerprint.
 SKETCH = 64
-#: Documents to a bucket of neighbours, about.
-NEIGHBOURS = 1024
-#: Occurrences in all texts up to which an anchor is rare enough to match passages by.
-RARE = 16
+#: Documents to a bucket of neighbours, about; ranges that the ids' quantiles cut, at most.
+NEIGHBOURS, RANGES = 256, 4096
 
 
 def short(h: Column) -> Column:
@@ -31,23 +29,26 @@ def short(h: Column) -> Column:
     return F.shiftrightunsigned(h, 33).cast("int")
 
 
-def anchors(text: Column, kept: Callable[[Column], Column] = short) -> Column:
-    """Closed syncmers of a text: array of (pos, hash), pos in code points from 0, hash of 31 bits or what is `kept`."""
+def anchors(text: Column) -> Column:
+    """Closed syncmers of a text: array of (pos, hash), pos in code points from 0, hash of 31 bits."""
     mins = lambda a, step: let(a, lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), lambda p, q: F.least(p, q)))
 
     def of(h: Column) -> Column:
         # The last 7 windows are not whole; their minima mix in fewer hashes and are cut off.
         low = F.slice(mins(mins(mins(h, 1), 2), 4), F.lit(1), F.greatest(F.size(h) - 7, F.lit(0)))
-        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.struct(i.alias("pos"), kept(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))).alias("hash")))
+        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.struct(i.alias("pos"), short(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))).alias("hash")))
         return F.filter(F.transform(low, mark), lambda a: a.isNotNull())
 
     smers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), 1)
     return let(F.transform(smers, lambda x: F.xxhash64(x)), of)
 
 
-def distinct(hashes: Column, whole: Column) -> Column:
-    """All distinct hashes, sorted; a text without anchors has one: its whole. The empty text has none."""
-    some = let(hashes, lambda h: F.when(F.size(h) > 0, h).when(whole != "", F.array(short(F.xxhash64(whole)))).otherwise(F.array().cast("array<int>")))
+def links(own: Column, whole: Column) -> Column:
+    """All distinct links of a text's anchors, sorted: 31-bit hashes of an anchor, the next one and their distance. A
+    single anchor stands for itself; a text without anchors has one link, its whole; the empty text has none."""
+    linked = lambda p, q: F.when(q.isNotNull(), short(F.xxhash64(p["hash"], q["hash"], q["pos"] - p["pos"])))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: linked(F.get(own, i - 1), F.get(own, i)))
+    some = F.when(F.size(own) > 1, pairs).when(F.size(own) == 1, F.transform(own, lambda a: a["hash"])).when(whole != "", F.array(short(F.xxhash64(whole)))).otherwise(F.array().cast("array<int>"))
     return F.sort_array(F.array_distinct(some))
 
 
@@ -62,10 +63,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint and all distinct hashes as an array, for each row; null text is the empty text."""
+    """doc_id, n_chars, fingerprint and all distinct links as an array, for each row; null text is the empty text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), distinct(F.transform(anchors(text), lambda a: a["hash"]), text).alias("hashes"))
-    return found.select("doc_id", "n_chars", as_text(F.col("hashes")).alias("fingerprint"), "hashes")
+    found = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), let(anchors(text), lambda own: links(own, text)).alias("links"))
+    return found.select("doc_id", "n_chars", as_text(F.col("links")).alias("fingerprint"), "links")
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -73,20 +74,22 @@ def positions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(anchors(F.coalesce(F.col("text"), F.lit("")))).alias("a")).select("doc_id", "a.pos", "a.hash")
 
 
-def passages(docs: DataFrame, rare: int = RARE) -> DataFrame:
-    """doc_a, doc_b, shift, n_anchors, first, last: passages that two documents share, doc_a < doc_b.
+def buckets(docs: DataFrame) -> tuple[Column, Column]:
+    """Two numbers of a row: the range of its id, and its bucket, which follows the order of ids.
 
-    A row a pair and shift (position in doc_b less that in doc_a) with the anchors that agree on it: how many, and from
-    where to where (end exclusive, in doc_a) they reach. Only anchors with 2 to `rare` occurrences in all texts are
-    joined, by 64-bit hashes, so an anchor makes a bounded number of rows. Rows without id have no passages, nor have
-    rows of one id with each other.
+    Ids' quantiles cut ranges of equal numbers of rows, so ids that crowd or stray don't make a bucket large; with more
+    than RANGES * NEIGHBOURS rows each range is cut evenly again.
     """
-    every = F.explode(anchors(F.col("text"), lambda h: h)).alias("a")
-    at = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", every).select("doc_id", "a.pos", "a.hash")
-    some = at.join(at.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n").between(2, rare)).select("hash"), "hash")
-    a, b = (some.select("hash", F.col("doc_id").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
-    met = a.join(b, "hash").where("doc_a < doc_b").groupBy("doc_a", "doc_b", (F.col("pos_b") - F.col("pos_a")).alias("shift"))
-    return met.agg(F.count("*").alias("n_anchors"), F.min("pos_a").alias("first"), (F.max("pos_a") + K).alias("last"))
+    facts = docs.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    ranges = int(min(RANGES, facts["n"] // NEIGHBOURS + 1))
+    edges = [int(x) for x in cuts(docs, "doc_id", ranges)]
+    part, fine = part_of(F.col("doc_id").cast("long"), edges), -(-facts["n"] // (ranges * NEIGHBOURS)) or 1
+    if fine == 1:
+        return part, part.cast("long")
+    los, ends = [int(facts["lo"]), *edges], [*edges, int(facts["hi"]) + 1]
+    at = lambda xs: F.get(F.array(*map(F.lit, xs)), part)
+    even = F.floor((F.col("doc_id") - at(los)) / at([max(1, -(-(b - a) // fine)) for a, b in zip(los, ends)]))
+    return part, part.cast("long") * fine + F.least(F.lit(fine - 1), F.greatest(F.lit(0), even))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -98,18 +101,17 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     Null text is the empty text. Documents with equal ids follow each other by text; a row without id comes after all
     others, so that its next is the first document, and is no document's next (with no ids at all, nothing follows).
-    Repeated rows get a row each; an empty table gives an empty result; other columns are ignored.
+    Repeated rows get a row each; an empty table gives an empty result; other columns are ignored. A very long text's
+    anchors are arrays in one row, whose memory grows with the text.
 
-    Neighbours meet in buckets of about 1024 by evenly cut id ranges. Ids that crowd in few ranges make larger buckets,
-    which Spark sorts and spills.
+    Neighbours meet in buckets of about 256 (see buckets()). Rows that repeat one id share a bucket, which Spark sorts
+    and spills.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = docs.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    lo, width = float(facts["lo"] or 0), max(1.0, (float(facts["hi"] or 0) - float(facts["lo"] or 0) + 1) / max(1, facts["n"]) * NEIGHBOURS)
-    place = F.floor((F.col("doc_id").cast("double") - F.lit(lo)) / F.lit(width)).cast("long")
-    bucket = F.when(F.col("doc_id").isNotNull(), place).otherwise(F.lit(-1).cast("long") - F.pmod(F.xxhash64(text), F.lit(1024)))
+    part, bucket = buckets(docs)
+    place = [F.coalesce(part, F.lit(-1)).alias("part"), F.coalesce(bucket, F.lit(-1).cast("long") - F.pmod(F.xxhash64(text), F.lit(1024))).alias("bucket")]
     # Not null, or Spark would filter each use of the exchange below differently and shuffle the texts again.
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(bucket, F.lit(0).cast("long")).alias("bucket"))
+    rows = docs.select("doc_id", text.alias("text"), place[1])
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     lead = lambda c: F.when(F.col("bucket") >= 0, F.lead(c).over(order))
     seen = rows.withColumn("at", F.row_number().over(order)).withColumn("next", lead("text")).withColumn("given", F.floor(F.lag(F.length("text")).over(order) / 2).cast("int"))
@@ -118,22 +120,29 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     # the window.
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    hashes = lambda a: F.transform(a, lambda x: x["hash"])
-    upto = lambda own, m: let(m, lambda most: F.array_distinct(hashes(F.filter(own, lambda a: a["pos"] + K <= most))))
-    found = seen.withColumn("s", let(anchors(F.col("text")), lambda own: F.struct(distinct(hashes(own), F.col("text")).alias("own"), upto(own, n - half).alias("kept"), upto(own, F.coalesce("given", F.lit(0))).alias("given"))))
+    upto = lambda own, m: let(m, lambda most: F.filter(own, lambda a: a["pos"] + K <= most))
+    moved = lambda own, by: F.transform(own, lambda a: F.struct((a["pos"] + by).alias("pos"), a["hash"].alias("hash")))
+    own_parts = lambda own, *more: F.struct(links(own, F.col("text")).alias("own"), upto(own, n - half).alias("kept"), *more)
+    found = seen.withColumn("s", let(anchors(F.col("text")), lambda own: own_parts(own, upto(own, F.coalesce("given", F.lit(0))).alias("given"))))
     kept, added = F.left("text", n - half), F.left("next", half)
     seam = F.concat(F.right(kept, F.lit(K - 1)), F.left(added, F.lit(K - 1)))
-    row = lambda df: df.select("doc_id", n.cast("long").alias("n_chars"), F.concat(kept, added).alias("edited"), F.col("s.own").alias("hashes"), F.concat("s.kept", "next_given", hashes(anchors(seam))).alias("parts"), "next_hashes")
-    inner = row(found.withColumn("next_hashes", lead("s.own")).withColumn("next_given", lead("s.given")).where("next IS NOT NULL"))
-
-    # The last document of each bucket, and rows without id, look up the next bucket's first. A thousandth of the rows.
-    used = docs.select(bucket.alias("bucket")).distinct()
-    first = used.where("bucket >= 0").agg(F.min("bucket")).first()[0]
-    after = used.withColumn("next_bucket", F.when(F.col("bucket") >= 0, F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.lit(first))).otherwise(F.lit(first)))
-    heads = seen.where("at = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
-    ends = seen.where("next IS NULL").drop("next").join(after, "bucket").join(heads, "next_bucket", "left").withColumn("next", F.coalesce("head", F.lit("")))
-    ends = ends.withColumn("s", let(anchors(F.col("text")), lambda own: F.struct(distinct(hashes(own), F.col("text")).alias("own"), upto(own, n - half).alias("kept"))))
-    outer = row(ends.withColumn("next_hashes", distinct(hashes(anchors(F.col("next"))), F.col("next"))).withColumn("next_given", hashes(anchors(added))))
-
-    both = inner.unionByName(outer).withColumn("edited_hashes", distinct(F.col("parts"), F.col("edited")))
-    return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("hashes")).alias("fingerprint"), as_text(F.col("edited_hashes")).alias("edited_fingerprint"), likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
+    parts = F.concat("s.kept", moved(anchors(seam), n - half - F.least(n - half, F.lit(K - 1))), moved(F.col("next_given"), n - half))
+    row = lambda df: df.select("doc_id", n.cast("long").alias("n_chars"), F.concat(kept, added).alias("edited"), F.col("s.own").alias("links"), parts.alias("parts"), "next_links")
+    inner = row(found.withColumn("next_links", lead("s.own")).withColumn("next_given", lead("s.given")).where("next IS NOT NULL"))
+
+    # The last document of each bucket looks up the next bucket's first, which may be in the next range (of these there
+    # are at most RANGES). Rows without id look up the first of all, of which each of their buckets has a copy.
+    used = docs.select(*place).distinct()
+    starts = used.where("part >= 0").groupBy("part").agg(F.min("bucket").alias("start"))
+    first = starts.agg(F.min("start")).first()[0]
+    starts = starts.select("part", F.coalesce(F.lead("start").over(Window.orderBy("part")), F.lit(first)).alias("turn"))
+    after = used.where("part >= 0").withColumn("follow", F.lead("bucket").over(Window.partitionBy("part").orderBy("bucket"))).join(starts, "part")
+    after = after.select("bucket", F.coalesce("follow", "turn").alias("next_bucket")).unionByName(used.where("part < 0").select("bucket", F.col("bucket").alias("next_bucket")))
+    heads = seen.where("at = 1 AND bucket >= 0").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
+    copies = used.where("part < 0").select(F.col("bucket").alias("lost"), F.lit(first).cast("long").alias("next_bucket")).join(heads, "next_bucket").select(F.col("lost").alias("next_bucket"), "head")
+    ends = seen.where("next IS NULL").drop("next").join(after, "bucket").join(heads.unionByName(copies), "next_bucket", "left").withColumn("next", F.coalesce("head", F.lit("")))
+    ends = ends.withColumn("s", let(anchors(F.col("text")), lambda own: own_parts(own)))
+    outer = row(ends.withColumn("next_links", let(anchors(F.col("next")), lambda own: links(own, F.col("next")))).withColumn("next_given", anchors(added)))
+
+    both = inner.unionByName(outer).withColumn("edited_links", links(F.col("parts"), F.col("edited")))
+    return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("links")).alias("fingerprint"), as_text(F.col("edited_links")).alias("edited_fingerprint"), likeness(F.col("links"), F.col("edited_links")).alias("near_edited"), likeness(F.col("links"), F.col("next_links")).alias("near_next"))
