@@ -137,12 +137,12 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     first = starts.agg(F.min("start")).first()[0]
     starts = starts.select("part", F.coalesce(F.lead("start").over(Window.orderBy("part")), F.lit(first)).alias("turn"))
     after = used.where("part >= 0").withColumn("follow", F.lead("bucket").over(Window.partitionBy("part").orderBy("bucket"))).join(starts, "part")
-    after = after.select("bucket", F.coalesce("follow", "turn").alias("next_bucket")).unionByName(used.where("part < 0").select("bucket", F.col("bucket").alias("next_bucket")))
-    heads = seen.where("at = 1 AND bucket >= 0").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
-    copies = used.where("part < 0").select(F.col("bucket").alias("lost"), F.lit(first).cast("long").alias("next_bucket")).join(heads, "next_bucket").select(F.col("lost").alias("next_bucket"), "head")
+    after = after.select("bucket", F.coalesce("follow", "turn").alias("next_bucket")).unionByName(used.where("part < 0").select("bucket", (F.col("bucket") - 1024).alias("next_bucket")))
+    heads = seen.where("at = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("head"))
+    copies = used.where("part < 0").select((F.col("bucket") - 1024).alias("lost"), F.lit(first).cast("long").alias("next_bucket")).join(heads, "next_bucket").select(F.col("lost").alias("next_bucket"), "head")
     ends = seen.where("next IS NULL").drop("next").join(after, "bucket").join(heads.unionByName(copies), "next_bucket", "left").withColumn("next", F.coalesce("head", F.lit("")))
     ends = ends.withColumn("s", let(anchors(F.col("text")), lambda own: own_parts(own)))
     outer = row(ends.withColumn("next_links", let(anchors(F.col("next")), lambda own: links(own, F.col("next")))).withColumn("next_given", anchors(added)))
 
-    both = inner.unionByName(outer).withColumn("edited_links", links(F.col("parts"), F.col("edited")))
+    both = inner.unionByName(outer).withColumn("edited_links", let(F.col("parts"), lambda own: links(own, F.col("edited"))))
     return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("links")).alias("fingerprint"), as_text(F.col("edited_links")).alias("edited_fingerprint"), likeness(F.col("links"), F.col("edited_links")).alias("near_edited"), likeness(F.col("links"), F.col("next_links")).alias("near_next"))
