@@ -121,7 +121,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     upto = lambda own, m: let(m, lambda most: F.filter(own, lambda a: a["pos"] + K <= most))
-    moved = lambda own, by: F.transform(own, lambda a: F.struct((a["pos"] + by).alias("pos"), a["hash"].alias("hash")))
+    moved = lambda own, by: let(by, lambda m: F.transform(own, lambda a: F.struct((a["pos"] + m).alias("pos"), a["hash"].alias("hash"))))
     own_parts = lambda own, *more: F.struct(links(own, F.col("text")).alias("own"), upto(own, n - half).alias("kept"), *more)
     found = seen.withColumn("s", let(anchors(F.col("text")), lambda own: own_parts(own, upto(own, F.coalesce("given", F.lit(0))).alias("given"))))
     kept, added = F.left("text", n - half), F.left("next", half)
