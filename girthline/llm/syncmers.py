@@ -29,14 +29,22 @@ def short(h: Column) -> Column:
     return F.shiftrightunsigned(h, 33).cast("int")
 
 
+def place(anchor: Column) -> Column:
+    return F.shiftright(anchor, 32)
+
+
+def hash_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
 def anchors(text: Column) -> Column:
-    """Closed syncmers of a text: array of (pos, hash), pos in code points from 0, hash of 31 bits."""
+    """Closed syncmers of a text in order, each as one long: pos (in code points from 0) << 32 | hash of 31 bits."""
     mins = lambda a, step: let(a, lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), lambda p, q: F.least(p, q)))
 
     def of(h: Column) -> Column:
         # The last 7 windows are not whole; their minima mix in fewer hashes and are cut off.
         low = F.slice(mins(mins(mins(h, 1), 2), 4), F.lit(1), F.greatest(F.size(h) - 7, F.lit(0)))
-        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.struct(i.alias("pos"), short(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))).alias("hash")))
+        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.shiftleft(i.cast("long"), 32) + short(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))))
         return F.filter(F.transform(low, mark), lambda a: a.isNotNull())
 
     smers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), 1)
@@ -46,9 +54,9 @@ def anchors(text: Column) -> Column:
 def links(own: Column, whole: Column) -> Column:
     """All distinct links of a text's anchors, sorted: 31-bit hashes of an anchor, the next one and their distance. A
     single anchor stands for itself; a text without anchors has one link, its whole; the empty text has none."""
-    linked = lambda p, q: F.when(q.isNotNull(), short(F.xxhash64(p["hash"], q["hash"], q["pos"] - p["pos"])))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: linked(F.get(own, i - 1), F.get(own, i)))
-    some = F.when(F.size(own) > 1, pairs).when(F.size(own) == 1, F.transform(own, lambda a: a["hash"])).when(whole != "", F.array(short(F.xxhash64(whole)))).otherwise(F.array().cast("array<int>"))
+    linked = lambda p, q: short(F.xxhash64(hash_of(p), hash_of(q), place(q) - place(p)))
+    pairs = F.zip_with(F.slice(own, F.lit(1), F.size(own) - 1), F.slice(own, F.lit(2), F.size(own)), linked)
+    some = F.when(F.size(own) > 1, pairs).when(F.size(own) == 1, F.transform(own, hash_of)).when(whole != "", F.array(short(F.xxhash64(whole)))).otherwise(F.array().cast("array<int>"))
     return F.sort_array(F.array_distinct(some))
 
 
@@ -71,7 +79,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def positions(docs: DataFrame) -> DataFrame:
     """doc_id, pos, hash: a row for each anchor, to match passages by position."""
-    return docs.select("doc_id", F.explode(anchors(F.coalesce(F.col("text"), F.lit("")))).alias("a")).select("doc_id", "a.pos", "a.hash")
+    return docs.select("doc_id", F.explode(anchors(F.coalesce(F.col("text"), F.lit("")))).alias("a")).select("doc_id", place(F.col("a")).cast("int").alias("pos"), hash_of(F.col("a")).alias("hash"))
 
 
 def buckets(docs: DataFrame) -> tuple[Column, Column]:
@@ -109,7 +117,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     part, bucket = buckets(docs)
-    place = [F.coalesce(part, F.lit(-1)).alias("part"), F.coalesce(bucket, F.lit(-1).cast("long") - F.pmod(F.xxhash64(text), F.lit(1024))).alias("bucket")]
+    place = [F.coalesce(part, F.lit(-1)).alias("part"), F.coalesce(bucket, F.lit(-1).cast("long") - F.pmod(F.xxhash64(text), F.lit(1024)), F.lit(0).cast("long")).alias("bucket")]
     # Not null, or Spark would filter each use of the exchange below differently and shuffle the texts again.
     rows = docs.select("doc_id", text.alias("text"), place[1])
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
@@ -120,8 +128,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     # the window.
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    upto = lambda own, m: let(m, lambda most: F.filter(own, lambda a: a["pos"] + K <= most))
-    moved = lambda own, by: let(by, lambda m: F.transform(own, lambda a: F.struct((a["pos"] + m).alias("pos"), a["hash"].alias("hash"))))
+    upto = lambda own, m: let(m, lambda most: F.filter(own, lambda a: place(a) + K <= most))
+    moved = lambda own, by: let(F.shiftleft(by.cast("long"), 32), lambda m: F.transform(own, lambda a: a + m))
     own_parts = lambda own, *more: F.struct(links(own, F.col("text")).alias("own"), upto(own, n - half).alias("kept"), *more)
     found = seen.withColumn("s", let(anchors(F.col("text")), lambda own: own_parts(own, upto(own, F.coalesce("given", F.lit(0))).alias("given"))))
     kept, added = F.left("text", n - half), F.left("next", half)
