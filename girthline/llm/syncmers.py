@@ -117,9 +117,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     part, bucket = buckets(docs)
-    place = [F.coalesce(part, F.lit(-1)).alias("part"), F.coalesce(bucket, F.lit(-1).cast("long") - F.pmod(F.xxhash64(text), F.lit(1024)), F.lit(0).cast("long")).alias("bucket")]
+    spot = [F.coalesce(part, F.lit(-1)).alias("part"), F.coalesce(bucket, F.lit(-1).cast("long") - F.pmod(F.xxhash64(text), F.lit(1024)), F.lit(0).cast("long")).alias("bucket")]
     # Not null, or Spark would filter each use of the exchange below differently and shuffle the texts again.
-    rows = docs.select("doc_id", text.alias("text"), place[1])
+    rows = docs.select("doc_id", text.alias("text"), spot[1])
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     lead = lambda c: F.when(F.col("bucket") >= 0, F.lead(c).over(order))
     seen = rows.withColumn("at", F.row_number().over(order)).withColumn("next", lead("text")).withColumn("given", F.floor(F.lag(F.length("text")).over(order) / 2).cast("int"))
@@ -140,7 +140,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     # The last document of each bucket looks up the next bucket's first, which may be in the next range (of these there
     # are at most RANGES). Rows without id look up the first of all, of which each of their buckets has a copy.
-    used = docs.select(*place).distinct()
+    used = docs.select(*spot).distinct()
     starts = used.where("part >= 0").groupBy("part").agg(F.min("bucket").alias("start"))
     first = starts.agg(F.min("start")).first()[0]
     starts = starts.select("part", F.coalesce(F.lead("start").over(Window.orderBy("part")), F.lit(first)).alias("turn"))
