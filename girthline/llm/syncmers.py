@@ -42,10 +42,14 @@ def anchors(text: Column) -> Column:
     mins = lambda a, step: let(a, lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), lambda p, q: F.least(p, q)))
 
     def of(h: Column) -> Column:
-        # The last 7 windows are not whole; their minima mix in fewer hashes and are cut off.
-        low = F.slice(mins(mins(mins(h, 1), 2), 4), F.lit(1), F.greatest(F.size(h) - 7, F.lit(0)))
-        mark = lambda x, i: F.when((F.get(h, i) == x) | (F.get(h, i + 7) == x), F.shiftleft(i.cast("long"), 32) + short(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))))
-        return F.filter(F.transform(low, mark), lambda a: a.isNotNull())
+        # A window of 8 is two of 4; an edge holds the smallest hash if the smaller edge is no larger than both. The last
+        # 7 windows are not whole.
+        def of_fours(low: Column) -> Column:
+            closed = lambda x, i: F.least(F.get(h, i), F.get(h, i + 7)) <= F.least(x, F.get(low, i + 4))
+            mark = lambda x, i: F.when(closed(x, i), F.shiftleft(i.cast("long"), 32) + short(F.xxhash64(F.get(h, i), F.get(h, i + 3), F.get(h, i + 7))))
+            return F.filter(F.transform(F.slice(low, F.lit(1), F.greatest(F.size(h) - 7, F.lit(0))), mark), lambda a: a.isNotNull())
+
+        return let(mins(mins(h, 1), 2), of_fours)
 
     smers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), 1)
     return let(F.transform(smers, lambda x: F.xxhash64(x)), of)
