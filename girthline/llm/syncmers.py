@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cuts, let, part_of
+from .common import cuts, let, part_of, written
 
 #: Characters of a k-mer and of its inner s-mers; a k-mer holds 8 of these (the doubling below fixes that number).
 S = 6
@@ -144,7 +144,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     # The last document of each bucket looks up the next bucket's first, which may be in the next range (of these there
     # are at most RANGES). Rows without id look up the first of all, of which each of their buckets has a copy.
-    used = docs.select(*spot).distinct()
+    used = written(docs.select(*spot).distinct(), "buckets")
     starts = used.where("part >= 0").groupBy("part").agg(F.min("bucket").alias("start"))
     first = starts.agg(F.min("start")).first()[0]
     starts = starts.select("part", F.coalesce(F.lead("start").over(Window.orderBy("part")), F.lit(first)).alias("turn"))
