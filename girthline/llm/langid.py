@@ -10,15 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, unused
 from .tokens import portions
 
 #: n-grams of 1 to 3 characters; so many of each profile and each document.
 ORDERS, TOP = 3, 300
 #: Documents of each language that training reads at most (about: a hash threshold chooses them).
 SAMPLE = 4000
-#: More labels than this aren't languages; training then stops with an error.
-MOST_LANGS = 1000
 #: Documents and bytes of text that are counted at once.
 GROUP, BYTES = 120, 400_000
 
@@ -67,9 +65,11 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, gram, rank of each text's `top` most frequent grams; equal counts go by gram."""
-    key = np.sort(doc << 56 | (0xFFFFFF - np.minimum(count, 0xFFFFFF)) << 32 | np.arange(len(doc)))
-    at = key & 0xFFFFFFFF
-    d = key >> 56
+    if len(count) and count.max() < 1 << 24:
+        at = np.sort(doc << 56 | (0xFFFFFF - count) << 32 | np.arange(len(doc))) & 0xFFFFFFFF
+    else:
+        at = np.lexsort((np.arange(len(doc)), -count, doc))
+    d = doc[at]
     first = np.searchsorted(d, np.arange(int(d[-1]) + 1)) if len(d) else np.zeros(0, np.int64)
     rank = np.arange(len(d)) - first[d] if len(d) else np.zeros(0, np.int64)
     keep = rank < top
@@ -79,17 +79,12 @@ def ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, top: int = TOP)
 def train(labelled: DataFrame, top: int = TOP, sample: int = SAMPLE) -> list[tuple[str, int, int]]:
     """(lang, gram, rank) rows of the profiles from (doc_id, text, lang).
 
-    Reads about `sample` documents a language (all, if there are fewer), chosen by a hash of id and language. There
-    are at most `top` rows a language, so the result's size is bounded by the number of languages.
+    Reads about `sample` documents a language (all, if there are fewer), chosen by a hash of id and language. The result
+    has at most `top` rows for each language, however many documents there are.
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    if not counts:
-        return []
-    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], float(sample) / r["count"] * (1 << 30))))
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < below[F.col("lang")])
+    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(sample)) / F.count("*") * (1 << 30)).alias("_below"))
+    picked = labelled.join(counts, F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < F.col("_below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -124,13 +119,14 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TO
 
     score is 1 less the mean out-of-place distance to the best language as a share of the largest (`top`, which a
     gram outside the profile counts). Ties go to the first language in code-point order. Text that is null or has no
-    letter, or any text when no profile was learned, is `und` with score 0.
+    letter, or any text when no profile was learned, is `und` with score 0. Null ids, repeated rows and other columns
+    stay as they are; an empty table gives an empty result; a very long text is counted whole, by itself.
     """
     langs = sorted({p[0] for p in profiles}, key=lambda s: s.encode())
-    known = np.array(sorted({p[1] for p in profiles}), np.int64)
-    place = np.full((len(known) + 1, len(langs)), -1, np.int64)
-    for lang, gram, rank in profiles:
-        place[np.searchsorted(known, gram), langs.index(lang)] = rank
+    number = {name: i for i, name in enumerate(langs)}
+    # A row a gram of a profile, by gram: only the languages that have a gram are looked at.
+    rows = np.array(sorted((gram, number[lang], rank) for lang, gram, rank in profiles), np.int64).reshape(-1, 3)
+    known, first, many = np.unique(rows[:, 0], return_index=True, return_counts=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +138,12 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TO
                 best, far = np.zeros(size, np.int64), np.full(size, float(top))
                 if langs and len(doc):
                     at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                    at[known[at] != gram] = len(known)
-                    off = np.where(place[at] < 0, top, np.abs(place[at] - rank[:, None]))
-                    dist = np.stack([np.bincount(doc, off[:, k], size) for k in range(len(langs))], 1)
+                    some = known[at] == gram
+                    n = many[at[some]]
+                    place = np.repeat(first[at[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    # Every gram is `top` away from a language that doesn't have it; what a profile has comes nearer.
+                    nearer = np.maximum(top - np.abs(rows[place, 2] - np.repeat(rank[some], n)), 0)
+                    dist = (count * top)[:, None] - np.bincount(np.repeat(doc[some], n) * len(langs) + rows[place, 1], nearer, size * len(langs)).reshape(size, -1)
                     best = dist.argmin(1)
                     far = dist[np.arange(size), best] / np.maximum(count, 1)
                 ok = (letters > 0) & bool(langs)
@@ -154,7 +153,8 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TO
             yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], *names])
 
     schema = docs.limit(0).schema.add(names[0], "string").add(names[1], "double")
-    return docs.select("*", F.col("text").alias("_langid_text")).mapInArrow(run, schema)
+    (copy,) = unused(docs, "text")
+    return docs.select("*", F.col("text").alias(copy)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import unused, word_count, written
 
 BITS, LEVELS = 12, 5
 #: A target stops at so many times its source's size.
@@ -69,6 +69,17 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             return done
 
 
+def plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(source, h, size) to a row a source: source, source_size, target, rounds (copies of all its documents) and cut
+    (documents with a smaller hash come once more). Written, so that Spark knows its size before it broadcasts it."""
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    goal = goal.withColumn("rounds", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
+    goal = written(goal.withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size")), "goal")
+    cuts = thresholds(sized.select("source", "h", "size"), goal.select("source", "budget"))
+    found = goal.join(cuts.select(F.col("source").alias("s"), "cut"), F.col("source").eqNullSafe(F.col("s")), "left")
+    return written(found.select("source", "source_size", "target", "rounds", F.coalesce("cut", F.lit(0).cast("long")).alias("cut")), "plan")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: how many times the mix takes each document.
 
@@ -76,26 +87,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST)
     once more. The same rows give the same mix, whatever the partitions.
 
     Null text counts 0 words; null source is a source of its own, last in order; a null id hashes as the empty text;
-    repeated rows share a hash and are taken alike; an empty table gives an empty result; other columns are ignored.
+    repeated rows, and ties of hashes, are taken alike; an empty table gives an empty result; other columns are ignored.
+    A very long text is one row, whose words are counted by one expression; it is taken whole or not at all.
     """
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h")), "sized")
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    goal = goal.withColumn("rounds", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
-    goal = written(goal.withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size")), "goal")
-    cuts = thresholds(sized.select("source", "h", "size"), goal.select("source", "budget"))
-    goal = goal.join(cuts.select(F.col("source").alias("s"), "cut"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "rounds", F.coalesce("cut", F.lit(0).cast("long")).alias("cut"))
+    goal = plan(sized, weights, most).withColumnRenamed("source", "s")
     copies = F.col("rounds") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
     return sized.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """The mix itself: each row of `docs` as often as mix() takes its document, with all its columns.
+    """The mix itself: each row of `docs` as often as mix() takes it, with all its columns.
 
-    A row whose doc_id repeats takes the copies of its own id; null ids match each other.
+    Copies follow from the row's own source and hash, so rows with one id in several sources are taken by each source's
+    own plan, and texts aren't shuffled to be matched. Null text, source and id, repeated rows, very long texts and an
+    empty table are as in mix(); columns of any names stay as they are.
     """
-    copies = mix(docs, weights, most).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id"))).where("_mix_copies > 0")
-    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    sized = docs.select("source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    s, rounds, cut, k = unused(docs, "s", "rounds", "cut", "k")
+    goal = plan(written(sized, "sized"), weights, most).select(F.col("source").alias(s), F.col("rounds").alias(rounds), F.col("cut").alias(cut))
+    out = docs.join(goal, docs["source"].eqNullSafe(F.col(s)))
+    copies = F.col(rounds) + F.when(id_hash(docs["doc_id"]) < F.col(cut), 1).otherwise(0)
+    return out.withColumn(k, copies).where(F.col(k) > 0).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(k).cast("int")))).select(*docs.columns)
 
 
 #: The same rule for DuckDB, with a sort instead of histograms.

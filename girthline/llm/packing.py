@@ -1,7 +1,7 @@
 """Pack token sequences into rows of fixed length: best fit decreasing with a segment tree over free capacities.
 
-Documents longer than a row are cut into pieces without loss. Each input partition packs shards of bounded size as it
-streams by, so nothing is shuffled, no document can make a task large, and a lost task repeats only itself.
+Documents longer than a row are cut into pieces without loss. A hash deals documents into shards of bounded size, so the
+rows are the same however the input is split, and a lost task repeats only its own shards.
 """
 
 from __future__ import annotations
@@ -12,12 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Row length in tokens; tokens of a shard; ids of the byte tokenizer's end of text and of padding.
-ROW, SHARD, END, PAD = 2048, 2_000_000, 256, 257
+#: Row length in tokens; tokens that a shard is packed at, at most, and bytes of text that it is dealt, about; ids of the byte tokenizer's end of text and of padding.
+ROW, SHARD, SHARD_BYTES, END, PAD = 2048, 4_000_000, 8_000_000, 256, 257
 
 
 class Free:
@@ -102,19 +101,21 @@ def rank_encoder(spark: SparkSession, path: str, pattern: str, end: int, most: i
 
 
 def pack(docs: DataFrame, encode: Callable[[str], np.ndarray] = byte_ids, row: int = ROW, shard: int = SHARD, pad: int = PAD) -> DataFrame:
-    """Packed rows: shard, row, n_tokens, ids, cu_seqlens, positions, doc_ids, starts.
+    """Packed rows: shard, part, row, n_tokens, ids, cu_seqlens, positions, doc_ids, starts.
 
     ids is a row of the id matrix (little-endian unsigned 32-bit, padded to `row`); cu_seqlens holds the segments'
     cumulative lengths from 0; positions holds each token's place in its segment, so it is reset at each; doc_ids and
     starts say of which document, and from which of its tokens on, each segment is. A document is its segments by
-    rising start. (shard, row) is unique; shards follow the input's partitions.
+    rising start. (shard, part, row) is unique. Shards follow a hash of id and text; a shard that rows repeated many
+    times make too large is packed in several parts, so that memory stays bounded.
 
-    Null text is the empty text, which is its end token; null ids and repeated rows are documents like others; an empty
-    table gives an empty result; other columns are ignored.
+    Null text is the empty text, which is its end token; null ids and repeated rows are documents like others; documents
+    of equal length are packed by rising id; a very long text is cut into rows, but encoded at once; an empty table
+    gives an empty result; other columns are ignored.
     """
-    schema = "shard long, row int, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<int>"
+    schema = "shard long, part int, row int, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<int>"
 
-    def rows(number: int, owners: list, seqs: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(number: int, part: int, owners: list, seqs: list[np.ndarray]) -> pa.RecordBatch:
         pieces = [(k, s) for k, ids in enumerate(seqs) for s in range(0, len(ids), row)]
         lengths = np.array([min(row, len(seqs[k]) - s) for k, s in pieces], np.int64)
         out: dict[str, list] = {c: [] for c in ("ids", "cu", "positions", "docs", "starts", "n")}
@@ -127,22 +128,27 @@ def pack(docs: DataFrame, encode: Callable[[str], np.ndarray] = byte_ids, row: i
             out["ids"].append(ids.tobytes()), out["cu"].append([0, *ends.tolist()]), out["positions"].append(positions.astype("<u4").tobytes())
             out["docs"].append([owners[pieces[i][0]] for i in b]), out["starts"].append([pieces[i][1] for i in b]), out["n"].append(int(ends[-1]))
         n = len(out["n"])
-        return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["ids"], pa.binary()), pa.array(out["cu"], pa.list_(pa.int32())), pa.array(out["positions"], pa.binary()), pa.array(out["docs"], pa.list_(pa.int64())), pa.array(out["starts"], pa.list_(pa.int32()))], names=["shard", "row", "n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "starts"])
+        return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["ids"], pa.binary()), pa.array(out["cu"], pa.list_(pa.int32())), pa.array(out["positions"], pa.binary()), pa.array(out["docs"], pa.list_(pa.int64())), pa.array(out["starts"], pa.list_(pa.int32()))], names=["shard", "part", "row", "n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, owners, seqs, held = TaskContext.get().partitionId() << 32, [], [], 0
+        number, part, owners, seqs, held = None, 0, [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for own, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if seqs and (own != number or held >= shard):
+                    yield rows(number, part, owners, seqs)
+                    part, owners, seqs, held = (part + 1 if own == number else 0), [], [], 0
+                number = own
                 ids = encode(text.as_py() or "")
                 owners.append(doc), seqs.append(ids)
                 held += len(ids)
-                if held >= shard:
-                    yield rows(number, owners, seqs)
-                    number, owners, seqs, held = number + 1, [], [], 0
         if seqs:
-            yield rows(number, owners, seqs)
+            yield rows(number, part, owners, seqs)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    text = F.col("text").cast("string")
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    shards = int(size // SHARD_BYTES) + 1
+    x = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("long").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return x.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"), "text").mapInArrow(run, schema)
 
 
 def unpack(packed: DataFrame) -> DataFrame:
@@ -155,4 +161,4 @@ def unpack(packed: DataFrame) -> DataFrame:
 def digest(packed: DataFrame) -> DataFrame:
     """The packed rows with digests in place of the matrices."""
     sha = lambda c: F.sha2(F.col(c), 256)
-    return packed.select("shard", "row", "n_tokens", F.array_join(F.transform("doc_ids", lambda x: F.coalesce(x.cast("string"), F.lit(""))), ",").alias("doc_ids"), F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"), F.array_join(F.transform("cu_seqlens", lambda x: x.cast("string")), ",").alias("cu_seqlens"), sha("ids").alias("ids_sha256"), sha("positions").alias("positions_sha256"))
+    return packed.select("shard", "part", "row", "n_tokens", F.array_join(F.transform("doc_ids", lambda x: F.coalesce(x.cast("string"), F.lit(""))), ",").alias("doc_ids"), F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"), F.array_join(F.transform("cu_seqlens", lambda x: x.cast("string")), ",").alias("cu_seqlens"), sha("ids").alias("ids_sha256"), sha("positions").alias("positions_sha256"))

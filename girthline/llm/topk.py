@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +46,11 @@ def unpack(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def dots(x: np.ndarray, q: np.ndarray, top: float) -> np.ndarray:
-    """Inner products as exact integers. `top`: |x| |q| at most. Results beyond 64 bits end at the range's ends."""
+    """Inner products as exact integers. `top`: |x| |q| at most. Results beyond 64 bits are an error, as a score is a long."""
     if top < 2**53:
         return (x @ q).astype(np.int64)
     exact = [sum(int(a) * int(b) for a, b in zip(row, q)) for row in x]
-    return np.array([min(max(v, -(2**63)), 2**63 - 1) for v in exact], np.int64)
+    return np.array(exact, np.int64)
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -88,11 +89,12 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
 
     `rows` has vec_id and embedding; queries are the rows whose vec_id is divisible by `every`. Vectors that are null
     or hold null or non-finite components, and rows without vec_id, take no part; shorter vectors count as filled with
-    zeros; of rows that repeat a vec_id the one with the greatest array counts. Ties go to the smaller vec_id. An empty
-    table gives an empty result; other columns are ignored.
+    zeros. Rows that repeat a vec_id are rows of their own: each is a candidate for all others, and each a query if its
+    id is one. Ties go to the smaller vec_id. An empty table gives an empty result; other columns are ignored. Very long
+    vectors are rows like others, but all are filled up to the longest. A score beyond 64 bits is an error.
     """
     spark = rows.sparkSession
-    kinds = "query_id long, vec_id long, score long"
+    kinds = "query long, vec_id long, score long"
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(~bad)
@@ -100,8 +102,6 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
     n, dim = facts["n"], facts["dim"]
     if not n:
         return none
-    if not good.groupBy("vec_id").count().where("count > 1").isEmpty():
-        good = good.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
     picked = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))).limit(2 * SAMPLE).select("embedding").toArrow()
     sample = dense(picked.column(0), dim, scale) if len(picked) else np.zeros((1, dim))
     pivots = choose_pivots(sample, int(min(PIVOTS, max(4, n**0.5 / 8))))
@@ -111,15 +111,18 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
     edges = np.array([np.quantile(dist[home == p], np.arange(1, rings) / rings) if (home == p).any() else np.zeros(rings - 1) for p in range(len(pivots))])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A number for each row, which the written index keeps.
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
             if batch.num_rows:
+                number, at = np.arange(at, at + batch.num_rows), at + batch.num_rows
                 x = dense(batch.column(1), dim, scale)
                 near = to_pivots(x, pivots)
                 p, d = near.argmin(1), near.min(1)
                 ring = (edges[p] < d[:, None]).sum(1)
-                yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "cell": pa.array((p * rings + ring).astype(np.int64)), "dist": pa.array(d), "norm": pa.array(np.linalg.norm(x, axis=1)), "x": pack(x)})
+                yield pa.RecordBatch.from_pydict({"row": pa.array(number), "vec_id": batch.column(0), "cell": pa.array((p * rings + ring).astype(np.int64)), "dist": pa.array(d), "norm": pa.array(np.linalg.norm(x, axis=1)), "x": pack(x)})
 
-    index = written(good.mapInArrow(key, "vec_id long, cell long, dist double, norm double, x binary"), "index")
+    index = written(good.mapInArrow(key, "row long, vec_id long, cell long, dist double, norm double, x binary"), "index")
     stats = index.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("m")).orderBy("cell").toArrow().to_pydict()
     cell, size, lo, hi, m = (np.array(stats[c]) for c in ("cell", "n", "lo", "hi", "m"))
     pivot_of = cell // rings
@@ -132,7 +135,7 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
                 if not batch.num_rows:
                     continue
                 q = unpack(batch.column("x"), dim)
-                ids, floor = batch.column("vec_id").to_numpy(), batch.column("floor").to_numpy(zero_copy_only=False)
+                ids, floor = batch.column("row").to_numpy(), batch.column("floor").to_numpy(zero_copy_only=False)
                 near, qn = to_pivots(q, pivots), np.linalg.norm(q, axis=1)
                 bound = upper(qn[:, None], near[:, pivot_of], lo[None, :], hi[None, :], m[None, :])
                 order = np.argsort(-bound, axis=1, kind="stable")
@@ -141,7 +144,7 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
                 np.put_along_axis(early, order, before <= k, axis=1)
                 take = early if first else ~early & (bound >= floor[:, None])
                 i, c = np.nonzero(take)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[i]), "cell": pa.array(cell[c]), "floor": pa.array(floor[i]), "q": pack(q[i])})
+                yield pa.RecordBatch.from_pydict({"query": pa.array(ids[i]), "cell": pa.array(cell[c]), "floor": pa.array(floor[i]), "q": pack(q[i])})
 
         return run
 
@@ -151,10 +154,10 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if left.num_rows and right.num_rows:
-            q, ids, floor = unpack(left.column("q"), dim), left.column("query_id").to_numpy(), left.column("floor").to_numpy()
+            q, ids, floor = unpack(left.column("q"), dim), left.column("query").to_numpy(), left.column("floor").to_numpy()
             dist = right.column("dist").to_numpy()
             order = np.argsort(dist, kind="stable")
-            dist, vec, x = dist[order], right.column("vec_id").to_numpy()[order], unpack(right.column("x"), dim)[order]
+            dist, vec, row, x = dist[order], right.column("vec_id").to_numpy()[order], right.column("row").to_numpy()[order], unpack(right.column("x"), dim)[order]
             p = pivots[int(right.column("cell")[0].as_py()) // rings][None, :]
             most = float(right.column("norm").to_numpy().max())
             for i in range(len(ids)):
@@ -169,7 +172,7 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
                         break
                     s = slice(max(0, a - STRIDE), a) if down else slice(b, b + STRIDE)
                     a, b = (s.start, b) if down else (a, min(len(dist), b + STRIDE))
-                    got, own = dots(x[s], q[i], qn * most), vec[s] != ids[i]
+                    got, own = dots(x[s], q[i], qn * most), row[s] != ids[i]
                     keep = own & (got >= low)
                     ids_, scores = np.concatenate([ids_, vec[s][keep]]), np.concatenate([scores, got[keep]])
                     if len(scores) > k:
@@ -178,30 +181,33 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
                         low = max(low, float(scores[-1]))
                 out_q.append(np.full(len(ids_), ids[i])), out_v.append(ids_), out_s.append(scores)
         join = lambda xs: np.concatenate(xs).astype(np.int64) if xs else np.zeros(0, np.int64)
-        return pa.table({"query_id": join(out_q), "vec_id": join(out_v), "score": join(out_s)})
+        return pa.table({"query": join(out_q), "vec_id": join(out_v), "score": join(out_s)})
 
     def searched(queries: DataFrame, first: bool) -> DataFrame:
-        want = queries.mapInArrow(plan(first), "query_id long, cell long, floor double, q binary").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
+        want = queries.mapInArrow(plan(first), "query long, cell long, floor double, q binary").withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks)))
         want = want.withColumn("block", F.explode(F.sequence(F.lit(0), (blocks[F.col("cell")] - 1).cast("int"))))
-        have = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks[F.col("cell")]).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
         keys = ("cell", "block", "qb")
+        # Vectors go to those blocks of queries only that search their cell.
+        asked = want.select(F.col("cell").alias("c"), F.col("block").alias("b"), F.col("qb").alias("asked")).distinct()
+        have = index.withColumn("part", F.pmod(F.xxhash64("row"), blocks[F.col("cell")]).cast("int")).join(asked, (F.col("cell") == F.col("c")) & (F.col("part") == F.col("b")))
+        have = have.select("row", "vec_id", "cell", "dist", "norm", "x", F.col("part").alias("block"), F.col("asked").alias("qb"))
         return want.groupBy(*keys).cogroup(have.groupBy(*keys)).applyInArrow(search, kinds)
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.lit(float("-inf")).alias("floor"))
+    queries = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "x", F.lit(float("-inf")).alias("floor"))
     start = written(ranked(searched(queries, True)), "first")
-    floors = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("floor"))
-    rest = queries.drop("floor").join(floors, queries["vec_id"] == floors["query_id"], "left").select("vec_id", "x", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    found = start.select("query_id", "vec_id", "score").unionByName(searched(rest, False))
-    return ranked(found).select("query_id", "rank", "vec_id", "score")
+    floors = start.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("floor"))
+    rest = queries.drop("floor").join(floors, queries["row"] == floors["query"], "left").select("row", "x", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    found = ranked(start.select("query", "vec_id", "score").unionByName(searched(rest, False)))
+    return found.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
 
 
 #: The same search for DuckDB, over all pairs of a query and a vector.
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_has_any([true], list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 10
 """

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cuts, let, part_of, written
+
 #: Headers of a 304 answer that must not replace stored ones, as they describe a body or a connection.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that don't choose a page.
@@ -31,25 +33,31 @@ def canonical_url(url: Column) -> Column:
     return F.concat(name, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def merged_headers(stored: Column, fresh: Column) -> Column:
-    """The stored headers, updated by the fresh ones that a 304 may change; either may be null."""
+def folded(headers: Column) -> Column:
+    """Header names in lower case without outer blanks, as they don't tell cases apart. Of names that then agree the
+    one that is last in code-point order stays. Null is no headers."""
     none = F.create_map().cast("map<string,string>")
-    stored, fresh = F.coalesce(stored, none), F.coalesce(fresh, none)
-    allowed = F.map_filter(fresh, lambda k, v: ~k.isin(*KEPT_HEADERS))
-    return F.map_concat(F.map_filter(stored, lambda k, v: ~F.map_contains_key(allowed, k)), allowed)
+    rows = F.array_sort(F.transform(F.map_entries(F.coalesce(headers, none)), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("name"), e["key"].alias("key"), e["value"].alias("value"))))
+    last = let(rows, lambda es: F.filter(es, lambda e, i: F.coalesce(F.get(es, i + 1)["name"] != e["name"], F.lit(True))))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"], e["value"])))
+
+
+def merged_headers(stored: Column, fresh: Column) -> Column:
+    """The stored headers, updated by the fresh ones that a 304 may change; either may be null. Names are folded."""
+    allowed = F.map_filter(folded(fresh), lambda k, v: ~k.isin(*KEPT_HEADERS))
+    return F.map_concat(F.map_filter(folded(stored), lambda k, v: ~F.map_contains_key(allowed, k)), allowed)
 
 
 def latest_response(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """record_id of each revisit with url_key, and base: the latest full response of the same key at an earlier ts.
 
-    The history is cut into time ranges. Within a range a window finds the latest; from earlier ranges comes the last
+    The history is cut into time ranges of about equal numbers of records. Within a range a window finds the latest; from earlier ranges comes the last
     response of each, of which there are at most `slices` a URL. A URL with very many captures is so dealt out, and
     only ids and validators are moved. Of responses at the same time the one with the larger record_id is later.
     """
-    span = records.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // slices))
+    edges = [int(x) for x in cuts(records, "ts", slices)]
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "modified", "digest"))
-    x = records.where("url_key IS NOT NULL AND ts IS NOT NULL").select("record_id", "url_key", "ts", "kind", F.floor((F.col("ts") - lo) / width).cast("int").alias("slice"), full.alias("full"))
+    x = records.where("url_key IS NOT NULL AND ts IS NOT NULL").select("record_id", "url_key", "ts", "kind", part_of(F.col("ts"), edges).alias("slice"), full.alias("full"))
     within = Window.partitionBy("url_key", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     seen = x.withColumn("here", F.max("full").over(within)).where("kind = 'revisit'")
     ends = x.where("full IS NOT NULL").groupBy("url_key", "slice").agg(F.max("full").alias("last"))
@@ -68,7 +76,8 @@ def resolve(records: DataFrame) -> DataFrame:
 
     Rows of other kinds than response and revisit, and rows without record_id, take no part; a revisit without url or
     ts is `missing`. Of rows that repeat a record_id one, with the greatest (ts, url), counts. An empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored. Header names are compared and returned in lower case. Very long bodies
+    move once, to the revisits that they resolve.
     """
     cols = ["record_id", "url", "ts", "kind", "etag", "modified", "digest", "headers", "body"]
     x = records.select(*cols).where("record_id IS NOT NULL AND kind IN ('response', 'revisit')")
@@ -85,10 +94,13 @@ def resolve(records: DataFrame) -> DataFrame:
     agree = F.when(F.col("validator") == "digest", F.col("digest") == F.col("base.digest")).when(F.col("validator") == "etag", tag(F.col("etag")) == tag(F.col("base.etag"))).when(F.col("validator") == "modified", F.col("modified") == F.col("base.modified")).otherwise(False)
     y = y.withColumn("validator", validator).withColumn("base_id", F.col("base.record_id"))
     y = y.withColumn("status", F.when(F.col("base_id").isNull(), "missing").when(agree, "resolved").otherwise("changed"))
-    y = y.select("record_id", "url_key", "base_id", "status", "validator", "fresh", F.when(F.col("status") == "resolved", F.col("base_id")).alias("take"))
-    stored = x.where("kind = 'response'").select(F.col("record_id").alias("take"), F.col("headers").alias("stored"), "body")
-    y = y.join(stored, "take", "left")
-    return y.select("record_id", "url_key", "base_id", "status", "validator", F.when(F.col("status") == "resolved", merged_headers(F.col("stored"), F.col("fresh"))).alias("headers"), "body")
+    y = written(y.select("record_id", "url_key", "base_id", "status", "validator", "fresh"), "revisits")
+    stored = x.where("kind = 'response'").select(F.col("record_id").alias("base_id"), F.col("headers").alias("stored"), "body")
+    # Only resolved revisits meet a body; the others would all meet under one key, null.
+    done = y.where("status = 'resolved'").join(stored, "base_id")
+    done = done.select("record_id", "url_key", "base_id", "status", "validator", merged_headers(F.col("stored"), F.col("fresh")).alias("headers"), "body")
+    rest = y.where("status <> 'resolved'").select("record_id", "url_key", "base_id", "status", "validator", F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("body"))
+    return done.unionByName(rest)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:

@@ -20,17 +20,22 @@ def test_top_k(spark):
     got = collections.defaultdict(list)
     for r in topk.top_k(table).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    good = {i: np.floor(np.pad(np.array(v, np.float32).astype(float), (0, 8 - len(v))) * 1024) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q in (i for i in good if i % 100 == 0):
-        best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:10]
-        assert got.pop(q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert not got and topk.top_k(table.where("vec_id = -1")).count() == 0
-    assert topk.top_k(table.where("vec_id IN (100, 101)")).select("query_id", "vec_id").collect() == [(100, 101)]
+    good = [(i, np.floor(np.pad(np.array(v, np.float32).astype(float), (0, 8 - len(v))) * 1024)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = collections.defaultdict(list)
+    for k, (q, x) in enumerate(good):
+        if q % 100 == 0:
+            best = sorted((-int(x @ v), i) for j, (i, v) in enumerate(good) if j != k)[:10]
+            want[q] += [(r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()} and len(got[100]) == 20
+    assert topk.top_k(table.where("vec_id = -1")).count() == 0
+    assert sorted(topk.top_k(table.where("vec_id IN (100, 101)")).select("query_id", "vec_id").collect()) == [(100, 100), (100, 100), (100, 101), (100, 101)]
 
 
 def test_top_k_large_numbers():
     x = np.array([[2.0**40, 1.0], [-(2.0**40), 3.0]])
-    assert topk.dots(x, x[0], 2.0**81).tolist() == [2**63 - 1, -(2**63)]
+    assert topk.dots(x / 2**20, x[0] / 2**20, 2.0**60).tolist() == [2**40, -(2**40)]
+    with pytest.raises(OverflowError):
+        topk.dots(x, x[0], 2.0**81)
 
 
 def record(i, url, ts, kind, **kw):
@@ -62,6 +67,18 @@ def test_revisits(spark):
     assert warc.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_revisits_of_folded_headers(spark):
+    """Header names don't tell cases apart: what describes the body stays, what a 304 may change is there once."""
+    stored = {"Content-Type": "text/html", "Content-Length": "9", "Age": "1", "X-Same": "a", "x-same": "b"}
+    fresh = {"Content-Length": "0", "CONTENT-TYPE": "x/y", "age": "2", " Date": "d"}
+    rows = [record(1, "http://a.b/c", 1, "response", etag="e", headers=stored, body="B"), record(2, "http://a.b/c", 2, "revisit", etag="e", headers=fresh)]
+    rows += [record(i, "http://a.b/c", 3, "revisit", etag="other") for i in range(3, 40)] + [record(40, "http://a.b/c", 4, "revisit", etag="e", headers=None)]
+    got = {r["record_id"]: r for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    same = {"content-type": "text/html", "content-length": "9", "x-same": "b"}
+    assert got[2]["headers"] == same | {"age": "2", "date": "d"} and got[40]["headers"] == same | {"age": "1"}
+    assert len(got) == 39 and all(got[i]["status"] == "changed" and got[i]["headers"] is None and got[i]["body"] is None for i in range(3, 40))
+
+
 def test_revisits_by_brute_force(spark):
     rng = random.Random(2)
     rows = [record(i, f"http://h.com/{'hot' if rng.random() < 0.6 else rng.randrange(4)}", rng.randrange(400), rng.choice(["response", "revisit"]), etag=rng.choice("abc")) for i in range(300)]
@@ -95,7 +112,7 @@ def test_packing(spark, docs, docs_rows, empty):
         assert cu[0] == 0 and cu[-1] == r["n_tokens"] == len(pos) <= 64 and len(r["ids"]) == 256
         assert pos.tolist() == [k for a, b in zip(cu, cu[1:]) for k in range(b - a)]
         assert (np.frombuffer(r["ids"], "<u4")[r["n_tokens"] :] == packing.PAD).all()
-    assert len({(r["shard"], r["row"]) for r in rows}) == len(rows) and sum(r["n_tokens"] for r in rows) > 0.9 * 64 * len(rows)
+    assert len({(r["shard"], r["part"], r["row"]) for r in rows}) == len(rows) and sum(r["n_tokens"] for r in rows) > 0.9 * 64 * len(rows)
     seg = collections.defaultdict(list)
     for r in packing.unpack(packed).collect():
         seg[r["doc_id"]].append((r["start"], bytes(r["ids"])))
@@ -110,6 +127,14 @@ def test_packing(spark, docs, docs_rows, empty):
     assert packing.pack(empty).count() == 0 and packing.digest(packed).count() == len(rows)
 
 
+def test_packing_of_any_partitions(spark, docs, monkeypatch):
+    """The same rows however the input is split, with one shard and with several."""
+    for size in (packing.SHARD_BYTES, 9000):
+        monkeypatch.setattr(packing, "SHARD_BYTES", size)
+        found = [sorted(map(str, packing.digest(packing.pack(x, row=256)).collect())) for x in (docs.coalesce(1), docs.repartition(7))]
+        assert found[0] == found[1] and len(found[0]) > 10
+
+
 def test_packing_of_ranks(spark, docs, docs_rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -153,6 +178,14 @@ def test_pipeline(spark, docs, docs_rows, tmp_path):
     want = collections.Counter((r["doc_id"], hashlib.sha256(np.array(tok.encode(r["text"], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for r in seen[3].collect())
     assert collections.Counter((r["doc_id"], r["ids_sha256"]) for r in seen[4].collect()) == want
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
+    # Each stage takes an empty table, and columns with the names it would use itself.
+    own = ("lang", "score", "key", "base", "every", "s", "rounds", "cut", "k", "text")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, cols.where("doc_id = -1"), "").count() == 0
+    wide = cols.where("doc_id BETWEEN 60 AND 90").select("*", *(F.lit(1).alias(f"_{n}") for n in own))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns and out.count() > 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -39,6 +39,19 @@ def test_mixing(docs, docs_rows, empty):
     assert mixed.columns == docs.columns and mixed.where("doc_id = 88").count() == rows.where("doc_id = 88").first()["copies"]
 
 
+def test_mixed_by_row(spark):
+    """An id that stands in two sources is taken by each source's own plan, and extra columns of any name stay."""
+    text = lambda n: "w " * n
+    rows = [(1, "s1", text(90)), (1, "s2", text(2)), (2, "s1", text(30)), (3, "s2", None), (4, "s1", text(80)), (None, None, text(3)), (5, "s2", "")]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, source string, text string, _s int, _rounds int")
+    want = collections.Counter()
+    for r in mixing.mix(table).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    got = collections.Counter((r["doc_id"], len((r["text"] or "").split())) for r in mixing.mixed(table).collect())
+    assert got == +want and mixing.mixed(table).columns == table.columns and got[1, 2] == 3
+    assert mixing.mixed(table.where("doc_id < 0")).count() == 0
+
+
 def test_targets_reshare(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 10), ("c", 1000), (None, 5)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -202,6 +215,55 @@ def test_language(spark, empty, docs, docs_rows):
     assert langid.identify(empty).count() == 0 and langid.identify(docs).count() == len(docs_rows)
 
 
+def plain_grams(text):
+    """The document's n-grams by definition, as (length, code points; 0 for a space), with counts."""
+    folded = "".join(c.lower() if c.isalpha() and ord(c) < 0x40000 and len(c.lower()) == 1 else c if c.isalpha() and ord(c) < 0x40000 else " " for c in text or "")
+    padded, out = " " + " ".join(folded.split(" ")) + " ", collections.Counter()
+    padded = re.sub(" +", " ", padded)
+    for k in (1, 2, 3):
+        for i in range(len(padded) - k + 1):
+            g = padded[i : i + k]
+            if g != " " and not (k == 3 and g[1] == " "):
+                out[(k, *(0 if c == " " else ord(c) for c in g))] += 1
+    return out
+
+
+def plain_ranks(counts, top):
+    return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], g))[:top])}
+
+
+def test_language_by_brute_force(spark, docs, docs_rows):
+    """Profiles, ranks, out-of-place distances, ties and scores against the definition; no sampling at this size."""
+    top, totals_ = 40, collections.defaultdict(collections.Counter)
+    for i, t, lang, _ in docs_rows:
+        if lang is not None and t is not None:
+            totals_[lang].update(plain_grams(t))
+    profiles = {k: plain_ranks(c, top) for k, c in totals_.items()}
+    learned = langid.train(docs.select("doc_id", "text", "lang"), top=top)
+    assert {(k, r) for k, _, r in learned} == {(k, r) for k, p in profiles.items() for r in p.values()}
+    got = collections.Counter((r["doc_id"], r["text"], r["lang_pred"], round(r["score"], 9)) for r in langid.predict(docs.select("doc_id", "text"), learned, top=top).collect())
+    want = collections.Counter()
+    for i, t, _, _ in docs_rows:
+        mine = plain_ranks(plain_grams(t), top)
+        if not any(c.isalpha() for c in t or ""):
+            want[i, t, "und", 0.0] += 1
+            continue
+        far = {k: sum(min(abs(p[g] - r), top) if g in p else top for g, r in mine.items()) / len(mine) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[i, t, best, round(min(max(1 - far[best] / top, 0), 1), 9)] += 1
+    assert got == want
+    # Ties go to the first language in code-point order; more languages than a thousand are no limit.
+    code = learned[0][1]
+    many = [(f"l{k:04}", code, 0) for k in range(1500)] + [("b", code, 1), ("a", code, 0)]
+    assert {r["lang_pred"] for r in langid.predict(docs.where("doc_id = 1").select("text"), many).collect()} <= {"a", "b"}
+
+
+def test_language_held_out(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(table).where("held_out").join(table.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id")
+    assert got.where("lang_pred = lang").count() >= 0.98 * got.count() > 0
+
+
 def test_grams():
     doc, gram, n, letters = langid.grams(["Aab  b", "", "ÉÉ"])
     code = lambda s: len(s) << 54 | sum((0 if c == " " else ord(c)) << 18 * k for k, c in enumerate(reversed(s)))
