@@ -8,45 +8,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girthline.llm import bpe, jaccard, langid, mixing, secrets
-from girthline.llm.common import crc_fold, written
+from girthline.llm.common import crc_fold, unused, written
 from girthline.llm.queries import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which language identification finds a language; those without a letter, or without text, go.
+    """Documents in which language identification finds a language; those without a letter, or without text, go. Null
+    ids, repeated rows, very long texts and other columns stay as they are; an empty table gives an empty result.
 
     The profiles learn from the labelled documents outside fold 2 of 4, as in the operator's own query.
     """
     labelled = docs.where(crc_fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")
-    found = langid.predict(docs, langid.train(labelled), names=("_pipeline_lang", "_pipeline_score"))
-    return found.where("_pipeline_lang <> 'und'").select(*docs.columns)
+    lang, score = unused(docs, "lang", "score")
+    return langid.predict(docs, langid.train(labelled), names=(lang, score)).where(F.col(lang) != "und").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id, once even if its row repeats.
 
     A document is an id and a text, known by a 64-bit hash of both, so different texts under one id are documents of
-    their own. Rows without id stay."""
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    named = docs.where("doc_id IS NOT NULL").withColumn("_pipeline_key", key)
-    found = jaccard.classes(named.select(F.col("_pipeline_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_pipeline_key"), "component_id")
-    first = found.join(named.select("_pipeline_key", "doc_id"), "_pipeline_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_pipeline_key")).alias("first"))
-    kept = named.join(first.select("first._pipeline_key"), "_pipeline_key", "left_semi").dropDuplicates(["_pipeline_key"]).select(*docs.columns)
+    their own. Rows without id stay, as do all columns; null and empty texts are like nothing; very long texts are
+    compared whole; an empty table gives an empty result."""
+    (key,) = unused(docs, "key")
+    named = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = jaccard.classes(named.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = named.select(F.col(key).alias("key"), F.col("doc_id").alias("id"))
+    first = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first")).select(F.col("first.key").alias(key))
+    kept = named.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret masked."""
+    """All documents, with every secret masked. Null and empty texts, null ids, repeated rows, very long texts and other
+    columns are as in secrets.redacted(); an empty table gives an empty result."""
     return secrets.redacted(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Null and empty texts, null ids and sources, repeated rows, very long
+    texts and other columns are as in mixing.mixed(); an empty table gives an empty result."""
     return mixing.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix, repeats included."""
+    """Token counts and digests of every document of the mix, repeats included. Null text is the empty text; null ids and
+    repeated rows get a row each, very long texts are encoded whole, other columns are dropped, an empty table gives an
+    empty result."""
     return bpe.encode(docs, tokenizer_path())
 
 
