@@ -1,8 +1,9 @@
-"""Polynomials over prime fields and arithmetic of GF(2^m): small driver-side helpers of the code constructors."""
+"""Polynomials over GF(2) as bit masks and arithmetic of GF(2^m): small driver-side helpers of the code constructors."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 #: Conway polynomials over GF(2) by degree, as bits.
 PRIMITIVE = {2: 0b111, 3: 0b1011, 4: 0b10011, 6: 0b1011011, 8: 0b100011101, 9: 0b1000010001, 10: 0b10001101111, 12: 0b1000011101011, 15: 0b1000000000110101}
@@ -35,45 +36,32 @@ def tables(m: int, modulus: int) -> tuple[list[int], list[int]]:
     return log, [*antilog, 0]
 
 
-def zech(m: int, log: Sequence[int], antilog: Sequence[int]) -> list[int]:
-    """For each i the j with x^j = 1 + x^i; -1 at 0 and where the sum is zero."""
-    order = 2**m - 1
-    return [-1, *(log[1 ^ antilog[i % order]] for i in range(1, 2**m))]
+def zech(log: Sequence[int], antilog: Sequence[int]) -> dict[int, int]:
+    """For each power i of the generator the j with x^j = x^i + 1. The power 0 has none, as 1 + 1 is zero."""
+    return {log[x]: log[x ^ 1] for x in antilog if x > 1}
 
 
-def reciprocal(n: float, p: int = 0) -> float | int | None:
-    """1 / n, or the inverse modulo p; None where there is none."""
-    if p == 0:
-        return 1 / n
-    return next((i for i in range(p) if n * i % p == 1), None)
+def inverse_modulo(n: int, p: int) -> int:
+    """The inverse of n modulo the prime p; an error where there is none."""
+    return pow(n, -1, p)
 
 
-def dense(powers: Sequence[int]) -> list[int]:
-    """Coefficients, highest first, of the sum of x^p."""
-    top = max(powers)
-    return [int(top - i in set(powers)) for i in range(top + 1)]
+def mask_of(powers: Iterable[int]) -> int:
+    """The sum of x^p over GF(2) as a bit mask; equal powers cancel."""
+    return reduce(lambda mask, p: mask ^ 1 << p, powers, 0)
 
 
-def sparse(coefficients: Sequence[float]) -> list[int]:
-    """The powers with a non-zero coefficient, ascending."""
-    top = len(coefficients) - 1
-    return sorted(top - i for i, x in enumerate(coefficients) if x)
+def powers_of(mask: int) -> list[int]:
+    return [p for p in range(mask.bit_length()) if mask >> p & 1]
 
 
-def polynomial_gcd(f: Sequence[float], g: Sequence[float], p: int = 2) -> list[float]:
-    """Greatest common divisor by Euclid's algorithm; coefficients highest first, over GF(p) (p = 0: rationals)."""
-    f, g = list(f), list(g)
-    while g:
-        if len(f) < len(g):
-            f, g = g, f
-        factor = reciprocal(g[0], p) * f[0]
-        rest = [x - factor * y for x, y in zip(f, [*g, *[0] * (len(f) - len(g))])]
-        rest = [x % p for x in rest] if p else rest
-        while rest and abs(rest[0]) < 1e-4:
-            rest.pop(0)
-        f, g = g, rest
+def remainder(f: int, g: int) -> int:
+    """f modulo g, both bit masks."""
+    while f.bit_length() >= g.bit_length():
+        f ^= g << f.bit_length() - g.bit_length()
     return f
 
 
-def gcd_of_powers(f: Sequence[int], g: Sequence[int]) -> list[int]:
-    return sparse(polynomial_gcd(dense(f), dense(g)))
+def common_divisor(f: int, g: int) -> int:
+    """The greatest common divisor of two polynomials over GF(2), as bit masks."""
+    return common_divisor(g, remainder(f, g)) if g else f

@@ -129,6 +129,14 @@ def aligned_priors(values: DataFrame, separated: DataFrame) -> DataFrame:
     return zero.unionByName(pick(data, n)).unionByName(pick(hook, 2 * n))
 
 
+def write_priors(priors: DataFrame, path: str) -> None:
+    """The aligned values as one text file a folder: a line a column in order, the log-likelihood ratio ln((1 - p) / p)
+    of its probability; a probability of 0 gives infinity."""
+    p = F.col("value")
+    ratio = F.when(p == 0, F.lit(float("inf"))).otherwise(F.log((1 - p) / p))
+    priors.select("v", ratio.cast("string").alias("line")).repartitionByRange(1, "v").sortWithinPartitions("v").select("line").write.mode("errorifexists").text(path)
+
+
 def aligned_observables(observables: Tanner, separated: DataFrame) -> Tanner:
     """The observable matrix with its columns in data order."""
     data = separated.where("kind = 'data'").select(F.col("orig_idx").alias("v"), F.col("new_idx").alias("new"))

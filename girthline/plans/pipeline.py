@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import linear
 from ..sources import circuit, codes, dem, supports
 from ..sources.graph import Tanner, degree_set
-from ..sources.scratch import written
+from ..sources.scratch import clear, written
 from .bounds import bounds_by_size
 from .enumerate import Result, enumerate_sets
 
@@ -48,7 +48,9 @@ def detector_columns(spark: SparkSession, name: str, rounds: int | None = None,
 
 def enumerate_graph(graph: Tanner, amax: int, bmax: int, girth: int = GIRTH, leaves: bool = False, singletons: bool = False, verbose: bool = False) -> Result:
     """Enumerate with the bounds that a class (amax, up to bmax) needs, and all degrees of the graph allowed."""
-    degrees = degree_set(graph.edges)
+    degrees = degree_set(graph.edges, graph.variables)
+    if 0 in degrees:
+        raise ValueError("a column of the matrix has no entry: its variable has degree 0")
     return enumerate_sets(graph, girth, amax, bounds_by_size(amax, bmax, degrees, girth), degrees, leaves, singletons, verbose)
 
 
@@ -84,12 +86,13 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = SparkSession.builder.appName("girthline").getOrCreate()
     if not a.overwrite:
         supports.prepare_output(spark, a.output_dir)
-    graph = dem.matrices(written(dem.merged(dem.read(spark, a.dem)), "columns"))[0] if a.dem else detector_columns(spark, a.code, a.rounds)[2]
+    graph = dem.matrices(written(dem.merged(dem.read(spark, a.dem)), "columns"), *dem.declared_in(spark, a.dem))[0] if a.dem else detector_columns(spark, a.code, a.rounds)[2]
     result = enumerate_graph(graph, a.amax, a.bmax, GIRTH, a.etsl, a.singleton_etsl_seeds, not a.quiet)
     supports.write_classes(result.supports, a.output_dir, a.overwrite)
     for r in result.counts.orderBy("a", "b").collect():
         print(f"({r['a']}, {r['b']}): {r['n']}")
     print(f"{result.written_supports} supports in {time.time() - start:.1f} s")
+    clear(spark)
 
 
 if __name__ == "__main__":

@@ -1,7 +1,6 @@
 """Queries over the driver's tables, one an operator, and the same results as DuckDB SQL.
 
-G is the graph of parts (checks) and orders (variables) in `lineitem`; G400 is a small, denser part of
-it for tests; each query over G400 is registered over the whole of G as well.
+G is the graph of parts (checks) and orders (variables) in `lineitem`, all of it.
 """
 
 from __future__ import annotations
@@ -18,17 +17,16 @@ from .plans.enumerate import enumerate_sets
 from .sources import alist, circuit, codes, dem, supports
 from .sources import graph as graphs
 from .sources.graph import Tanner
-from .sources.scratch import scratch_dir, written
+from .sources.scratch import fresh_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Bounds on b by size in the queries over G and G400.
+#: Bounds on b by size in the queries over G.
 BOUNDS = [0, 0, 5, 3]
 
 E = "e AS (SELECT DISTINCT l_partkey::BIGINT AS c, l_orderkey::BIGINT AS v FROM lineitem)"
-E400 = "e AS (SELECT DISTINCT (l_partkey % 181)::BIGINT AS c, l_orderkey::BIGINT AS v FROM lineitem WHERE l_orderkey <= 400)"
 DEG = "d AS (SELECT v, count(*) AS dv FROM e GROUP BY v)"
 PAIRS = "p AS (SELECT a.v AS v1, b.v AS v2, count(*) AS n FROM e a JOIN e b ON a.c = b.c AND a.v < b.v GROUP BY 1, 2 HAVING count(*) >= 2)"
 SETS2 = f"{DEG}, {PAIRS}, s AS (SELECT v1, v2, n, x.dv + y.dv - 2 * n AS b FROM p JOIN d x ON x.v = v1 JOIN d y ON y.v = v2)"
@@ -55,22 +53,21 @@ def big_graph(spark: SparkSession, sf: str) -> Tanner:
     return graphs.from_edges(rows, 1, 1)
 
 
-def graph400(spark: SparkSession, sf: str) -> Tanner:
-    rows = lineitem(spark, sf).where("l_orderkey <= 400").select((F.col("l_partkey") % 181).cast("int").alias("c"), F.col("l_orderkey").cast("int").alias("v")).distinct()
-    return Tanner(rows, 181, 401)
-
-
 def whole_graph(spark: SparkSession, sf: str) -> Tanner:
     """G with its dimensions."""
     return graphs.from_edges(big_graph(spark, sf).edges)
 
 
-def both(name: str, sql: str | None = None):
-    """A query over G400 and the same one over all of G: its name without `_g400`, or with `_all` where that is taken."""
+#: The queries over a graph as functions of (spark, graph), for tests over other graphs.
+OVER_GRAPH: dict[str, Callable[[SparkSession, Tanner], DataFrame]] = {}
+
+
+def over_graph(name: str, sql: str | None = None):
+    """A query over G."""
 
     def add(f: Callable[[SparkSession, Tanner], DataFrame]) -> Callable[[SparkSession, Tanner], DataFrame]:
-        query(name, sql)(lambda spark, sf: f(spark, graph400(spark, sf)))
-        query(name.removesuffix("_g400") if name.endswith("_g400") else f"{name}_all", sql and sql.replace(E400, E))(lambda spark, sf: f(spark, whole_graph(spark, sf)))
+        OVER_GRAPH[name] = f
+        query(name, sql)(lambda spark, sf: f(spark, whole_graph(spark, sf)))
         return f
 
     return add
@@ -131,7 +128,7 @@ def isolated_vars(spark, sf):
     return longs(graphs.isolated(orders, big_graph(spark, sf).edges))
 
 
-@both("csr_graph_roundtrip", f"WITH {E400} SELECT c, v FROM e")
+@over_graph("csr_graph_roundtrip", f"WITH {E} SELECT c, v FROM e")
 def csr_graph_roundtrip(spark, g):
     indptr, indices = graphs.to_csr(g)
     return longs(graphs.from_csr(spark, g.checks, g.variables, indptr, indices).edges)
@@ -180,7 +177,7 @@ def gates(spark, sf):
 @query("classes_roundtrip_a2", f"WITH {E}, {SETS2} SELECT 2::BIGINT AS a, b, v1 || ',' || v2 AS vs FROM s WHERE b <= 5")
 def classes_roundtrip(spark, sf):
     """Class files written and read back."""
-    path = f"{scratch_dir(spark)}/girthline/classes"
+    path = fresh_path(spark, "classes")
     supports.write_classes(pair_sets(big_graph(spark, sf)).where("b <= 5"), path, overwrite=True)
     return listed(supports.read_classes(spark, path))
 
@@ -191,12 +188,12 @@ STATS3 = """m AS (SELECT v1, v2, v3, count_if(t % 2 = 1)::BIGINT AS b, max(t) <=
   SELECT v1, v2, v3, e.c, count(*) AS t FROM u JOIN e ON e.v IN (v1, v2, v3) GROUP BY ALL) GROUP BY ALL)"""
 
 
-@both("cycles3_sets_g400", f"WITH {E400}, {TRI} SELECT v1 || ',' || v2 || ',' || v3 AS vs, count(*) AS raw FROM t GROUP BY v1, v2, v3")
+@over_graph("cycles3_sets", f"WITH {E}, {TRI} SELECT v1 || ',' || v2 || ',' || v3 AS vs, count(*) AS raw FROM t GROUP BY v1, v2, v3")
 def cycles3_sets(spark, g):
     return listed(accept.merged(expand.cycles(g.adjacency(), g.neighbours(), 3)).select("vs", "raw"))
 
 
-@both("elementary_filter_g400", f"WITH {E400}, {TRI}, u AS (SELECT DISTINCT * FROM t), {STATS3} SELECT v1 || ',' || v2 || ',' || v3 AS vs, b, elementary FROM m")
+@over_graph("elementary_filter", f"WITH {E}, {TRI}, u AS (SELECT DISTINCT * FROM t), {STATS3} SELECT v1 || ',' || v2 || ',' || v3 AS vs, b, elementary FROM m")
 def elementary_filter(spark, g):
     return listed(accept.measured(accept.merged(expand.cycles(g.adjacency(), g.neighbours(), 3))).select("vs", "b", "elementary"))
 
@@ -205,20 +202,20 @@ DOT = f"""{PARENTS}, o AS (SELECT v1, v2, e.v, count_if(t = 1) AS odd, count_if(
 h AS (SELECT list_sort([v1, v2, v]) AS l FROM o WHERE odd >= 2 AND even = 0)"""
 
 
-@both("dot_children_a3_g400", f"WITH {E400}, {DOT} SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l")
+@over_graph("dot_children_a3", f"WITH {E}, {DOT} SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l")
 def dot_children(spark, g):
     return listed(accept.merged(expand.dot(parents2(g).where("b >= 2"), g.adjacency())).select("vs", "raw"))
 
 
-@both("dot_multiset_count", f"WITH {E400}, {DOT} SELECT count(*) AS raw, count(DISTINCT l) AS different FROM h")
+@over_graph("dot_multiset_count", f"WITH {E}, {DOT} SELECT count(*) AS raw, count(DISTINCT l) AS different FROM h")
 def dot_multiset_count(spark, g):
     x = expand.dot(parents2(g).where("b >= 2"), g.adjacency())
     return longs(x.agg(F.count("*").alias("raw"), F.count_distinct("vs").alias("different")))
 
 
-@both(
-    "path2_children_g400",
-    f"""WITH {E400}, {PARENTS},
+@over_graph(
+    "path2_children",
+    f"""WITH {E}, {PARENTS},
     x AS (SELECT k.v1, k.v2, k.c AS c0, e.v AS x1 FROM k JOIN e ON e.c = k.c WHERE t = 1 AND b >= 2 AND e.v NOT IN (v1, v2)
       AND NOT EXISTS (SELECT 1 FROM k q JOIN e z ON z.c = q.c WHERE q.v1 = k.v1 AND q.v2 = k.v2 AND z.v = e.v AND q.c <> k.c)),
     y AS (SELECT a.v1, a.v2, a.x1, b.x1 AS x2 FROM x a JOIN x b ON a.v1 = b.v1 AND a.v2 = b.v2 AND a.x1 <> b.x1 AND a.c0 <> b.c0
@@ -233,9 +230,9 @@ def path2_children(spark, g):
 RINGS = "r AS (SELECT v1 AS r1, v2 AS r2, e.c FROM s JOIN e ON e.v IN (v1, v2) WHERE b <= 5 GROUP BY ALL)"
 
 
-@both(
-    "lollipop_d1_g400",
-    f"""WITH {E400}, {PARENTS}, {RINGS},
+@over_graph(
+    "lollipop_d1",
+    f"""WITH {E}, {PARENTS}, {RINGS},
     x AS (SELECT v1, v2, r1, r2, count(*) AS n, count_if(t = 1) AS odd FROM k JOIN r ON r.c = k.c WHERE b >= 1 AND r1 NOT IN (v1, v2) AND r2 NOT IN (v1, v2) GROUP BY ALL),
     h AS (SELECT list_sort([v1, v2, r1, r2]) AS l FROM x WHERE n = 1 AND odd = 1)
     SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l""",
@@ -245,9 +242,9 @@ def lollipop_d1(spark, g):
     return listed(accept.merged(expand.lollipop(parents2(g), rings, g.adjacency(), 2, 2)).select("vs", "raw"))
 
 
-@both(
-    "lollipop_d2_g400",
-    f"""WITH {E400}, {PARENTS}, {RINGS},
+@over_graph(
+    "lollipop_d2",
+    f"""WITH {E}, {PARENTS}, {RINGS},
     x AS (SELECT k.v1, k.v2, e.v AS x1 FROM k JOIN e ON e.c = k.c WHERE t = 1 AND b >= 1 AND e.v NOT IN (v1, v2)
       AND NOT EXISTS (SELECT 1 FROM k q JOIN e z ON z.c = q.c WHERE q.v1 = k.v1 AND q.v2 = k.v2 AND z.v = e.v AND q.c <> k.c)),
     y AS (SELECT x.v1, x.v2, x1, f.c FROM x JOIN e f ON f.v = x1 WHERE NOT EXISTS (SELECT 1 FROM k q WHERE q.v1 = x.v1 AND q.v2 = x.v2 AND q.c = f.c)),
@@ -261,14 +258,14 @@ def lollipop_d2(spark, g):
     return listed(accept.merged(expand.lollipop(parents2(g), rings, written(g.adjacency(), "adjacency"), 3, 2)).select("vs", "raw"))
 
 
-@both("singleton_seeds_g400", f"WITH {E400}, {DEG} SELECT v::VARCHAR AS vs, dv AS b FROM d WHERE dv <= 3")
+@over_graph("singleton_seeds", f"WITH {E}, {DEG} SELECT v::VARCHAR AS vs, dv AS b FROM d WHERE dv <= 3")
 def singleton_seeds(spark, g):
     return listed(accept.measured(expand.singletons(g.neighbours(), 3)).select("vs", "b"))
 
 
-@both(
-    "dot1_children_a2_g400",
-    f"""WITH {E400}, {DEG}, p AS (SELECT a.v AS v1, b.v AS v2, count(*) AS n FROM e a JOIN e b ON a.c = b.c AND a.v <> b.v GROUP BY 1, 2)
+@over_graph(
+    "dot1_children_a2",
+    f"""WITH {E}, {DEG}, p AS (SELECT a.v AS v1, b.v AS v2, count(*) AS n FROM e a JOIN e b ON a.c = b.c AND a.v <> b.v GROUP BY 1, 2)
     SELECT least(v1, v2) || ',' || greatest(v1, v2) AS vs, count(*) AS raw FROM p JOIN d x ON x.v = v1 JOIN d y ON y.v = v2
     WHERE n = 1 AND x.dv BETWEEN 1 AND 3 AND x.dv + y.dv - 2 <= 3 GROUP BY 1""",
 )
@@ -281,20 +278,20 @@ CAND3 = f"{DOT}, {TRI}, w AS (SELECT [v1, v2, v3] AS l, 1 AS flag FROM t UNION A
 MEASURED3 = "m AS (SELECT v1, v2, v3, count_if(t % 2 = 1)::BIGINT AS b, max(t) <= 2 AS elementary FROM (SELECT v1, v2, v3, e.c, count(*) AS t FROM u JOIN e ON e.v IN (v1, v2, v3) GROUP BY ALL) GROUP BY ALL)"
 
 
-@both("flags_merge_a3_g400", f"WITH {E400}, {CAND3} SELECT array_to_string(l, ',') AS vs, flags::BIGINT AS flags, raw FROM g")
+@over_graph("flags_merge_a3", f"WITH {E}, {CAND3} SELECT array_to_string(l, ',') AS vs, flags::BIGINT AS flags, raw FROM g")
 def flags_merge(spark, g):
     x = expand.cycles(g.adjacency(), g.neighbours(), 3).unionByName(expand.dot(parents2(g).where("b >= 2"), g.adjacency()))
     return listed(accept.merged(x).select("vs", "flags", "raw"))
 
 
-@both("lets_classes_a3_g400", f"WITH {E400}, {CAND3}, {MEASURED3} SELECT 2::BIGINT AS a, b, count(*) AS n FROM s WHERE b <= 3 GROUP BY b UNION ALL SELECT 3, b, count(*) FROM m WHERE elementary AND b <= 3 GROUP BY b")
+@over_graph("lets_classes_a3", f"WITH {E}, {CAND3}, {MEASURED3} SELECT 2::BIGINT AS a, b, count(*) AS n FROM s WHERE b <= 3 GROUP BY b UNION ALL SELECT 3, b, count(*) FROM m WHERE elementary AND b <= 3 GROUP BY b")
 def lets_classes(spark, g):
     return longs(enumerate_sets(g, 4, 3, BOUNDS).counts)
 
 
-@both(
-    "stats_a3_g400",
-    f"""WITH {E400}, {CAND3}, {MEASURED3},
+@over_graph(
+    "stats_a3",
+    f"""WITH {E}, {CAND3}, {MEASURED3},
     c AS (SELECT coalesce(sum(n * (n - 1)), 0) AS raw2, count(*) AS sets2, count_if(b > 5)::BIGINT AS bad2, count_if(b <= 3)::BIGINT AS out2 FROM s),
     q AS (SELECT coalesce(sum(raw), 0) AS raw3, count(*) AS sets3 FROM g),
     z AS (SELECT count_if(NOT elementary)::BIGINT AS ne3, count_if(elementary AND b > 3)::BIGINT AS bad3, count_if(elementary AND b <= 3)::BIGINT AS ok3 FROM m)
@@ -306,9 +303,21 @@ def stats_a3(spark, g):
     return spark.createDataFrame([r.stats], ", ".join(f"{k} long" for k in r.stats))
 
 
-@both("etsl_classes_a3_g400")
+@over_graph(
+    "etsl_classes_a3",
+    f"""WITH {E}, {CAND3}, {MEASURED3},
+    one AS (SELECT a.v AS v1, b.v AS v2, x.dv + y.dv - 2 AS b FROM e a JOIN e b ON a.c = b.c AND a.v < b.v JOIN d x ON x.v = a.v JOIN d y ON y.v = b.v
+      WHERE x.dv + y.dv - 2 <= 3 GROUP BY a.v, b.v, x.dv, y.dv HAVING count(*) = 1),
+    q AS (SELECT v1, v2, b FROM one WHERE b BETWEEN 1 AND 3 UNION ALL SELECT v1, v2, b FROM s WHERE b BETWEEN 1 AND 3),
+    kq AS (SELECT v1, v2, b, e.c, count(*) AS t FROM q JOIN e ON e.v IN (v1, v2) GROUP BY ALL),
+    o1 AS (SELECT v1, v2, b, e.v, count_if(t = 1) AS odd, count_if(t = 2) AS even FROM kq JOIN e ON e.c = kq.c WHERE e.v NOT IN (v1, v2) GROUP BY ALL),
+    l3 AS (SELECT DISTINCT list_sort([v1, v2, o1.v]) AS l, b + dv - 2 AS b FROM o1 JOIN d ON d.v = o1.v WHERE odd = 1 AND even = 0 AND b + dv - 2 <= 3)
+    SELECT 1::BIGINT AS a, dv AS b, 'leafy' AS kind, count(*) AS n FROM d WHERE dv <= 3 GROUP BY dv
+    UNION ALL SELECT 2, b, 'leafless', count(*) FROM s WHERE b <= 3 GROUP BY b UNION ALL SELECT 2, b, 'leafy', count(*) FROM one GROUP BY b
+    UNION ALL SELECT 3, b, 'leafless', count(*) FROM m WHERE elementary AND b <= 3 GROUP BY b UNION ALL SELECT 3, b, 'leafy', count(*) FROM l3 GROUP BY b""",
+)
 def etsl_classes(spark, g):
-    """With leaves and singleton seeds; its rules feed back through several sizes, so tests hold it against brute force."""
+    """With leaves and singleton seeds."""
     r = enumerate_sets(g, 4, 3, BOUNDS, leaves=True, singletons=True)
     return longs(r.supports.groupBy("a", "b", "kind").agg(F.count("*").alias("n")))
 
@@ -348,12 +357,40 @@ def bb72_cycles3(spark, sf):
     return listed(accept.merged(expand.cycles(g.adjacency(), g.neighbours(), 3)).select("vs", "raw"))
 
 
-@query("bb72_lets_classes", "SELECT * FROM (VALUES (3::BIGINT, 3::BIGINT, 72::BIGINT), (4, 4, 1944)) AS t(a, b, n)")
+BB72 = f"e AS ({bicycle_sql('72', True)})"
+#: Leafless sets of the 72 code by definition: connected, all checks of degree 1 and 2, each variable on two even checks.
+BB72_LETS = f"""WITH {BB72}, n AS (SELECT DISTINCT a.v AS x, b.v AS y FROM e a JOIN e b ON a.c = b.c AND a.v <> b.v),
+c3 AS (SELECT DISTINCT list_sort([a.x, a.y, b.y]) AS l FROM n a JOIN n b ON b.x = a.y AND b.y <> a.x),
+c4 AS (SELECT DISTINCT list_sort(list_append(l, n.y)) AS l FROM c3 JOIN n ON n.x IN (l[1], l[2], l[3]) AND n.y NOT IN (l[1], l[2], l[3])),
+w AS (SELECT l, unnest(l) AS v FROM (SELECT l FROM c3 UNION ALL SELECT l FROM c4)),
+t AS (SELECT l, c, count(*) AS t FROM w JOIN e USING (v) GROUP BY ALL),
+i AS (SELECT l, v, count_if(t = 2) AS even FROM w JOIN e USING (v) JOIN t USING (l, c) GROUP BY ALL),
+ok AS (SELECT l FROM t GROUP BY l HAVING max(t) <= 2 INTERSECT SELECT l FROM i GROUP BY l HAVING min(even) >= 2)
+SELECT len(l)::BIGINT AS a, b, count(*) AS n FROM (SELECT l, count_if(t = 1) AS b FROM t JOIN ok USING (l) GROUP BY l) WHERE b <= len(l) GROUP BY ALL"""
+
+
+@query("bb72_lets_classes", BB72_LETS)
 def bb72_lets_classes(spark, sf):
-    """Fixed counts: this graph doesn't come from a table."""
     return longs(enumerate_sets(codes.preset(spark, "72")[0].hz, 6, 4, [0, 0, 0, 3, 4], [3]).counts)
 
 
+@query("bb72_girth", f"WITH {BB72}, {PAIRS}, {TRI} SELECT (CASE WHEN EXISTS (SELECT 1 FROM p) THEN 4 WHEN EXISTS (SELECT 1 FROM t) THEN 6 END)::BIGINT AS girth")
+def bb72_girth(spark, sf):
+    return spark.createDataFrame([(codes.girth(codes.preset(spark, "72")[0].hz),)], "girth long")
+
+
+@query(
+    "bb72_cycles4",
+    f"""WITH {BB72}, s AS (SELECT a.v AS x, a.c, b.v AS y FROM e a JOIN e b ON a.c = b.c AND a.v <> b.v),
+    t AS (SELECT a.x AS v1, a.y AS v2, b.y AS v3, c.y AS v4 FROM s a JOIN s b ON b.x = a.y JOIN s c ON c.x = b.y JOIN s d ON d.x = c.y AND d.y = a.x
+      WHERE a.x < least(a.y, b.y, c.y) AND a.y < c.y AND b.y <> a.y AND b.y <> c.y AND len(list_distinct([a.c, b.c, c.c, d.c])) = 4)
+    SELECT array_to_string(list_sort([v1, v2, v3, v4]), ',') AS vs, count(*) AS raw FROM t GROUP BY 1""",
+)
+def bb72_cycles4(spark, sf):
+    g = codes.preset(spark, "72")[0].hz
+    return listed(accept.merged(expand.cycles(g.adjacency(), g.neighbours(), 4)).select("vs", "raw"))
+
+
 @query("circulant", "SELECT DISTINCT (i + p) % 31 AS c, i AS v FROM range(31) r(i), (VALUES (0), (3), (30)) AS t(p)")
 def circulant(spark, sf):
     return longs(codes.circulant(spark, 31, [0, 3, -1]))
@@ -424,22 +461,41 @@ def qc_ghp_hx(spark, sf):
     return longs(codes.quasi_cyclic(spark, 7, codes.cyclic_permuting(3, [0, 1]), [0, 1, 3]).hx.edges)
 
 
-@query("two_block_group_hx")
+@query(
+    "two_block_group_hx",
+    """WITH g AS (SELECT c, d, c * 3 + d AS v FROM range(7) r(c), range(3) s(d)),
+    x AS (SELECT ((p + c * (1 << q::INT)) % 7) * 3 + (d + q) % 3 AS c, v FROM g, (VALUES (0, 0), (1, 0), (0, 1)) AS t(p, q)
+      UNION ALL SELECT ((c + p * (1 << d::INT)) % 7) * 3 + (d + q) % 3, 21 + v FROM g, (VALUES (0, 0), (1, 1), (2, 2)) AS t(p, q))
+    SELECT c::BIGINT AS c, v::BIGINT AS v FROM x GROUP BY ALL HAVING count(*) % 2 = 1""",
+)
 def two_block_group_hx(spark, sf):
     return longs(codes.two_block_group(spark, 7, 3, 2, [(0, 0), (1, 0), (0, 1)], [(0, 0), (1, 1), (2, 2)]).hx.edges)
 
 
-@query("cycle_assemble_hx")
+@query(
+    "cycle_assemble_hx",
+    """WITH b AS (SELECT r, k, (7 - CASE WHEN k = 0 THEN 1 ELSE (3 ** ((k - 1 - r + 6) % 6))::BIGINT % 7 END) % 7 AS s FROM range(3) x(r), range(7) y(k))
+    SELECT r * 7 + (i + s) % 7 AS c, k * 7 + i AS v FROM b, range(7) z(i) UNION ALL SELECT i, 49 FROM range(21) z(i)""",
+)
 def cycle_assemble_hx(spark, sf):
     return longs(codes.cycle_assemble(spark, 7, 3).hx.edges)
 
 
-@query("euclidean_geometry_hx")
+@query(
+    "euclidean_geometry_hx",
+    """WITH RECURSIVE a(i, x) AS (SELECT 0, 1 UNION ALL SELECT i + 1, CASE WHEN x >= 8 THEN xor(x << 1, 19) ELSE x << 1 END FROM a WHERE i < 14),
+    p AS (SELECT u.i, j, unnest([0, 1, 2]) AS k, u.x FROM a u, range(5) r(j)),
+    q AS (SELECT p.i, j, xor(p.x, w.x) AS y FROM p JOIN a w ON w.i = (k * 5 + j) % 15 UNION ALL SELECT i, j, x FROM (SELECT DISTINCT i, j, x FROM p)),
+    n AS (SELECT q.i, j, coalesce(z.i + 1, 0) AS c FROM q LEFT JOIN a z ON z.x = y),
+    l AS (SELECT DISTINCT list_sort(list(DISTINCT c)) AS s FROM n GROUP BY i, j),
+    o AS (SELECT s, row_number() OVER (ORDER BY array_to_string(list_transform(range(16), lambda m: CASE WHEN list_contains(s, m) THEN '1' ELSE '0' END), '')) - 1 AS v FROM l)
+    SELECT unnest(s)::BIGINT AS c, v FROM o UNION ALL SELECT i, 20 FROM range(16) r(i)""",
+)
 def euclidean_geometry_hx(spark, sf):
     return longs(codes.euclidean_geometry(spark, 2).hx.edges)
 
 
-@both("girth_g400", f"WITH {E400}, {PAIRS} SELECT 4::BIGINT AS girth WHERE EXISTS (SELECT 1 FROM p)")
+@over_graph("girth", f"WITH {E}, {PAIRS} SELECT 4::BIGINT AS girth WHERE EXISTS (SELECT 1 FROM p)")
 def girth_g400(spark, g):
     return spark.createDataFrame([(codes.girth(g),)], "girth long")
 
@@ -487,33 +543,72 @@ def bin2int_orders(spark, sf):
     return longs(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), bin2int(int2bin(F.col("o_orderkey"), 6)).alias("low")))
 
 
-@both("alist_roundtrip", f"WITH {E400} SELECT c, v FROM e")
+@over_graph("alist_roundtrip", f"WITH {E} SELECT c, v FROM e")
 def alist_roundtrip(spark, g):
-    path = f"{scratch_dir(spark)}/girthline/g400.alist"
-    alist.as_lines(g).coalesce(1).sortWithinPartitions("no").select("line").write.mode("overwrite").text(path)
+    path = fresh_path(spark, "alist")
+    alist.as_lines(g).coalesce(1).sortWithinPartitions("no").select("line").write.text(path)
     return longs(alist.read(spark, path).edges)
 
 
-@query("gf2_ranks")
+def rank_sql(edges: str) -> str:
+    """The rank over GF(2): rows as bit masks; the largest one clears its highest bit in all others until none is left."""
+    return f"""(WITH RECURSIVE m AS (SELECT c, bit_xor(1::HUGEINT << v::INT) AS x FROM ({edges}) GROUP BY c),
+    r(k, xs) AS (SELECT 0, list(x) FROM m UNION ALL
+      SELECT k + 1, list_filter(list_transform(xs, lambda x: least(x, xor(x, top))), lambda x: x <> 0) FROM (SELECT k, xs, list_max(xs) AS top FROM r WHERE len(xs) > 0))
+    SELECT max(k)::BIGINT FROM r)"""
+
+
+RANKED = ("72", "90", "108")
+
+
+@query("gf2_ranks", " UNION ALL ".join(f"SELECT '{k}' AS code, {rank_sql(bicycle_sql(k, False))} AS rank_hx, {rank_sql(bicycle_sql(k, True))} AS rank_hz" for k in RANKED))
 def gf2_ranks(spark, sf):
-    rows = [(k, *(linear.rank(m) for m in (c.hx, c.hz))) for k in ("72", "90") for c in (codes.preset(spark, k)[0],)]
-    return spark.createDataFrame(rows, "code string, rank_hx int, rank_hz int")
+    rows = [(k, *(linear.rank(m) for m in (c.hx, c.hz))) for k in RANKED for c in (codes.preset(spark, k)[0],)]
+    return spark.createDataFrame(rows, "code string, rank_hx long, rank_hz long")
+
 
+def odd_overlaps(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of a row of each table (c, v) that share an odd number of columns."""
+    x, y = rows.select(F.col("c").alias("x"), "v"), others.select(F.col("c").alias("y"), "v")
+    return x.join(y, "v").groupBy("x", "y").agg(F.count("*").alias("n")).where("n % 2 = 1")
 
-@both("gf2_kernel_g400")
-def gf2_kernel(spark, g):
-    return longs(linear.kernel(g))
 
+@query("gf2_kernel", " UNION ALL ".join(f"SELECT '{k}' AS code, {2 * codes.PRESETS[k][0] * codes.PRESETS[k][1]} - {rank_sql(bicycle_sql(k, False))} AS vectors, {2 * codes.PRESETS[k][0] * codes.PRESETS[k][1]} - {rank_sql(bicycle_sql(k, False))} AS independent, 0::BIGINT AS violations" for k in RANKED))
+def gf2_kernel(spark, sf):
+    """A kernel has as many independent vectors as columns beyond the rank, and each row takes every one to zero."""
+    rows = []
+    for k in RANKED:
+        h = codes.preset(spark, k)[0].hx
+        found = written(linear.kernel(h), "kernel")
+        n = found.agg(F.count_distinct("c")).first()[0]
+        rows.append((k, n, linear.rank(Tanner(found, n, h.variables)), odd_overlaps(h.edges, found).count()))
+    return spark.createDataFrame(rows, "code string, vectors long, independent long, violations long")
 
-@both("gf2_row_echelon_g400")
-def gf2_row_echelon(spark, g):
-    return longs(linear.row_echelon(g, reduced=True))
+
+@query(
+    "gf2_row_echelon",
+    """SELECT 'form' AS part, i AS c, i AS v FROM range(24) r(i) UNION ALL SELECT 'form', i, 24 FROM range(24) r(i)
+    UNION ALL SELECT 'transform', i, j FROM range(24) r(i), range(24) s(j) WHERE j >= i UNION ALL SELECT 'pivot', i, i FROM range(24) r(i)""",
+)
+def gf2_row_echelon(spark, sf):
+    """Of the repetition code: each reduced row holds its pivot and the last column, and is the sum of the rows from its own on."""
+    return longs(linear.row_echelon(codes.repetition(spark, 25), reduced=True))
 
 
-@query("logical_operators_bb72")
+@query(
+    "logical_operators_bb72",
+    f"""WITH k AS (SELECT 72 - {rank_sql(bicycle_sql('72', False))} - {rank_sql(bicycle_sql('72', True))} AS k, {rank_sql(bicycle_sql('72', False))} AS r)
+    SELECT side, k AS operators, 0::BIGINT AS violations, r + k AS rank_with_checks FROM k, (VALUES ('x'), ('z')) AS t(side)""",
+)
 def logical_operators(spark, sf):
-    lx, lz = linear.logicals(codes.preset(spark, "72")[0])
-    return longs(lx.withColumn("side", F.lit("x")).unionByName(lz.withColumn("side", F.lit("z"))))
+    """k operators a side, which commute with the other side's checks and are independent of their own side's."""
+    code, rows = codes.preset(spark, "72")[0], []
+    for side, found, own, other in zip("xz", linear.logicals(code), (code.hx, code.hz), (code.hz, code.hx)):
+        found = written(found, "logicals")
+        n = found.agg(F.count_distinct("c")).first()[0]
+        stack = own.edges.unionByName(found.select((F.col("c") + own.checks).cast("int").alias("c"), "v"))
+        rows.append((side, n, odd_overlaps(found, other.edges).count(), linear.rank(Tanner(stack, own.checks + n, own.variables))))
+    return spark.createDataFrame(rows, "side string, operators long, violations long, rank_with_checks long")
 
 
 def memory_errors(spark: SparkSession, name: str, rounds: int | None = None, p: float = 1e-3) -> tuple[codes.Css, DataFrame, Tanner, int]:
@@ -523,12 +618,17 @@ def memory_errors(spark: SparkSession, name: str, rounds: int | None = None, p:
     return detector_columns(spark, name, rounds, p)
 
 
-@query("memory_circuit_gates_bb72")
+@query(
+    "memory_circuit_gates_bb72",
+    """WITH x AS (SELECT 36 AS h, 2 AS r)
+    SELECT unnest(['CNOT', 'DEPOLARIZE2', 'DETECTOR', 'MR', 'MRX', 'M']) AS op, unnest([12 * h * r, 12 * h * r, h * (r + 1), h * r, h * r, 2 * h])::BIGINT AS n FROM x""",
+)
 def memory_circuit_gates(spark, sf):
     from .plans.pipeline import gates_of
 
     x = circuit.as_table(spark, gates_of(spark, "72", 2, 1e-3)[1])
-    return longs(x.groupBy("op").agg(F.count("*").alias("n"), F.sum(F.size("targets")).alias("targets")))
+    # In each round two-qubit gates run along all six terms of both kinds of checks, and every check is measured.
+    return longs(x.where(F.col("op").isin("CNOT", "DEPOLARIZE2", "DETECTOR", "MR", "MRX", "M")).groupBy("op").agg(F.count("*").alias("n")))
 
 
 @query("detector_matrix_bb72_degrees")
@@ -536,11 +636,18 @@ def detector_matrix_degrees(spark, sf):
     return longs(graphs.degree_histogram(memory_errors(spark, "72", 2)[2].edges))
 
 
-@query("hook_decomposition_bb72")
+@query("hook_decomposition_bb72", "SELECT 0::BIGINT AS violations, 0::BIGINT AS missing")
 def hook_decomposition(spark, sf):
+    """Every hook column is the sum of its data columns; counts hooks of which that fails, and hooks without an answer."""
     code, _, h, rounds = memory_errors(spark, "72", 2)
     sep = written(hooks.separate(h, code.hz, rounds, code.hz.checks), "separated")
-    return longs(hooks.decompose(sep, code.hx, code.hz.checks).select("hook", as_text(F.col("parts")).alias("parts")))
+    parts = written(hooks.decompose(sep, code.hx, code.hz.checks), "parts")
+    hook = sep.where("kind = 'hook'").select(F.col("new_idx").alias("hook"), F.explode("rows").alias("c"))
+    data = sep.where("kind = 'data'").select("new_idx", F.explode("rows").alias("c"))
+    sums = parts.select("hook", F.explode("parts").alias("new_idx")).join(data, "new_idx").select("hook", "c")
+    wrong = hook.unionByName(sums).groupBy("hook", "c").agg(F.count("*").alias("n")).where("n % 2 = 1").select("hook").distinct()
+    missing = sep.where("kind = 'hook'").join(parts, F.col("new_idx") == F.col("hook"), "left_anti").count()
+    return spark.createDataFrame([(wrong.count(), missing)], "violations long, missing long")
 
 
 @query("noise_graph_bb72_degrees")
@@ -551,8 +658,32 @@ def noise_graph_degrees(spark, sf):
     return longs(graphs.degree_histogram(hooks.noise_graph(n, hooks.decompose(sep, code.hx, code.hz.checks)).edges))
 
 
-@query("dem_trapping_sets_bb72")
-def dem_trapping_sets(spark, sf):
+@query("memory_classes_bb108", "SELECT 2::BIGINT AS a, 2::BIGINT AS b, 30 * 108::BIGINT AS n, 31 * 108::BIGINT AS variables, 2 * 108::BIGINT AS ends")
+def memory_classes_108(spark, sf):
+    """Class (2, 2) of the 108 code's usual experiment is known: 108 disjoint paths of 31 variables, and a pair a step."""
+    from .plans.pipeline import enumerate_preset
+
+    pairs = enumerate_preset(spark, "108", amax=2, bmax=2).supports.where("b = 2")
+    degrees = pairs.select(F.explode("vs").alias("v")).groupBy("v").agg(F.count("*").alias("d"))
+    n = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return longs(n.crossJoin(degrees.agg(F.count("*").alias("variables"), F.count_if(F.col("d") == 1).alias("ends"))))
+
+
+@query(
+    "dem_file_edges",
+    f"WITH {_DEM} SELECT unnest(dets)::BIGINT AS c, v FROM z",
+)
+def dem_file_edges(spark, sf):
+    """The error rows written as the text of a model, read back, merged, and made a matrix."""
+    path = fresh_path(spark, "model")
+    ids = lambda c, mark: F.array_join(F.transform(c, lambda x: F.concat(F.lit(f" {mark}"), x.cast("string"))), "")
+    lines = event_errors(spark, sf).select("idx", F.concat(F.lit("error("), F.col("p").cast("string"), F.lit(")"), ids("dets", "D"), ids("obs", "L")).alias("value"))
+    lines.repartitionByRange(1, "idx").sortWithinPartitions("idx").select("value").write.text(path)
+    return longs(dem.matrices(dem.merged(dem.read(spark, path)))[0].edges)
+
+
+@query("memory_classes_bb72")
+def memory_classes_72(spark, sf):
     """The whole way from a preset's name to class counts."""
     from .plans.pipeline import enumerate_preset
 

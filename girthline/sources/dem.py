@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import Tanner
+from .scratch import written
 
 ERRORS = "idx long, p double, dets array<int>, obs array<int>"
 LINE = re.compile(r"^\s*(\w+)(?:\[[^\]]*\])?(?:\(([^)]*)\))?\s*([^#{]*)")
@@ -76,6 +77,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(run, ERRORS)
 
 
+def declared_in(spark: SparkSession, path: str) -> tuple[int, int]:
+    """declared() of a model file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([declared(t) for t in b["value"]], columns=["d", "o"])
+
+    found = spark.read.text(path, wholetext=True).mapInPandas(run, "d int, o int").agg(F.max("d"), F.max("o")).first()
+    return found[0] or 0, found[1] or 0
+
+
 def declared(text: str) -> tuple[int, int]:
     """Numbers of detectors and observables: one more than the largest named anywhere."""
     d = o = 0
@@ -88,6 +100,21 @@ def declared(text: str) -> tuple[int, int]:
     return d, o
 
 
+def numbered(df: DataFrame, key: str, name: str, parts: int = 256) -> DataFrame:
+    """`df` with numbers from 0 in ascending order of a numeric column without ties, as ints.
+
+    Quantiles cut the key into ranges; rows are numbered within each, after those of the ranges before. So no task sees
+    all rows, only the at most `parts` counts are added up in one.
+    """
+    edges = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts).alias("q")).first()["q"] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col(key))) if edges else F.lit(0)
+    x = written(df.withColumn("_part", part), "numbered")
+    counts = x.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
+    before = counts.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return x.withColumn("_k", place).join(before, F.col("_part") == F.col("_of")).withColumn(name, (F.col("_k") + F.col("_before")).cast("int")).drop("_part", "_of", "_k", "_before")
+
+
 def merged(errors: DataFrame, combine: str = "sum") -> DataFrame:
     """v, p, dets, obs: one column for each different symptom, in order of first appearance.
 
@@ -96,7 +123,7 @@ def merged(errors: DataFrame, combine: str = "sum") -> DataFrame:
     p = F.sum("p") if combine == "sum" else (1 - F.product(1 - 2 * F.col("p"))) / 2
     x = errors.select("idx", "p", F.array_sort(F.array_distinct("dets")).alias("dets"), F.array_sort(F.array_distinct("obs")).alias("obs"))
     x = x.groupBy("dets", "obs").agg(p.alias("p"), F.min("idx").alias("first"))
-    return x.withColumn("v", F.row_number().over(Window.orderBy("first")) - 1).select("v", "p", "dets", "obs")
+    return numbered(x, "first", "v").select("v", "p", "dets", "obs")
 
 
 def matrices(columns: DataFrame, detectors: int | None = None, observables: int | None = None) -> tuple[Tanner, Tanner, DataFrame]:

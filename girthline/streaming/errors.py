@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """p, dets, obs of `error(p) D.. L..` lines (column value); other lines, and repeat blocks, take no part."""
-    ids = lambda c: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("value", F.lit(rf"\b{c}(\d+)"), 1), lambda x: x.cast("int"))))
-    rows = lines.where(F.col("value").rlike(r"^\s*error\s*\("))
-    return rows.select(F.regexp_extract("value", r"\(([^)]*)\)", 1).cast("double").alias("p"), ids("D").alias("dets"), ids("L").alias("obs"))
+    """p, dets, obs of `error(p) D.. L..` lines (column value), tagged or not; other lines take no part.
+
+    Repeat blocks and detector shifts need the lines in order, which a stream doesn't keep: they are an error.
+    """
+    ordered = F.col("value").rlike(r"^\s*(repeat|shift_detectors)\b")
+    line = F.when(ordered, F.raise_error(F.lit("a stream can't unroll repeat blocks or detector shifts; read the file with sources.dem"))).otherwise(F.regexp_replace("value", "#.*$", ""))
+    ids = lambda c: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(rf"\b{c}(\d+)"), 1), lambda x: x.cast("int"))))
+    rows = lines.select(line.alias("line")).where(F.col("line").rlike(r"^\s*error\s*(\[[^\]]*\])?\s*\("))
+    return rows.select(F.regexp_extract("line", r"\(([^)]*)\)", 1).cast("double").alias("p"), ids("D").alias("dets"), ids("L").alias("obs"))
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -75,12 +75,34 @@ def test_gf2():
     assert (gf2.canonical_logicals(lx, lz) @ lz.T % 2 == np.eye(2)).all()
 
 
+def test_systematic_form():
+    """Pivots and swaps by the rule, column zero warned of, and the same code up to the swaps."""
+    h = np.array([[0, 1, 1, 0, 1], [0, 1, 0, 1, 1]])
+    form, swaps = gf2.make_systematic(h)
+    assert swaps == [(0, 2)] and (form[:, :2] == np.eye(2)).all()
+    back = form.copy()
+    for i, j in reversed(swaps):
+        back[:, [i, j]] = back[:, [j, i]]
+    assert gf2.rank(np.vstack([back, h])) == 2
+    with pytest.warns(UserWarning, match="zeros"):
+        form, swaps = gf2.make_systematic(h, True)
+    assert swaps == [(0, 2), (0, 3), (1, 4)] and (form[:, 3:] == np.eye(2)).all()
+    with pytest.raises(ValueError):
+        gf2.make_systematic(np.array([[1, 1, 0], [1, 1, 0]]))
+
+
+def test_cyclic_permuting():
+    assert codes.cyclic_permuting(3, [0, 1]) == [[0, -1, 1], [1, 0, -1], [-1, 1, 0]] and codes.cyclic_permuting(2, [5, 7]) == [[5, 7], [7, 5]]
+
+
 def test_fields():
     log, antilog = fields.tables(4, fields.primitive_polynomial(4))
     assert sorted(antilog[:-1]) == list(range(1, 16)) and log[0] == -1
-    for i, j in enumerate(fields.zech(4, log, antilog)):
-        assert i == 0 or j == -1 or antilog[j] == 1 ^ antilog[i % 15]
-    assert fields.gcd_of_powers([0, 1, 3], [0, 7]) == [0, 1, 3] and fields.reciprocal(3, 7) == 5
+    zech = fields.zech(log, antilog)
+    assert sorted(zech) == list(range(1, 15)) and all(antilog[j] == 1 ^ antilog[i] for i, j in zech.items())
+    divisor = fields.common_divisor(fields.mask_of([0, 1, 3]), fields.mask_of([0, 7]))
+    assert fields.powers_of(divisor) == [0, 1, 3] and fields.mask_of([2, 2, 5]) == 32 and fields.inverse_modulo(3, 7) == 5
+    assert fields.common_divisor(0, 6) == 6 and fields.remainder(0b1011, 0b11) == 1
     with pytest.raises(ValueError):
         fields.primitive_polynomial(5)
 
@@ -149,7 +171,7 @@ def test_error_model(spark, tmp_path):
     h, o, p = dem.matrices(dem.merged(twice), 5)
     assert (h.checks, h.variables, o.checks) == (5, 2, 1) and edge_set(h.edges) == {(0, 0), (1, 0), (3, 1)} and p.count() == 2
     lines = spark.createDataFrame([(x,) for x in DEM.splitlines()], "value string")
-    got = stream.symptoms(stream.parsed(lines.where("NOT value LIKE '%^%'"))).count()
+    got = stream.symptoms(stream.parsed(lines.where("NOT value RLIKE 'repeat|shift|D1 D2'"))).count()
     assert got == 4
 
 
@@ -165,6 +187,39 @@ def test_stream_of_errors(spark, tmp_path):
         q.stop()
 
 
+def test_stream_of_tags_and_blocks(spark):
+    """Tagged errors count; blocks and shifts, which need an order, are an error and not silently wrong."""
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    assert [tuple(r) for r in stream.parsed(lines("error[t](0.2) D5 L1 # D9", "  error(0.1) D1", "detector D7")).orderBy("p").collect()] == [(0.1, [1], []), (0.2, [5], [1])]
+    for bad in ("repeat 3 {", "shift_detectors 2"):
+        with pytest.raises(Exception, match="unroll"):
+            stream.parsed(lines("error(0.1) D0", bad)).collect()
+
+
+def test_declared_sizes_and_degree_zero(spark, tmp_path):
+    """Detectors that are declared but never hit count; an error that flips no detector is a column that the search rejects."""
+    path = tmp_path / "m.dem"
+    path.write_text("error(0.1) D0 D1\nerror(0.1) D1 D2 L0\ndetector D6\nlogical_observable L3\n")
+    assert dem.declared_in(spark, str(path)) == (7, 4)
+    h = dem.matrices(dem.merged(dem.read(spark, str(path))), 7, 4)[0]
+    assert (h.checks, h.variables) == (7, 2)
+    path.write_text("error(0.1) D0 D1\nerror(0.1) L0\n")
+    with pytest.raises(ValueError, match="degree 0"):
+        pipeline.enumerate_graph(dem.matrices(dem.merged(dem.read(spark, str(path))))[0], 2, 2)
+
+
+def test_numbers_in_order(spark):
+    table = spark.range(0, 3000, 3).withColumn("x", F.col("id") * 7 % 3001).repartition(5)
+    got = [r["k"] for r in dem.numbered(table, "x", "k", 7).orderBy("x").collect()]
+    assert got == list(range(1000)) and dem.numbered(table.where("id < 0"), "x", "k").count() == 0
+
+
+def test_written_priors(spark, tmp_path):
+    hooks.write_priors(spark.createDataFrame([(1, 0.5), (0, 0.0), (2, 0.25)], "v int, value double"), str(tmp_path / "llr"))
+    lines = [float(x) for f in sorted((tmp_path / "llr").glob("part-*")) for x in f.read_text().split()]
+    assert lines[0] == float("inf") and lines[1:] == pytest.approx([0.0, np.log(3)])
+
+
 def test_circuit_of_a_repetition():
     gates = [("R", (0,), 0.0), ("X_ERROR", (0,), 0.1), ("CNOT", (0, 1), 0.0), ("DEPOLARIZE1", (1,), 0.01), ("MR", (1,), 0.0), ("DETECTOR", (-1,), 0.0), ("M", (0,), 0.0), ("OBSERVABLE_INCLUDE", (-1,), 0.0)]
     found = list(circuit.errors(gates))
