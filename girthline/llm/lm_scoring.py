@@ -27,9 +27,9 @@ ORDER, FOLDS, HELD_OUT, TUNING = 3, 10, 0, 1
 STEPS, PRIOR = 8, 0.5
 #: Frequencies of contexts fall into buckets by doubling.
 LEVELS = 32
-#: Bits of an n-gram's key, at least, and beyond those of its bucket: as the input grows, so do the keys, and about one
-#: in a million meets another at any size. The last bit tells words from longer n-grams.
-KEY_BITS, KEY_REST = 48, 40
+#: Bits of an n-gram's key, at least, and beyond those of its bucket: as the input grows, so do the keys, and only a
+#: few in a million meet another at any size. The last bit tells words from longer n-grams.
+KEY_BITS, KEY_REST = 46, 38
 #: Hashes that no word has: the end of a text, and what stands before its first word.
 END, START = np.uint64(0xE3D5A1F0C2B49687), np.uint64(0x1B7C93D2E8F60A45)
 

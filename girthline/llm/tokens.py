@@ -29,9 +29,9 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words, in order; none for null."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def word_hashes(text: str | bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's words, in order; none for null. Bytes are words with lower-case A-Z already."""
+    words = text.split() if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass").lower().split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 

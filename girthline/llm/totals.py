@@ -64,20 +64,23 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in batches of about BATCH_BYTES of text, each one compressed value, so that texts are shuffled small.
+    """Documents in batches of about BATCH_BYTES of text, each one compressed value, so that texts are shuffled small:
+    their words only, with A-Z lower-cased and one space between.
 
     A batch's number is a hash of its place and content: a repeated task that met other rows gives other numbers, for
     which there are no answers, rather than wrong counts.
     """
     k = 0
     for batch in batches:
-        for part, _ in portions(batch.column("text"), BATCH_BYTES, BATCH_BYTES // 20):
+        for part, texts in portions(batch.column("text"), BATCH_BYTES, BATCH_BYTES // 20):
             some, sink = batch.slice(part.start, part.stop - part.start), pa.BufferOutputStream()
+            words = pa.array([b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts], pa.binary())
+            some = some.set_column(some.schema.get_field_index("text"), "text", words)
             with pa.ipc.new_stream(sink, some.schema) as out:
                 out.write_batch(some)
             data, k = sink.getvalue().to_pybytes(), k + 1
             number = hashlib.blake2b(b"%d %d " % (TaskContext.get().partitionId(), k) + data, digest_size=8).digest()
-            yield pa.RecordBatch.from_pydict({"unit": pa.array([int.from_bytes(number) >> 1], pa.int64()), "docs": pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"unit": pa.array([int.from_bytes(number) >> 1], pa.int64()), "docs": pa.array([zstandard.ZstdCompressor(level=9).compress(data)], pa.binary())})
 
 
 def unbundle(table: pa.Table) -> pa.Table:
@@ -124,8 +127,8 @@ class Exchange:
             out[:, s] = unpack(got[first << width | k], self.planes * (s.stop - s.start)).reshape(self.planes, -1)
         return list(out)
 
-    def summed(self, table: pa.Table, depth: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Distinct keys of a bucket's messages, their summed counts, and each message's places among them."""
+    def summed(self, table: pa.Table, depth: int) -> tuple[np.ndarray, list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+        """Distinct keys of a bucket's messages, their summed counts, and each message's places among them and counts."""
         base = np.uint64(table.column("bucket")[0].as_py() << (self.keep - depth))
         keys = [unsqueeze(k) for k in table.column("keys").to_pylist()]
         n = [len(k) for k in keys]
@@ -138,10 +141,12 @@ class Exchange:
                 s[:] = np.bincount(which, c, len(found))
             else:
                 np.add.at(s, which, c)
-        return found | base, list(sums), np.split(which, np.cumsum(n)[:-1])
+        ends = np.cumsum(n)[:-1]
+        return found | base, list(sums), list(zip(np.split(which, ends), np.split(counts, ends, axis=1)))
 
-    def replies(self, table: pa.Table, sums: list[np.ndarray], places: list[np.ndarray]) -> dict[str, list]:
-        counts = [pack(np.concatenate([s[w] for s in sums])) for w in places]
+    def replies(self, table: pa.Table, sums: list[np.ndarray], places: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, list]:
+        """An answer a message: all totals of the first count; of the others those that the sender has a share in."""
+        counts = [pack(np.concatenate([sums[0][w], *(s[w] * (own > 0) for s, own in zip(sums[1:], given[1:]))])) for w, given in places]
         return {"unit": table.column("unit").to_pylist(), "bucket": table.column("bucket").to_pylist(), "keys": [None] * len(counts), "counts": counts}
 
     def totals(self, messages: DataFrame, extra: Callable[[np.ndarray, list[np.ndarray]], bytes] | None = None, depth: int = 0) -> DataFrame:
