@@ -30,6 +30,8 @@ LEVELS = 32
 #: Bits of an n-gram's key, at least, and beyond those of its bucket: as the input grows, so do the keys, and about one
 #: in a million meets another at any size. The last bit tells words from longer n-grams.
 KEY_BITS, KEY_REST = 48, 40
+#: Text of a batch in bytes: the larger, the fewer n-grams are sent, each in fewer bits, and the more memory a task takes.
+BATCH_BYTES = 8_000_000
 #: Hashes that no word has: the end of a text, and what stands before its first word.
 END, START = np.uint64(0xE3D5A1F0C2B49687), np.uint64(0x1B7C93D2E8F60A45)
 
@@ -92,9 +94,9 @@ def gather(docs: DataFrame, order: int) -> DataFrame:
     """A row a batch: its documents, the training counts of each token's n-grams of every order, for the tuning fold's
     documents the counts without that fold, and its training and tuning tokens; a further row a bucket holds its
     distinct training words."""
-    way = Exchange(text_size(docs), KEY_BITS, 2, KEY_REST)
+    way = Exchange(text_size(docs), KEY_BITS, 2, KEY_REST, BATCH_BYTES)
     fold = crc_fold(F.col("doc_id"), FOLDS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold")).mapInArrow(bundle, "unit long, docs binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold")).mapInArrow(lambda batches: bundle(batches, BATCH_BYTES), "unit long, docs binary")
 
     def opened(table: pa.Table) -> tuple[int, pa.Table, Batch, np.ndarray]:
         number, table = table.column("unit")[0].as_py(), unbundle(table)

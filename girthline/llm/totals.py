@@ -63,8 +63,8 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in batches of about BATCH_BYTES of text, each one compressed value, so that texts are shuffled small:
+def bundle(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Documents in batches of about `most` bytes of text, each one compressed value, so that texts are shuffled small:
     their words only, with A-Z lower-cased and one space between.
 
     A batch's number is a hash of its place and content: a repeated task that met other rows gives other numbers, for
@@ -72,7 +72,7 @@ def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     k = 0
     for batch in batches:
-        for part, texts in portions(batch.column("text"), BATCH_BYTES, BATCH_BYTES // 20):
+        for part, texts in portions(batch.column("text"), most, most // 20):
             some, sink = batch.slice(part.start, part.stop - part.start), pa.BufferOutputStream()
             words = pa.array([b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts], pa.binary())
             some = some.set_column(some.schema.get_field_index("text"), "text", words)
@@ -80,7 +80,7 @@ def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.write_batch(some)
             data, k = sink.getvalue().to_pybytes(), k + 1
             number = hashlib.blake2b(b"%d %d " % (TaskContext.get().partitionId(), k) + data, digest_size=8).digest()
-            yield pa.RecordBatch.from_pydict({"unit": pa.array([int.from_bytes(number) >> 1], pa.int64()), "docs": pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"unit": pa.array([int.from_bytes(number) >> 1], pa.int64()), "docs": pa.array([zstandard.ZstdCompressor(level=5).compress(data)], pa.binary())})
 
 
 def unbundle(table: pa.Table) -> pa.Table:
@@ -88,14 +88,14 @@ def unbundle(table: pa.Table) -> pa.Table:
 
 
 class Exchange:
-    """The way of messages for `size` bytes of text, with so many counts to a key. Keys have `keep` bits, or, with many
+    """The way of messages for `size` bytes of text in batches of `batch`, with so many counts to a key. Keys have `keep` bits, or, with many
     buckets, `rest` more than a bucket's number."""
 
-    def __init__(self, size: int, keep: int, planes: int, rest: int = 0):
+    def __init__(self, size: int, keep: int, planes: int, rest: int = 0, batch: int = BATCH_BYTES):
         self.planes, self.bits = planes, max(LEAST_BITS, int(size // BUCKET_BYTES).bit_length())
         self.keep = min(63, max(keep, rest + self.bits))
         self.fan = FAN
-        self.units = size // BATCH_BYTES + 1
+        self.units = size // batch + 1
 
     def edges(self, keys: np.ndarray, depth: int) -> np.ndarray:
         """Where the slices of ascending keys begin, and the last ends, that the bits after the first `depth` tell."""
