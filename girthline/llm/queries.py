@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, lm_scoring, mixing, packing, secrets, syncmers, topk, warc
+from . import bpe, cleaning, jaccard, langid, lm_scoring, merkle, mixing, packing, secrets, syncmers, topk, warc
 from .common import table
 
 
@@ -60,6 +60,14 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op11_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_top_k": op9_top_k,
     "op10_syncmers": op10_syncmers,
+    "op11_line_cleaning": op11_line_cleaning,
+    "op12_merkle": op12_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_jaccard": jaccard.SQL, "op9_top_k": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op4_jaccard": jaccard.SQL, "op9_top_k": topk.SQL, "op11_line_cleaning": cleaning.SQL, "op12_merkle": merkle.SQL}
