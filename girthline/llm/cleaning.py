@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, UPPER, WORD, let, unused
 
-#: The base rule's symbols, and white space as characters.
+#: The base rule's symbols.
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
 #: Marks that end a sentence, and those that may follow them.
 ENDS = ".!?…。！？"
 CLOSERS = "\"'”’»)]"
@@ -26,20 +25,20 @@ PHRASES = ("all rights reserved", "privacy policy", "terms of use", "terms of se
 PUNCTUATED, SENTENCE = 4, 40
 #: Marks of one kind that a line may hold however short it is; beyond, one to this many words is too many.
 FEW, SPARSE = 2, 4
-#: Words of the longest line that a phrase condemns: a phrase in a long paragraph is prose about it.
-SHORT = 30
+#: Words of the longest line that a phrase condemns, as a phrase in a long paragraph is prose about it; and of a link's name.
+SHORT, LINK_WORDS = 30, 4
 #: Fewest words, most percent of words in repeated windows, least percent of characters that must survive.
 LEAST_WORDS, MOST_REPEATED, LEAST_KEPT = 50, 50, 50
 
 
 def count_of(text: Column, marks: str) -> Column:
     """How many characters of `text` are among `marks`."""
-    return F.char_length(text) - F.char_length(F.translate(text, marks, ""))
+    return F.regexp_count(text, F.lit(f"[{marks}]"))
 
 
 def letters(text: Column) -> Column:
     """Code points that are not white space."""
-    return F.char_length(F.translate(text, BLANKS, ""))
+    return F.char_length(text) - F.regexp_count(text, F.lit(f"[{SPACES}]"))
 
 
 def lines_of(text: Column) -> Column:
@@ -56,7 +55,7 @@ def fails(line: Column) -> dict[str, Column]:
 
     punctuation: four or more words and no sentence mark at the end, nor one to 40 words; or `!!` at every fourth word.
     symbols: more than two symbols, and one or more to four words.
-    navigation: more than two menu marks, one or more to four words; or the whole line is the name of a link.
+    navigation: more than two menu marks, one or more to four words; or the line, of at most four words, is the name of a link.
     boilerplate: at most 30 words with a phrase that sites print on every page.
     """
     words = F.regexp_count(line, F.lit(WORD))
@@ -66,7 +65,7 @@ def fails(line: Column) -> dict[str, Column]:
     return {
         "punctuation": ((words >= PUNCTUATED) & bare) | crowded(shouts, words),
         "symbols": crowded(count_of(line, SYMBOLS), words),
-        "navigation": crowded(count_of(line, SEPARATORS), words) | F.rlike(plain, F.lit(f"^[{SPACES}]*(?:{'|'.join(LINKS)})[{SPACES}.:>]*$")),
+        "navigation": crowded(count_of(line, SEPARATORS), words) | (words <= LINK_WORDS) & F.rlike(plain, F.lit(f"^[{SPACES}]*(?:{'|'.join(LINKS)})[{SPACES}.:>]*$")),
         "boilerplate": (words <= SHORT) & F.rlike(plain, F.lit("|".join(p.replace("(", "[(]").replace(")", "[)]") for p in PHRASES))),
     }
 
@@ -172,7 +171,7 @@ m AS (SELECT r, k, line, len(regexp_extract_all(line, '{WORD}')) AS n, translate
 j AS (SELECT r, k, line, c, (n >= {PUNCTUATED} AND NOT regexp_matches(line, '{_END}') AND {sql_marks("line", ENDS)} * {SENTENCE} < n)
     OR (len(regexp_extract_all(line, '!!')) > {FEW} AND len(regexp_extract_all(line, '!!')) * {SPARSE} >= n)
     OR ({sql_marks("line", SYMBOLS)} > {FEW} AND {sql_marks("line", SYMBOLS)} * {SPARSE} >= n)
-    OR ({sql_marks("line", SEPARATORS)} > {FEW} AND {sql_marks("line", SEPARATORS)} * {SPARSE} >= n) OR regexp_matches(plain, '{_LINK}')
+    OR ({sql_marks("line", SEPARATORS)} > {FEW} AND {sql_marks("line", SEPARATORS)} * {SPARSE} >= n) OR (n <= {LINK_WORDS} AND regexp_matches(plain, '{_LINK}'))
     OR (n <= {SHORT} AND regexp_matches(plain, '{_PHRASE}')) AS bad FROM m WHERE n > 0),
 a AS (SELECT r, count(*) - count(DISTINCT line) AS dups FROM j GROUP BY r),
 o AS (SELECT r, sum(c) AS c, count(*) AS n FROM (SELECT DISTINCT r, line, c FROM j WHERE NOT bad) GROUP BY r),

@@ -30,7 +30,7 @@ def bad_line(line):
     marks = lambda group: sum(line.count(c) for c in group)
     crowded = lambda k: k > 2 and 4 * k >= n
     bare = n >= 4 and not re.search(r"[.!?…。！？:;][\x20\x09-\x0D\"'”’»)\]]*$", line) and 40 * marks(".!?…。！？") < n
-    link = low.strip(" \t\n\v\f\r").rstrip(" \t\n\v\f\r.:>") in cleaning.LINKS
+    link = n <= 4 and low.strip(" \t\n\v\f\r").rstrip(" \t\n\v\f\r.:>") in cleaning.LINKS
     return bare or crowded(line.count("!!")) or crowded(marks("#*$%&|<>")) or crowded(marks("|»›·•→")) or link or (n <= 30 and any(p in low for p in cleaning.PHRASES))
 
 
