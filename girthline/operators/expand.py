@@ -11,14 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import disjoint
-from ..sources.scratch import written
+from .cycles import Cycles
 
 #: Provenance flags.
 SEED_CYCLE, ETSL_LEAFLESS_SEED, ETSL_DOT1, ETSL_SINGLETON = 1, 2, 4, 8
 
-#: Rows of a task that closes cycles.
-MEETINGS = 100_000
-
 no_ids = lambda: F.array().cast("array<int>")
 candidate = "array_sort(vs) AS vs", "array_sort(checks) AS checks"
 
@@ -28,68 +25,11 @@ def within(checks: Column, group: Column) -> Column:
     return F.size(F.filter(checks, lambda c: F.array_contains(group, c)))
 
 
-def pairs(neighbours: DataFrame) -> DataFrame:
-    """Cycles of two variables. Pairs are counted by id alone, with a map-side part; only those with two checks in
-    common meet their check lists again, so the wide join of checks stays narrow.
-
-    A start s and a variable v with edge multiplicities p and q at each common check make, over ordered choices of two
-    checks, the sum of p q times the sum of q, less the sum of p q q: for simple edges n (n - 1).
-    """
-    m = neighbours.select("v", F.explode("cs").alias("c")).groupBy("c", "v").agg(F.count("*").alias("m"))
-    s, v = m.select("c", F.col("v").alias("s"), F.col("m").alias("p")), m.select("c", "v", F.col("m").alias("q"))
-    both = s.join(v, "c").where("s < v").groupBy("s", "v").agg(F.sum(F.col("p") * F.col("q")).alias("x"), F.sum("q").alias("y"), F.sum(F.col("p") * F.col("q") * F.col("q")).alias("z"), F.count("*").alias("n"))
-    both = both.where("n >= 2").select("s", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.col("x") * F.col("y") - F.col("z"))).alias("k"))
-    x = both.join(neighbours.select(F.col("v").alias("s"), F.col("cs").alias("scs")), "s").join(neighbours.select("v", "cs"), "v")
-    return x.select(F.array("s", "v").alias("vs"), F.concat("scs", "cs").alias("checks")).selectExpr(*candidate).withColumn("flags", F.lit(SEED_CYCLE))
-
-
-def meetings(neighbours: DataFrame) -> DataFrame:
-    """x, y, c, p: each two different variables and a check that they share, with x's edges to it."""
-    m = neighbours.select("v", F.explode("cs").alias("c")).groupBy("c", "v").agg(F.count("*").alias("m"))
-    return m.select("c", F.col("v").alias("x"), F.col("m").alias("p")).join(m.select("c", F.col("v").alias("y")), "c").where("x <> y").select("x", "y", "c", "p")
-
-
-def cycles(adjacency: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
+def cycles(found: Cycles, k: int) -> DataFrame:
     """Simple cycles of k variables and k different checks, a row for each choice of checks (for k = 2, for each order)
-    and of parallel edges.
-
-    The start is the smallest id; of the two directions (k of 3 and more) the one whose second variable is smaller.
-    A path takes all variables but the last, by ids alone; the last is in both ends' lists of neighbours, so only rows
-    that close are made, and check lists are fetched for these at the end.
-    """
-    if k == 2:
-        return pairs(neighbours)
-    meet = written(meetings(neighbours), "meetings")
-    # The table is narrow and its files few, while each of its rows makes many: deal it out again by rows.
-    tasks = max(meet.sparkSession.sparkContext.defaultParallelism, meet.count() // MEETINGS)
-    shared = meet.groupBy("x", "y").agg(F.count("*").alias("n"))
-    near = written(shared.groupBy("x").agg(F.collect_list("y").alias("near"), F.collect_list(F.when(F.col("n") > 1, F.col("y"))).alias("twice")), "near")
-    at = written(meet.groupBy("c").agg(F.collect_set("x").alias("at")), "at")
-    x = meet.where("x < y").select(F.col("x").alias("s"), F.col("y").alias("end"), F.array("y").alias("vs"), F.array("c").alias("pc"), F.col("p").alias("w")).repartition(tasks, "s")
-
-    def hop(x: DataFrame, start: str, to: Column) -> DataFrame:
-        """One more check from `start` to the variables that `to` names."""
-        y = x.join(meet.withColumnRenamed("x", start), start).where(to & ~F.array_contains("pc", F.col("c")))
-        return y.withColumn("w", F.col("w") * F.col("p")).withColumn("pc", F.array_append("pc", F.col("c"))).drop("c", "p")
-
-    for _ in range(k - 3):
-        x = hop(x, "end", (F.col("y") > F.col("s")) & ~F.array_contains("vs", F.col("y")))
-        x = x.select("s", F.col("y").alias("end"), F.array_append("vs", F.col("y")).alias("vs"), "pc", "w")
-    side = lambda name: near.select(F.col("x").alias(name), F.col("near").alias(f"near_{name}"), F.col("twice").alias(f"twice_{name}"))
-    ends = lambda name: at.select(F.col("c").alias(f"c_{name}"), F.col("at").alias(f"at_{name}"))
-    x = x.withColumn("c_s", F.get("pc", F.lit(0))).withColumn("c_end", F.get("pc", F.lit(k - 3)))
-    x = x.join(side("s"), "s").join(side("end"), "end").join(ends("s"), "c_s").join(ends("end"), "c_end")
-    # The last variable leaves both ends by other checks than the path does: one on the path's check must share a second.
-    other = lambda name, v: ~F.array_contains(f"at_{name}", v) | F.array_contains(f"twice_{name}", v)
-    beyond = lambda v: (v > F.get("vs", F.lit(0))) & ~F.array_contains("vs", v) & other("s", v) & other("end", v)
-    closing = F.filter(F.array_intersect("near_s", "near_end"), beyond)
-    x = x.select("s", "end", "vs", "pc", "w", F.explode(closing).alias("last"))
-    x = hop(x, "end", F.col("y") == F.col("last")).drop("y")
-    x = hop(x, "last", F.col("y") == F.col("s"))
-    x = x.select(F.concat(F.array("s"), "vs", F.array("last")).alias("vs"), F.explode(F.sequence(F.lit(1).cast("long"), "w")).alias("k"))
-    for i in range(k):
-        x = x.withColumn("v", F.get("vs", F.lit(i))).join(neighbours.select("v", F.col("cs").alias(f"cs{i}")), "v")
-    return x.select("vs", F.concat(*(f"cs{i}" for i in range(k))).alias("checks")).selectExpr(*candidate).withColumn("flags", F.lit(SEED_CYCLE))
+    and of parallel edges."""
+    x = found.sets(k).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return x.select("vs", "checks", F.lit(SEED_CYCLE).alias("flags"))
 
 
 def touching(parents: DataFrame, adjacency: DataFrame) -> DataFrame:

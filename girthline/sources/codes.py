@@ -285,7 +285,7 @@ def weights(code: Css) -> tuple[int, int]:
 
 def girth(graph: Tanner) -> int:
     """Length of the shortest cycle, -1 without any. Leaves are pruned first, so a forest ends early."""
-    from ..operators.expand import cycles
+    from ..operators.cycles import Cycles
     from .scratch import written
 
     edges = written(graph.edges.select("c", "v").distinct(), "girth")
@@ -298,8 +298,7 @@ def girth(graph: Tanner) -> int:
         if left.count() == edges.count():
             break
         edges = left
-    core = Tanner(left.select("c", "v"), graph.checks, graph.variables)
-    k = 2
-    while cycles(core.adjacency(), core.neighbours(), k).isEmpty():
+    found, k = Cycles(Tanner(left.select("c", "v"), graph.checks, graph.variables).neighbours()), 2
+    while not found.any(k):
         k += 1
     return 2 * k

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from girthline.operators import accept, expand
+from girthline.operators.cycles import Cycles
 from girthline.plans.bounds import Search, bounds_by_size
 from girthline.plans.enumerate import enumerate_sets
 from girthline.sources import codes
@@ -125,7 +126,7 @@ def test_pairs_with_repeated_edges(spark):
             raw = sum(c2 != c1 and (c2, s) in edges for c1, a in edges if a == s for c, b in edges if c == c1 and b == v for c2, d in edges if d == v)
             if raw:
                 want[s, v] = raw
-    got = {tuple(r["vs"]): r["raw"] for r in accept.merged(expand.cycles(g.adjacency(), g.neighbours(), 2)).collect()}
+    got = {tuple(r["vs"]): r["raw"] for r in accept.merged(expand.cycles(Cycles(g.neighbours()), 2)).collect()}
     assert got == want
 
 
@@ -146,5 +147,5 @@ def test_validation(bad):
 
 def test_empty_cycles(spark):
     g = graph(spark, [(0, 0), (1, 1)])
-    assert expand.cycles(g.adjacency(), g.neighbours(), 2).isEmpty()
+    assert expand.cycles(Cycles(g.neighbours()), 2).isEmpty()
     assert classes(enumerate_sets(g, 4, 2, [2, 2, 2])) == {}
