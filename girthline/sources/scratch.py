@@ -48,6 +48,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end: Spark's writers leave a marker."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that written() made, once nothing reads it any more."""
     path = getattr(df, "girthline_path", None)

@@ -53,6 +53,7 @@ def test_without_oracle(spark, name):
 
 def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT / "girthline", tmp_path / "girthline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'class_counts_a2' in q and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True, timeout=60)
