@@ -20,6 +20,17 @@ def disjoint(a: Column, b: Column) -> Column:
     return ~F.arrays_overlap(a, b)
 
 
+def signature(ids: Column) -> Column:
+    """64 bits of a set of ids: one of them for each id. Sets whose signatures have no bit in common are disjoint."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)))
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(bit(x)))
+
+
+def apart(a: Column, sig_a: Column, b: Column, sig_b: Column) -> Column:
+    """disjoint(a, b), which looks into the lists only where their signatures meet."""
+    return (sig_a.bitwiseAND(sig_b) == 0) | disjoint(a, b)
+
+
 def validated_support(ids: Column, amax: int = 32) -> Column:
     s = sorted_set(ids)
     return F.when(F.size(s) > amax, F.raise_error(F.lit(f"support exceeds {amax} variables"))).otherwise(s)

@@ -39,7 +39,7 @@ def ranked(neighbours: DataFrame) -> DataFrame:
         checks = e.groupBy("c").agg(F.count("*").alias("dc")).where("dc > 1")
         variables = e.groupBy("v").agg(F.count("*").alias("dv")).where("dv > 1")
         e = e.select("c", "v", "m").join(checks, "c").join(variables, "v")
-    node = lambda degree, side, i: F.shiftleft(F.col(degree), DEGREE).bitwiseOR(F.lit(side << SIDE)).bitwiseOR(F.col(i).cast("long"))
+    node = lambda degree, side, i: F.shiftleft(F.col(degree), DEGREE).bitwiseOR(F.lit(side << SIDE)).bitwiseOR(F.col(i).cast("long").bitwiseAND(F.lit(2**SIDE - 1)))
     e = written(e.select(node("dc", 0, "c").alias("c"), node("dv", 1, "v").alias("v"), "m"), "ranked")
     return e.select(F.col("c").alias("x"), F.col("v").alias("y"), "m").unionByName(e.select(F.col("v").alias("x"), F.col("c").alias("y"), "m"))
 

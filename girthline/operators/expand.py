@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import disjoint
+from ..functions.arrays import apart, disjoint, signature, times
+from ..sources.scratch import written
 from .cycles import Cycles
 
 #: Provenance flags.
@@ -32,15 +33,37 @@ def cycles(found: Cycles, k: int) -> DataFrame:
     return x.select("vs", "checks", F.lit(SEED_CYCLE).alias("flags"))
 
 
-def touching(parents: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Each parent with each allowed variable outside it that touches an odd check and no even one, once.
+def touching(parents: DataFrame, adjacency: DataFrame, least: int) -> DataFrame:
+    """Each parent with each allowed variable outside it that has `least` or more edges to odd checks and none to even
+    ones, once. n: its edges to odd checks.
 
     A variable is met at every odd check that it touches; only the meeting at the smallest counts, so no shuffle is
-    needed to make the rows distinct. n: its edges to odd checks.
+    needed to make the rows distinct. Checks with negative names are those of very many edges (Tanner.marked): a variable
+    that needs two edges is met at another check, or at two of them at once, so none brings all its variables.
     """
-    x = parents.withColumn("c", F.explode("odd")).join(adjacency, "c")
-    x = x.where(~F.array_contains("vs", F.col("v")) & (F.col("c") == F.array_min(F.array_intersect("odd", "cs"))) & disjoint(F.col("even"), F.col("cs")))
-    return x.withColumn("n", within(F.col("cs"), F.col("odd")))
+    x = parents.withColumn("even_sig", signature(F.col("even")))
+    fits = ~F.array_contains("vs", F.col("v")) & apart(F.col("even"), F.col("even_sig"), F.col("cs"), F.col("sig"))
+    met = F.array_intersect("odd", "cs")
+    if least < 2:
+        x = x.withColumn("c", F.explode("odd")).join(adjacency, "c").where(fits & (F.col("c") == F.array_min(met)))
+    else:
+        light, heavy = (lambda ids: F.filter(ids, lambda c: c >= 0)), (lambda ids: F.filter(ids, lambda c: c < 0))
+        one = x.withColumn("c", F.explode(light(F.col("odd")))).join(adjacency.where("c >= 0"), "c").where(fits & (F.col("c") == F.array_min(light(met))))
+        two = in_pairs(adjacency.select("c", "v", "dv", "cs", "sig").where(F.col("c") == F.array_min(heavy(F.col("cs")))), "cs", heavy)
+        own = x.withColumn("c", F.get(heavy(F.col("odd")), F.lit(0))).where("c IS NOT NULL").drop("c")
+        # Twice: a pair of edges may go to one check.
+        own = in_pairs(own.withColumn("twice", F.array_sort(F.concat("odd", "odd"))), "twice", heavy).drop("twice")
+        first = F.slice(F.filter("cs", lambda c: (c < 0) & F.array_contains("odd", c)), 1, 2)
+        two = own.join(two.drop("c"), "pair").where(fits & (F.size(light(met)) == 0) & (F.col("pair") == first)).drop("pair")
+        x = one.drop("c").unionByName(two)
+    return x.withColumn("n", within(F.col("cs"), F.col("odd"))).where(F.col("n") >= least).drop("even_sig")
+
+
+def in_pairs(rows: DataFrame, column: str, kind) -> DataFrame:
+    """Rows with `pair`, each two entries of a sorted list of one kind, equal pairs once."""
+    ids = kind(F.col(column))
+    pairs = F.flatten(F.transform(ids, lambda a, i: F.transform(F.filter(ids, lambda b, j: j > i), lambda b: F.array(a, b))))
+    return rows.withColumn("pair", F.explode(F.array_distinct(pairs)))
 
 
 def grown(x: DataFrame, flags: int) -> DataFrame:
@@ -49,54 +72,98 @@ def grown(x: DataFrame, flags: int) -> DataFrame:
 
 def dot(parents: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Add one variable with two or more edges to odd checks and none to even ones."""
-    return grown(touching(parents, adjacency).where("n >= 2"), 0)
+    return grown(touching(parents, adjacency, 2), 0)
 
 
 def dot1(parents: DataFrame, adjacency: DataFrame, b_target: int) -> DataFrame:
     """Add a leaf: one variable with exactly one edge to an odd check and none to even ones, if the child's b allows."""
-    return grown(touching(parents, adjacency).where((F.col("n") == 1) & (F.col("b") + F.col("dv") - 2 <= b_target)), ETSL_DOT1)
+    return grown(touching(parents, adjacency, 1).where((F.col("n") == 1) & (F.col("b") + F.col("dv") - 2 <= b_target)), ETSL_DOT1)
 
 
 def singletons(neighbours: DataFrame, b_target: int) -> DataFrame:
     return neighbours.where(F.col("dv") <= b_target).select(F.array("v").alias("vs"), F.col("cs").alias("checks"), F.lit(ETSL_SINGLETON).alias("flags"))
 
 
-def stem(parents: DataFrame, adjacency: DataFrame, steps: int) -> DataFrame:
-    """Paths that leave a parent by an odd check and take `steps` new variables, each of which but the first touches no
-    check of the parent, and the first only the check it came by. cur: the check that the path has reached."""
-    x = parents.withColumn("own", F.concat("odd", "even")).withColumn("cur", F.explode("odd")).withColumn("pv", no_ids()).withColumn("pc", F.array("cur")).withColumn("pcs", no_ids())
-    for _ in range(steps):
-        y = x.join(adjacency.select(F.col("c").alias("cur"), "v", "cs"), "cur").where(~F.array_contains("vs", F.col("v")) & ~F.array_contains("pv", F.col("v")))
-        y = y.where(F.size(F.filter(F.array_intersect("cs", "own"), lambda c: c != F.col("cur"))) == 0)
-        onward = F.filter("cs", lambda c: ~F.array_contains("own", c) & ~F.array_contains("pc", c))
-        y = y.withColumn("next", F.explode(onward))
-        x = y.select(*[c for c in x.columns if c not in ("cur", "pv", "pc", "pcs")], F.col("next").alias("cur"), F.array_append("pv", F.col("v")).alias("pv"), F.array_append("pc", F.col("next")).alias("pc"), F.concat("pcs", "cs").alias("pcs"))
+def ways(rows: DataFrame, adjacency: DataFrame, steps: int, first: Column, later: Column, onward) -> DataFrame:
+    """Paths of `steps` new variables from the check `cur` on. pv, pc, pcs: their variables, their checks, and all checks
+    of the variables; w: how often parallel edges make a path. `first` and `later` say which variables may come first
+    and after that, onward(c) to which checks a path may go on."""
+    x = rows.withColumn("pv", no_ids()).withColumn("pc", F.array("cur")).withColumn("pcs", no_ids()).withColumn("w", F.lit(1).cast("long"))
+    for k in range(steps):
+        y = met(x, adjacency).where(later if k else first)
+        y = y.withColumn("next", F.explode(F.filter(F.array_distinct("cs"), lambda c: onward(c) & ~F.array_contains("pc", c))))
+        x = y.select(*rows.drop("cur").columns, F.col("next").alias("cur"), F.array_append("pv", F.col("v")).alias("pv"), F.array_append("pc", F.col("next")).alias("pc"), F.concat("pcs", "cs").alias("pcs"), (F.col("w") * times(F.col("cs"), F.col("next"))).alias("w"))
     return x
 
 
+def met(x: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """Paths with each variable of the check that they have reached, if it is not on them."""
+    y = x.join(adjacency.select(F.col("c").alias("cur"), "v", "cs", "sig"), "cur").where(~F.array_contains("pv", F.col("v")))
+    return y.withColumn("w", F.col("w") * times(F.col("cs"), F.col("cur")))
+
+
+def numbered(parents: DataFrame) -> DataFrame:
+    """Parents with pid, as a written table, so that both halves of a path know their parent by the same number."""
+    return written(parents.withColumn("pid", F.monotonically_increasing_id()), "parents")
+
+
+def stems(parents: DataFrame, adjacency: DataFrame, steps: int) -> DataFrame:
+    """Paths that leave a numbered parent by an odd check, of variables outside it: the first touches no other check of
+    the parent, the others none; checks on the way are no checks of the parent. Rows carry the parent's number and checks."""
+    x = parents.select("pid", "vs", F.concat("odd", "even").alias("own"), F.explode("odd").alias("cur"))
+    x = x.withColumn("own_sig", signature(F.col("own")))
+    first = ~F.array_contains("vs", F.col("v")) & (F.size(F.array_remove(F.array_intersect("cs", "own"), F.col("cur"))) == 0)
+    return ways(x, adjacency, steps, first, off(), lambda c: ~F.array_contains("own", c))
+
+
+def off() -> Column:
+    """Whether a variable touches no check of the parent."""
+    return apart(F.col("own"), F.col("own_sig"), F.col("cs"), F.col("sig"))
+
+
+def children(found: DataFrame, parents: DataFrame, variables: Column, checks: Column, copies: Column) -> DataFrame:
+    """Candidates from rows that know their parent by its number: it gets the variables and checks, so many times."""
+    x = found.select("pid", variables.alias("new"), checks.alias("new_checks"), F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
+    x = x.join(parents.select("pid", "vs", "checks"), "pid")
+    return x.select(F.concat("vs", "new").alias("vs"), F.concat("checks", "new_checks").alias("checks")).selectExpr(*candidate).withColumn("flags", F.lit(0))
+
+
 def path(parents: DataFrame, adjacency: DataFrame, m: int) -> DataFrame:
-    """Join two odd checks of a parent by a path of m new variables; each path is made in both directions."""
-    x = stem(parents, adjacency, m - 1).join(adjacency.select(F.col("c").alias("cur"), "v", "cs"), "cur")
-    x = x.where(~F.array_contains("vs", F.col("v")) & ~F.array_contains("pv", F.col("v")))
-    ends = F.filter("cs", lambda c: F.array_contains("odd", c) & ~F.array_contains("pc", c))
-    x = x.withColumn("end", F.explode(ends))
-    x = x.where(F.size(F.filter(F.array_intersect("cs", "own"), lambda c: (c != F.col("end")) & (c != F.col("cur")))) == 0)
-    return x.select(F.concat("vs", "pv", F.array("v")).alias("vs"), F.concat("checks", "pcs", "cs").alias("checks")).selectExpr(*candidate).withColumn("flags", F.lit(0))
+    """Join two odd checks of a parent by a path of m new variables; each path is made in both directions.
+
+    Two stems of equal length from different odd checks meet at the middle, a check for even m and a variable for odd m,
+    so paths grow to half their length only."""
+    parents = numbered(parents)
+    x = stems(parents, adjacency, m // 2).withColumn("c0", F.get("pc", F.lit(0))).withColumn("mid", F.col("cur"))
+    if m % 2:
+        x = met(x.drop("mid"), adjacency).where(off()).withColumnRenamed("v", "mid").drop("sig")
+    mine, other = ("pv", "pc", "pcs", "w", "c0", "cur"), lambda c: F.col(f"o_{c}")
+    y = x.select("pid", "mid", *(F.col(c).alias(f"o_{c}") for c in mine))
+    # For even m the last check of both is the middle, for odd m they come to it by different ones.
+    between = lambda pc: pc if m % 2 else F.slice(pc, F.lit(1), F.size(pc) - 1)
+    z = x.join(y, ["pid", "mid"]).where((F.col("c0") < other("c0")) & disjoint(F.col("pv"), other("pv")) & disjoint(between(F.col("pc")), between(other("pc"))))
+    middle = (F.array("mid"), F.col("cs")) if m % 2 else (no_ids(), no_ids())
+    return children(z, parents, F.concat("pv", other("pv"), middle[0]), F.concat("pcs", other("pcs"), middle[1]), 2 * F.col("w") * other("w"))
 
 
 def lollipop(parents: DataFrame, cycle_sets: DataFrame, adjacency: DataFrame, m: int, size: int) -> DataFrame:
-    """Attach an accepted cycle of `size` variables to an odd check, directly or by a stem of m - size new variables."""
-    rings = cycle_sets.select(F.col("vs").alias("ring"), F.col("checks").alias("rcs"), F.array_distinct("checks").alias("rset"))
+    """Attach an accepted cycle of `size` variables to an odd check, directly or by a stem of m - size new variables.
+
+    A stem grows from both ends, from the parent's odd checks and from the cycle's checks, to the check in its middle."""
+    rings = cycle_sets.select(F.col("vs").alias("ring"), F.col("checks").alias("rcs"), F.array_distinct("checks").alias("rset")).withColumn("rset_sig", signature(F.col("rset")))
     if m == size:
         at = rings.withColumn("c", F.explode("rset"))
         x = parents.withColumn("own", F.concat("odd", "even")).withColumn("c", F.explode("odd")).join(at, "c")
         # The one check in common is the odd one that the join met.
         x = x.where((F.size(F.array_intersect("own", "rset")) == 1) & disjoint(F.col("vs"), F.col("ring")))
         x = x.select(F.concat("vs", "ring").alias("vs"), F.concat("checks", "rcs").alias("checks"))
-    else:
-        at = rings.withColumn("cur", F.explode("rset"))
-        x = stem(parents, adjacency, m - size).join(at, "cur")
-        before = F.slice("pc", F.lit(1), F.size("pc") - 1)
-        x = x.where(disjoint(F.col("own"), F.col("rset")) & disjoint(F.col("vs"), F.col("ring")) & disjoint(F.col("pv"), F.col("ring")) & disjoint(before, F.col("rset")))
-        x = x.select(F.concat("vs", "pv", "ring").alias("vs"), F.concat("checks", "pcs", "rcs").alias("checks"))
-    return x.selectExpr(*candidate).withColumn("flags", F.lit(0))
+        return x.selectExpr(*candidate).withColumn("flags", F.lit(0))
+    parents, far = numbered(parents), (m - size) // 2
+    outside = ~F.array_contains("ring", F.col("v"))
+    at = ways(rings.withColumn("cur", F.explode("rset")), adjacency, far, outside, outside, lambda c: ~F.array_contains("rset", c))
+    at = at.select("cur", "ring", "rcs", "rset", "rset_sig", *(F.col(c).alias(f"o_{c}") for c in ("pv", "pc", "pcs", "w")))
+    x = stems(parents, adjacency, m - size - far).join(at, "cur")
+    before = F.slice("pc", F.lit(1), F.size("pc") - 1)
+    x = x.where(apart(F.col("own"), F.col("own_sig"), F.col("rset"), F.col("rset_sig")) & disjoint(F.col("pv"), F.col("ring")) & disjoint(before, F.col("rset")))
+    x = x.where(disjoint(F.col("vs"), F.col("ring")) & disjoint(F.col("pv"), F.col("o_pv")) & disjoint(before, F.col("o_pc")) & disjoint(F.col("own"), F.col("o_pcs")))
+    return children(x, parents, F.concat("pv", "o_pv", "ring"), F.concat("pcs", "o_pcs", "rcs"), F.col("w") * F.col("o_w"))

@@ -27,7 +27,9 @@ SQL: dict[str, str] = {}
 #: Bounds on b by size in the queries over G.
 BOUNDS = [0, 0, 5, 3]
 
+#: G and its part on the smallest parts, which a join with `part` cuts out, for operators of more steps.
 E = "e AS (SELECT DISTINCT l_partkey::BIGINT AS c, l_orderkey::BIGINT AS v FROM lineitem)"
+E_SMALL = "e AS (SELECT DISTINCT l_partkey::BIGINT AS c, l_orderkey::BIGINT AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 5)"
 DEG = "d AS (SELECT v, count(*) AS dv FROM e GROUP BY v)"
 PAIRS = "p AS (SELECT a.v AS v1, b.v AS v2, count(*) AS n FROM e a JOIN e b ON a.c = b.c AND a.v < b.v GROUP BY 1, 2 HAVING count(*) >= 2)"
 SETS2 = f"{DEG}, {PAIRS}, s AS (SELECT v1, v2, n, x.dv + y.dv - 2 * n AS b FROM p JOIN d x ON x.v = v1 JOIN d y ON y.v = v2)"
@@ -54,6 +56,12 @@ def big_graph(spark: SparkSession, sf: str) -> Tanner:
     return graphs.from_edges(rows, 1, 1)
 
 
+def small_parts_graph(spark: SparkSession, sf: str) -> Tanner:
+    part = spark.read.parquet(f"{sf}/part.parquet").where("p_size <= 5").select(F.col("p_partkey").alias("l_partkey"))
+    rows = lineitem(spark, sf).join(part, "l_partkey").select(F.col("l_partkey").cast("int").alias("c"), F.col("l_orderkey").cast("int").alias("v")).distinct()
+    return graphs.from_edges(rows, 1, 1)
+
+
 def whole_graph(spark: SparkSession, sf: str) -> Tanner:
     """G with its dimensions."""
     return graphs.from_edges(big_graph(spark, sf).edges)
@@ -63,12 +71,12 @@ def whole_graph(spark: SparkSession, sf: str) -> Tanner:
 OVER_GRAPH: dict[str, Callable[[SparkSession, Tanner], DataFrame]] = {}
 
 
-def over_graph(name: str, sql: str | None = None):
-    """A query over G."""
+def over_graph(name: str, sql: str | None = None, graph: Callable[[SparkSession, str], Tanner] | None = None):
+    """A query over G, or over another graph of the tables."""
 
     def add(f: Callable[[SparkSession, Tanner], DataFrame]) -> Callable[[SparkSession, Tanner], DataFrame]:
         OVER_GRAPH[name] = f
-        query(name, sql)(lambda spark, sf: f(spark, whole_graph(spark, sf)))
+        query(name, sql)(lambda spark, sf: f(spark, (graph or whole_graph)(spark, sf)))
         return f
 
     return add
@@ -228,6 +236,37 @@ def path2_children(spark, g):
     return listed(accept.merged(expand.path(parents2(g).where("b >= 2"), written(g.adjacency(), "adjacency"), 2)).select("vs", "raw"))
 
 
+@over_graph(
+    "cycles4",
+    f"""WITH {E_SMALL}, s AS (SELECT a.v AS x, a.c, b.v AS y FROM e a JOIN e b ON a.c = b.c AND a.v <> b.v),
+    t AS (SELECT a.x AS v1, a.y AS v2, b.y AS v3, c.y AS v4 FROM s a JOIN s b ON b.x = a.y AND b.c <> a.c AND b.y > a.x JOIN s c ON c.x = b.y AND c.y > a.y JOIN s d ON d.x = c.y AND d.y = a.x
+      WHERE a.y > a.x AND b.y <> c.y AND b.y <> a.y AND len(list_distinct([a.c, b.c, c.c, d.c])) = 4)
+    SELECT array_to_string(list_sort([v1, v2, v3, v4]), ',') AS vs, count(*) AS raw FROM t GROUP BY 1""",
+    small_parts_graph,
+)
+def cycles4(spark, g):
+    return listed(accept.merged(expand.cycles(Cycles(g.neighbours()), 4)).select("vs", "raw"))
+
+
+#: Paths of the parents' odd checks: x1 by c0 to c1, and what touches no check of the parent.
+STEMS = """f AS (SELECT k.v1, k.v2, k.c AS c0, e.v AS x1 FROM k JOIN e ON e.c = k.c WHERE t = 1 AND e.v NOT IN (v1, v2)
+      AND NOT EXISTS (SELECT 1 FROM k q JOIN e z ON z.c = q.c WHERE q.v1 = k.v1 AND q.v2 = k.v2 AND z.v = e.v AND q.c <> k.c)),
+    near AS (SELECT DISTINCT k.v1, k.v2, e.v FROM k JOIN e ON e.c = k.c),
+    g AS (SELECT f.*, e.c AS c1 FROM f JOIN e ON e.v = f.x1 WHERE NOT EXISTS (SELECT 1 FROM k q WHERE q.v1 = f.v1 AND q.v2 = f.v2 AND q.c = e.c))"""
+
+
+@over_graph(
+    "path3_children",
+    f"""WITH {E_SMALL}, {PARENTS}, {STEMS},
+    y AS (SELECT g.*, e.v AS x2 FROM g JOIN e ON e.c = g.c1 WHERE e.v <> x1 AND NOT EXISTS (SELECT 1 FROM near q WHERE q.v1 = g.v1 AND q.v2 = g.v2 AND q.v = e.v)),
+    h AS (SELECT list_sort([a.v1, a.v2, a.x1, a.x2, b.x1]) AS l FROM y a JOIN y b ON a.v1 = b.v1 AND a.v2 = b.v2 AND a.x2 = b.x2 AND a.c0 <> b.c0 AND a.c1 <> b.c1 AND a.x1 <> b.x1)
+    SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l""",
+    small_parts_graph,
+)
+def path3_children(spark, g):
+    return listed(accept.merged(expand.path(parents2(g).where("b >= 2"), written(g.adjacency(), "adjacency"), 3)).select("vs", "raw"))
+
+
 RINGS = "r AS (SELECT v1 AS r1, v2 AS r2, e.c FROM s JOIN e ON e.v IN (v1, v2) WHERE b <= 5 GROUP BY ALL)"
 
 
@@ -259,6 +298,22 @@ def lollipop_d2(spark, g):
     return listed(accept.merged(expand.lollipop(parents2(g), rings, written(g.adjacency(), "adjacency"), 3, 2)).select("vs", "raw"))
 
 
+@over_graph(
+    "lollipop_d3",
+    f"""WITH {E_SMALL}, {PARENTS}, {RINGS}, {STEMS},
+    z AS (SELECT g.v1, g.v2, x1, c1, e.v AS x2, r.r1, r.r2 FROM g JOIN e ON e.c = g.c1 AND e.v <> x1 JOIN e w ON w.v = e.v AND w.c <> c1 JOIN r ON r.c = w.c
+      WHERE NOT EXISTS (SELECT 1 FROM near q WHERE q.v1 = g.v1 AND q.v2 = g.v2 AND q.v = e.v) AND x1 NOT IN (r1, r2) AND e.v NOT IN (r1, r2) AND r1 NOT IN (v1, v2) AND r2 NOT IN (v1, v2)),
+    joined AS (SELECT DISTINCT k.v1, k.v2, r.r1, r.r2 FROM k JOIN r ON r.c = k.c),
+    h AS (SELECT list_sort([v1, v2, x1, x2, r1, r2]) AS l FROM z WHERE NOT EXISTS (SELECT 1 FROM joined q WHERE q.v1 = z.v1 AND q.v2 = z.v2 AND q.r1 = z.r1 AND q.r2 = z.r2)
+      AND NOT EXISTS (SELECT 1 FROM r q WHERE q.r1 = z.r1 AND q.r2 = z.r2 AND q.c = z.c1))
+    SELECT array_to_string(l, ',') AS vs, count(*) AS raw FROM h GROUP BY l""",
+    small_parts_graph,
+)
+def lollipop_d3(spark, g):
+    rings = written(accept.judged(pair_sets(g), BOUNDS[2]).where("reject_reason IS NULL"), "rings")
+    return listed(accept.merged(expand.lollipop(parents2(g), rings, written(g.adjacency(), "adjacency"), 4, 2)).select("vs", "raw"))
+
+
 @over_graph("singleton_seeds", f"WITH {E}, {DEG} SELECT v::VARCHAR AS vs, dv AS b FROM d WHERE dv <= 3")
 def singleton_seeds(spark, g):
     return listed(accept.measured(expand.singletons(g.neighbours(), 3)).select("vs", "b"))

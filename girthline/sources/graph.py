@@ -9,6 +9,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import signature
+
+
+#: Edges of a check from which on a search keeps it apart.
+HEAVY = 10_000
+
+
+def around(neighbours: DataFrame) -> DataFrame:
+    """c, v, dv, cs, sig from neighbours."""
+    return neighbours.select(F.explode(F.array_distinct("cs")).alias("c"), "v", "dv", "cs", "sig")
+
 
 @dataclass(frozen=True)
 class Tanner:
@@ -19,14 +30,20 @@ class Tanner:
     variables: int
 
     def neighbours(self, allowed_degrees: Sequence[int] = ()) -> DataFrame:
-        """v, dv, cs (sorted, with multiplicity) of the variables that an expansion may add."""
-        found = self.edges.groupBy("v").agg(F.count("*").cast("int").alias("dv"), F.array_sort(F.collect_list("c")).alias("cs"))
+        """v, dv, cs (sorted, with multiplicity) and sig (the signature of cs) of the variables that an expansion may add."""
+        found = self.edges.groupBy("v").agg(F.count("*").cast("int").alias("dv"), F.array_sort(F.collect_list("c")).alias("cs")).withColumn("sig", signature(F.col("cs")))
         return found.where(F.col("dv").isin(*allowed_degrees) & (F.col("dv") <= 255)) if allowed_degrees else found
 
     def adjacency(self, allowed_degrees: Sequence[int] = ()) -> DataFrame:
-        """c, v, dv, cs: for each check its distinct allowed variables with all their checks."""
-        x = self.neighbours(allowed_degrees)
-        return x.select(F.explode(F.array_distinct("cs")).alias("c"), "v", "dv", "cs")
+        """c, v, dv, cs, sig: for each check its distinct allowed variables with all their checks."""
+        return around(self.neighbours(allowed_degrees))
+
+    def marked(self, heavy: int = HEAVY) -> Tanner:
+        """The same graph with a check c that more than `heavy` edges meet named -1 - c. The expansions take a negative
+        name for such a check, which they meet only together with another one."""
+        hot = check_degrees(self.edges).where(F.col("dc") > heavy).select("c", F.lit(True).alias("hot"))
+        edges = self.edges.join(hot, "c", "left").select(F.when(F.col("hot"), -1 - F.col("c")).otherwise(F.col("c")).cast("int").alias("c"), "v")
+        return Tanner(edges, self.checks, self.variables)
 
     def repeated_edges(self) -> DataFrame:
         return self.edges.groupBy("c", "v").count().where("count > 1")
