@@ -19,6 +19,7 @@ from .sources import alist, circuit, codes, dem, supports
 from .sources import graph as graphs
 from .sources.graph import Tanner
 from .sources.scratch import fresh_path, written
+from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,6 +590,20 @@ def dem_priors(spark, sf):
     return longs(dem.matrices(dem.merged(event_errors(spark, sf)))[2])
 
 
+@query(
+    "layer_windows",
+    """WITH x AS (SELECT date_trunc('hour', ts) AS h, ts, user_id::BIGINT AS det FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+    w AS (SELECT h - to_hours(k) AS start, det FROM x, (VALUES (0), (1)) AS t(k)),
+    f AS (SELECT start, det, count(*) AS n FROM w GROUP BY ALL)
+    SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, sum(n)::BIGINT AS events, coalesce(array_to_string(list_sort(list(det) FILTER (n % 2 = 1)), ','), '') AS dets
+    FROM f WHERE start + to_hours(2) <= (SELECT date_trunc('millisecond', max(ts)) - to_hours(2) FROM x) GROUP BY start""",
+)
+def layer_windows(spark, sf):
+    """Users as detectors, hours as layers; windows that the stream has closed: those two hours before the last event."""
+    x = windows.windows_of(spark, f"{sf}/events.parquet", "ts", "user_id")
+    return longs(x.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", as_text(F.col("dets")).alias("dets")))
+
+
 @query("int2bin", "SELECT o_orderkey::BIGINT AS k, ((o_orderkey >> 5) & 1) || '' || ((o_orderkey >> 4) & 1) || ((o_orderkey >> 3) & 1) || ((o_orderkey >> 2) & 1) || ((o_orderkey >> 1) & 1) || (o_orderkey & 1) AS bits FROM orders")
 def int2bin_orders(spark, sf):
     return longs(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.array_join(F.transform(int2bin(F.col("o_orderkey"), 6), lambda b: b.cast("string")), "").alias("bits")))
