@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, written
 from .tokens import mix, ngrams, word_hashes
-from .totals import MESSAGE, Exchange, bundle, text_size, unbundle
+from .totals import MESSAGE, Exchange, bundle, pack, text_size, unbundle, unpack
 
 #: Shingle length in words; similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -37,6 +37,8 @@ ORDERS, ANCHORS, ROUNDS = 3, 2, 2
 LIGHT, BLOCK = 32, 512
 #: Bits of a shingle's hash by which its frequency is counted.
 KEY_BITS = 44
+#: Rows of a batch that are Python objects at a time.
+SLICE = 256
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -62,7 +64,7 @@ def least_shared(n: np.ndarray | int, percent: int = PERCENT):
 
 def gather(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, sig1, sig2, tokens, dfs for each row: set size, a 128-bit signature of the set, and (unless too few
-    for any partner) the tokens that other rows hold, with the number of rows that hold them, as arrays in binary.
+    for any partner) the tokens that other rows hold as an array in binary, with the number of rows that hold them, packed.
 
     Shingles are counted by KEY_BITS bits of their hashes. Two that share these bits are both counted too high, which
     changes their place in the orders alike for all sets and keeps tokens that could go, so no link depends on it.
@@ -91,12 +93,12 @@ def gather(docs: DataFrame, words: int, percent: int) -> DataFrame:
         sums[0] ^= size.astype(np.uint64)
         df = totals[which]
         shared = df > 1
-        token, df = flat[shared], df[shared].astype("<u8")
+        token, df = flat[shared], df[shared]
         edge = np.searchsorted(doc[shared], np.arange(len(size) + 1))
         tokens, dfs = [None] * len(size), [None] * len(size)
         for i in np.flatnonzero((np.diff(edge) >= least_shared(size, percent)) & (size > 0)).tolist():
             own = slice(edge[i], edge[i + 1])
-            tokens[i], dfs[i] = token[own].tobytes(), df[own].tobytes()
+            tokens[i], dfs[i] = token[own].tobytes(), pack(df[own])
         return pa.table({"doc_id": table.column("doc_id"), "n": pa.array(size), "sig1": pa.array(sums[0].view(np.int64)), "sig2": pa.array(sums[1].view(np.int64)), "tokens": pa.array(tokens, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
 
     answers = way.totals(rows.groupBy("unit").applyInArrow(send, MESSAGE))
@@ -138,11 +140,18 @@ def of_order(data: bytes, k: int, orders: int) -> np.ndarray:
     return x[orders + (ends[k - 1] if k else 0) : orders + ends[k]]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: sets are long, and a batch may hold thousands of them."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def postings(active: DataFrame, k: int, orders: int) -> DataFrame:
     """token, node, n for the prefix tokens of each set under order k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             node, n = b.column("node").to_numpy(), b.column("n").to_numpy()
             found = [of_order(p, k, orders) for p in b.column("prefixes").to_pylist()]
             size = [len(x) for x in found]
@@ -159,13 +168,13 @@ def verified(pairs: DataFrame, active: DataFrame, percent: int, orders: int) ->
     """
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             both = zip(batch.column("prefixes_a").to_pylist(), batch.column("prefixes_b").to_pylist())
             keep = pa.array([all(len(np.intersect1d(of_order(a, k, orders), of_order(b, k, orders), True)) for k in range(orders)) for a, b in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = np.zeros(batch.num_rows, bool)
             cols = [batch.column(c).to_pylist() for c in ("n_a", "tokens_a", "n_b", "tokens_b")]
             for i, (na, a, nb, b) in enumerate(zip(*cols)):
@@ -327,14 +336,15 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Drop the tokens that only copies hold; drop sets that then can't have a partner."""
-        for b in batches:
+        for b in sliced(batches):
             keep, tokens, firsts = [], [], []
             for t, d, n, c in zip(*(b.column(x).to_pylist() for x in ("tokens", "dfs", "n", "copies"))):
-                d = np.frombuffer(d, "<u8")
+                t = np.frombuffer(t, np.uint64)
+                d = unpack(d, len(t))
                 more = d > c
                 keep.append(bool(more.sum() >= least_shared(n, percent)))
                 if keep[-1]:
-                    tokens.append(shrink(np.frombuffer(t, np.uint64)[more], d[more]))
+                    tokens.append(shrink(t[more], d[more]))
                     firsts.append(prefixes(tokens[-1], n, percent, ORDERS))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("node").filter(keep), b.column("n").filter(keep), pa.array(tokens, pa.binary()), pa.array(firsts, pa.binary())], names=["node", "n", "tokens", "prefixes"])
