@@ -43,6 +43,22 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, path: str, column: str) -> DataFrame:
+    """`df` as a table of buckets of `column` at a path, written unless it is there to its end, so that joins on the
+    column need not shuffle it again. The session knows it by a name of its own."""
+    spark, name = df.sparkSession, f"girthline_{uuid.uuid4().hex}"
+    if finished(spark, path):
+        # Written under another setting, perhaps: the number of buckets is kept beside the table.
+        n = spark.read.parquet(f"{path}-buckets").first()["n"]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({column}) SORTED BY ({column}) INTO {n} BUCKETS")
+    else:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.range(1).selectExpr(f"{n} AS n").write.mode("overwrite").parquet(f"{path}-buckets")
+        df.repartition(n, column).write.mode("overwrite").format("parquet").bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

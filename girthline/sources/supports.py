@@ -27,17 +27,25 @@ def prepare_output(spark: SparkSession, path: str, overwrite: bool = False) -> N
     fs.mkdirs(p)
 
 
-def write_classes(supports: DataFrame, path: str, overwrite: bool = False) -> list[str]:
+def write_classes(supports: DataFrame, path: str, overwrite: bool = False, rows: int = 1_000_000) -> list[str]:
     """Writes a_<a>_b_<b>.csv for each class, and gives the names.
 
-    All files are written under a hidden folder first and then renamed, so a failed run leaves none of them. Each class
-    is one file by format; rows are in ascending order of ids.
+    All are written under a hidden folder first and then renamed, so a failed run leaves none of them. Tasks take ranges
+    of about `rows` supports in order of class and ids. A class inside one range is one file, by format; a larger one is
+    a folder of that name, whose files follow one another in ascending order of ids.
     """
     spark = supports.sparkSession
     prepare_output(spark, path, overwrite)
     stage = f"{path.rstrip('/')}/.stage-{uuid.uuid4().hex}"
-    rows = supports.select("a", "b", "vs").withColumn("line", as_text(F.col("vs")))
-    rows.repartition("a", "b").sortWithinPartitions("a", "b", "vs").select("a", "b", "line").write.partitionBy("a", "b").text(stage)
+    lines = supports.select("a", "b", "vs").withColumn("line", as_text(F.col("vs")))
+    counts = supports.groupBy("a", "b").count()
+    small = counts.where(F.col("count") <= rows).select("a", "b")
+    ranges = max(1, -(-supports.count() // rows))
+    # Classes that fit into one task go there whole; the others are cut by ids.
+    whole = lines.join(F.broadcast(small), ["a", "b"], "left_semi").repartition(ranges, "a", "b")
+    cut = lines.join(F.broadcast(small), ["a", "b"], "left_anti").repartitionByRange(ranges, "a", "b", "vs")
+    for part in (whole, cut):
+        part.sortWithinPartitions("a", "b", "vs").select("a", "b", "line").write.mode("append").partitionBy("a", "b").text(stage)
     fs, p = file_system(spark, stage)
     Path, names = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
     for fa in fs.listStatus(p):
@@ -47,15 +55,15 @@ def write_classes(supports: DataFrame, path: str, overwrite: bool = False) -> li
             parts = [f.getPath() for f in fs.listStatus(fb.getPath()) if f.getPath().getName().startswith("part-")]
             a, b = (x.getPath().getName().split("=")[1] for x in (fa, fb))
             names.append(f"a_{a}_b_{b}.csv")
-            fs.rename(parts[0], Path(f"{path.rstrip('/')}/{names[-1]}"))
+            fs.rename(parts[0] if len(parts) == 1 else fb.getPath(), Path(f"{path.rstrip('/')}/{names[-1]}"))
     fs.delete(p, True)
     return sorted(names)
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
-    """a, b, vs from a folder of class files; sizes and b come from the file names."""
+    """a, b, vs from a folder of class files; sizes and b come from the names. Files are split among tasks."""
     rows = spark.read.text(f"{path.rstrip('/')}/a_*_b_*.csv").withColumn("file", F.input_file_name())
-    part = lambda k: F.regexp_extract("file", r"a_(\d+)_b_(\d+)\.csv$", k).cast("int")
+    part = lambda k: F.regexp_extract("file", r"a_(\d+)_b_(\d+)\.csv(?:/[^/]*)?$", k).cast("int")
     return rows.where("value <> ''").select(part(1).alias("a"), part(2).alias("b"), F.split("value", ",").cast("array<int>").alias("vs"))
 
 

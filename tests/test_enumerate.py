@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from girthline.operators import accept, expand
 from girthline.operators.cycles import Cycles
 from girthline.plans.bounds import Search, bounds_by_size
-from girthline.plans.enumerate import enumerate_sets
+from girthline.plans.enumerate import Enumeration, enumerate_sets
 from girthline.sources import codes
 from girthline.sources.graph import Tanner, from_edges
 
@@ -149,3 +149,33 @@ def test_empty_cycles(spark):
     g = graph(spark, [(0, 0), (1, 1)])
     assert expand.cycles(Cycles(g.neighbours()), 2).isEmpty()
     assert classes(enumerate_sets(g, 4, 2, [2, 2, 2])) == {}
+
+
+def test_adjacency_is_not_shuffled_again(spark):
+    """The plans of a layer read the adjacency in buckets of the check that they join on."""
+    rng = random.Random(7)
+    g = graph(spark, sorted({(rng.randrange(30), v) for v in range(60) for _ in range(4)}))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = Enumeration(g, Search(4, 4, (0, 0, 6, 6, 6)))
+        parents = e.layer(2).where("b >= 2")
+        for op in (expand.dot(parents, e.adjacency), expand.path(parents, e.adjacency, 2), expand.stems(expand.numbered(parents), e.adjacency, 1)):
+            op.collect()
+            plan = op._jdf.queryExecution().executedPlan().toString()
+            # On the way from a scan of the buckets up to the join on the check there is no exchange.
+            lines, found = plan.split("\n"), []
+            depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+            for i, line in enumerate(lines):
+                if "Bucketed: true" in line:
+                    at, way = depth(line), []
+                    for x in reversed(lines[:i]):
+                        if depth(x) < at:
+                            at = depth(x)
+                            way.append(x)
+                    join = next((k for k, x in enumerate(way) if "Join" in x), None)
+                    if join is not None:
+                        found.append(("pair#" in way[join], any("Exchange" in x for x in way[:join])))
+            assert (False, False) in found and (False, True) not in found, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

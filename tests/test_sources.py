@@ -143,6 +143,18 @@ def test_class_files(spark, tmp_path):
     assert not (tmp_path / "out" / "a_2_b_1.csv").exists()
 
 
+def test_a_class_of_many_files(spark, tmp_path):
+    """A class beyond a task's rows is a folder of files in ascending order; smaller ones stay single files."""
+    rows = [(2, 1, [i, i + 7]) for i in range(500)] + [(3, 0, [1, 2, 10]), (3, 1, [5, 6, 7])]
+    sets, out = spark.createDataFrame(rows, "a int, b int, vs array<int>").repartition(5), tmp_path / "out"
+    assert supports.write_classes(sets, str(out), rows=100) == ["a_2_b_1.csv", "a_3_b_0.csv", "a_3_b_1.csv"]
+    parts = sorted((out / "a_2_b_1.csv").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    assert len(parts) > 3 and text == "".join(f"{i},{i + 7}\n" for i in range(500)) and (out / "a_3_b_0.csv").is_file()
+    got = sorted((r["a"], r["b"], r["vs"]) for r in supports.read_classes(spark, str(out)).collect())
+    assert got == sorted(rows) and not list(out.glob(".stage*"))
+
+
 DEM = """error(0.1) D0 D1 L0
 repeat 2 {
     error[x](0.01) D1 D0 ^ D1 D2  # D1 counts once
