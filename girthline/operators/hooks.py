@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import symmetric_difference
@@ -84,25 +84,36 @@ def separate(graph: Tanner, hz: Tanner, rounds: int, per_round: int, weight: int
     return every.groupBy(F.lit(0).alias("g")).applyInPandas(run, COLUMNS)
 
 
+def hashed(rows: Column) -> Column:
+    """64 bits of a list of different rows; the XOR of two lists' is that of their symmetric difference."""
+    return F.aggregate(rows, F.lit(0).cast("long"), lambda h, r: h.bitwiseXOR(F.xxhash64(r)))
+
+
 def decompose(separated: DataFrame, hx: Tanner, per_round: int) -> DataFrame:
     """hook, parts: the first combination of two or three data columns whose XOR is the hook column; [] for a zero hook.
 
     For each round and row of hx the columns of this round and the one before, on that row's qubits and of type Data,
     are combined; combinations come by row, then size, then column numbers. Every hook must have one.
+
+    Columns are added by a 64-bit sum, the XOR of their rows' hashes, which is that of their symmetric difference; lists
+    are added only where a combination's sum is that of a hook.
     """
     data = separated.where("kind = 'data' AND type = 'Data'").select("new_idx", "round", "hz_idx", "rows")
     hooks = separated.where("kind = 'hook'").select(F.col("new_idx").alias("hook"), "round", F.col("rows").alias("key"))
     spots = hx.edges.select(F.col("c").alias("hx_row"), F.col("v").alias("hz_idx")).distinct()
     near = data.join(spots, "hz_idx").withColumn("window", F.explode(F.array("round", F.col("round") + 1)))
     cut = F.filter("rows", lambda r: (r >= F.col("window") * per_round) & (r < (F.col("window") + 2) * per_round))
-    x = near.select("window", "hx_row", F.col("new_idx").alias("i"), cut.alias("rows"))
-    side = lambda s: x.select("window", "hx_row", F.col("i").alias(f"i{s}"), F.col("rows").alias(f"r{s}"))
-    keys = ["window", "hx_row"]
-    two = side(1).join(side(2), keys).where("i1 < i2").select(*keys, F.array("i1", "i2").alias("parts"), symmetric_difference(F.col("r1"), F.col("r2")).alias("key"))
-    three = side(1).join(side(2), keys).where("i1 < i2").join(side(3), keys).where("i2 < i3").select(*keys, F.array("i1", "i2", "i3").alias("parts"), symmetric_difference(symmetric_difference(F.col("r1"), F.col("r2")), F.col("r3")).alias("key"))
-    all_ = two.unionByName(three).select(F.col("window").alias("round"), "hx_row", "parts", "key")
+    x = near.select("window", "hx_row", F.col("new_idx").alias("i"), cut.alias("rows")).withColumn("sum", hashed(F.col("rows")))
+    side = lambda s: x.select(F.col("window").alias("round"), "hx_row", F.col("i").alias(f"i{s}"), F.col("rows").alias(f"r{s}"), F.col("sum").alias(f"s{s}"))
+    keys, none = ["round", "hx_row"], F.lit(None).cast("int")
+    two = side(1).join(side(2), keys).where("i1 < i2").withColumn("sum", F.col("s1").bitwiseXOR(F.col("s2"))).drop("s1", "s2")
+    three = two.join(side(3), keys).where("i2 < i3").withColumn("sum", F.col("sum").bitwiseXOR(F.col("s3"))).drop("s3")
+    all_ = two.withColumn("i3", none).withColumn("r3", F.array().cast("array<int>")).unionByName(three)
+    of_parts = symmetric_difference(symmetric_difference(F.col("r1"), F.col("r2")), F.col("r3"))
+    parts = F.array_compact(F.array("i1", "i2", "i3")).alias("parts")
+    met = hooks.where(F.size("key") > 0).withColumn("sum", hashed(F.col("key"))).join(all_, ["round", "sum"]).where(of_parts == F.col("key")).select("hook", "hx_row", parts)
     first = Window.partitionBy("hook").orderBy("hx_row", F.size("parts"), "parts")
-    found = hooks.where(F.size("key") > 0).join(all_, ["round", "key"]).withColumn("k", F.row_number().over(first)).where("k = 1").select("hook", "parts")
+    found = met.withColumn("k", F.row_number().over(first)).where("k = 1").select("hook", "parts")
     out = hooks.join(found, "hook", "left").select("hook", F.when(F.size("key") == 0, F.array().cast("array<int>")).otherwise(F.col("parts")).alias("parts"))
     return out.select("hook", F.when(F.col("parts").isNull(), F.raise_error(F.lit("a hook has no decomposition")).cast("array<int>")).otherwise(F.col("parts")).alias("parts"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.arrays import as_text, bin2int, int2bin
+from .functions.arrays import as_text, bin2int, inserted, int2bin, sorted_set, symmetric_difference
 from .operators import accept, expand, hooks, linear
 from .operators.cycles import Cycles
 from .plans.bounds import bounds_by_size
@@ -759,3 +759,111 @@ def memory_classes_72(spark, sf):
     from .plans.pipeline import enumerate_preset
 
     return longs(enumerate_preset(spark, "72", amax=2, bmax=2, rounds=2).counts)
+
+
+#: Data and hook columns from tables: an event is a data column of the round of 24 events that it is in, on 12 detectors a
+#: round; regions are rows of hx, nations qubits. A hook is the sum of the first two columns of a window and row.
+PER_ROUND, ROUND, QUBITS = 12, 24, 9
+
+
+def events_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Data columns in the form of hooks.separate(); the original order is the reverse."""
+    x = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").cast("int").alias("i"), F.col("user_id").cast("int").alias("u"))
+    n = x.count()
+    x = x.withColumn("round", F.expr(f"int(i DIV {ROUND})")).withColumn("at", F.col("round") * PER_ROUND)
+    rows = F.array(F.col("at") + F.col("i") % PER_ROUND, F.col("at") + PER_ROUND + (7 * F.col("i")) % PER_ROUND, F.col("at") + (5 * F.col("i") + F.col("u")) % PER_ROUND)
+    return x.select(F.lit("data").alias("kind"), F.col("i").alias("new_idx"), "round", (F.col("u") % QUBITS).alias("hz_idx"), F.lit("Data").alias("type"), (n - 1 - F.col("i")).alias("orig_idx"), F.array_sort(F.array_distinct(rows)).alias("rows"))
+
+
+def hx_of(spark: SparkSession, sf: str) -> Tanner:
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_regionkey").cast("int").alias("c"), (F.col("n_nationkey") % QUBITS).cast("int").alias("v")).distinct()
+    return graphs.from_edges(rows, 5, QUBITS)
+
+
+def separated_of(spark: SparkSession, sf: str) -> tuple[DataFrame, Tanner]:
+    data, hx = written(events_of(spark, sf), "data"), hx_of(spark, sf)
+    spots = hx.edges.select(F.col("c").alias("row"), F.col("v").alias("hz_idx"))
+    near = data.join(spots, "hz_idx").withColumn("window", F.explode(F.array("round", F.col("round") + 1)))
+    low = F.col("window") * PER_ROUND
+    near = near.withColumn("cut", F.filter("rows", lambda r: (r >= low) & (r < low + 2 * PER_ROUND)))
+    two = near.groupBy("window", "row").agg(F.array_sort(F.collect_list(F.struct("new_idx", "orig_idx", "cut"))).alias("x")).where("size(x) >= 2")
+    key = symmetric_difference(F.col("x")[0]["cut"], F.col("x")[1]["cut"])
+    hook = two.select(F.lit("hook").alias("kind"), (F.col("window") * 5 + F.col("row")).alias("new_idx"), F.col("window").alias("round"), F.lit(None).cast("int").alias("hz_idx"), F.lit(None).cast("string").alias("type"), F.col("x")[0]["new_idx"].alias("orig_idx"), key.alias("rows"))
+    return written(data.unionByName(hook), "separated"), hx
+
+
+_SUM = "list_sort(list_filter({0}, lambda x: NOT list_contains({1}, x)) || list_filter({1}, lambda x: NOT list_contains({0}, x)))"
+HOOKS = f"""d AS (SELECT event_id AS i, event_id // {ROUND} AS r, user_id % {QUBITS} AS j, {PER_ROUND} * (event_id // {ROUND}) AS base, user_id AS u FROM events),
+b AS (SELECT i, r, j, list_sort(list_distinct([base + i % {PER_ROUND}, base + {PER_ROUND} + (7 * i) % {PER_ROUND}, base + (5 * i + u) % {PER_ROUND}])) AS rows FROM d),
+n AS (SELECT r + k AS w, c, i, list_filter(rows, lambda x: x >= (r + k) * {PER_ROUND} AND x < (r + k + 2) * {PER_ROUND}) AS rows
+  FROM b JOIN (SELECT DISTINCT n_regionkey AS c, n_nationkey % {QUBITS} AS v FROM nation) ON v = j, (VALUES (0), (1)) AS t(k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY w, c ORDER BY i) AS k FROM n),
+h AS (SELECT x.w * 5 + x.c AS hook, x.w, x.i AS orig, {_SUM.format("x.rows", "y.rows")} AS key FROM o x JOIN o y ON x.w = y.w AND x.c = y.c AND x.k = 1 AND y.k = 2),
+two AS (SELECT x.w, x.c, [x.i, y.i] AS parts, y.i AS last, {_SUM.format("x.rows", "y.rows")} AS key FROM n x JOIN n y ON x.w = y.w AND x.c = y.c AND x.i < y.i),
+all_ AS (SELECT w, c, parts, key FROM two UNION ALL SELECT two.w, two.c, parts || [z.i], {_SUM.format("two.key", "z.rows")} FROM two JOIN n z ON z.w = two.w AND z.c = two.c AND z.i > two.last),
+s AS (SELECT hook, CASE WHEN len(any_value(h.key)) = 0 THEN [] ELSE first(parts ORDER BY all_.c, len(parts), parts) END AS parts FROM h LEFT JOIN all_ ON all_.w = h.w AND all_.key = h.key GROUP BY hook)"""
+
+
+@query("hook_choices", f"WITH {HOOKS} SELECT hook::BIGINT AS hook, array_to_string(parts, ',') AS parts FROM s")
+def hook_choices(spark, sf):
+    """Each hook's first combination of data columns, of all that have its sum."""
+    sep, hx = separated_of(spark, sf)
+    return longs(hooks.decompose(sep, hx, PER_ROUND).select("hook", as_text(F.col("parts")).alias("parts")))
+
+
+@query(
+    "noise_graph_edges",
+    f"""WITH {HOOKS}, m AS (SELECT count(*) AS n FROM events) SELECT event_id::BIGINT AS c, event_id::BIGINT AS v FROM events UNION ALL SELECT event_id, event_id + n FROM events, m
+    UNION ALL SELECT unnest(parts), 2 * n + k FROM (SELECT parts, row_number() OVER (ORDER BY hook) - 1 AS k FROM s), m""",
+)
+def noise_graph_edges(spark, sf):
+    sep, hx = separated_of(spark, sf)
+    return longs(hooks.noise_graph(sep.where("kind = 'data'").count(), written(hooks.decompose(sep, hx, PER_ROUND), "parts")).edges)
+
+
+@query(
+    "aligned_priors",
+    f"""WITH {HOOKS}, m AS (SELECT count(*) AS n FROM events), p AS (SELECT event_id AS v, (1 + event_id % 5) / 1024.0::DOUBLE AS value FROM events)
+    SELECT v::BIGINT AS v, 0::DOUBLE AS value FROM p UNION ALL SELECT n + (n - 1 - v), value FROM p, m UNION ALL SELECT 2 * n + hook, value FROM h JOIN p ON p.v = orig, m""",
+)
+def aligned_priors(spark, sf):
+    values = event_errors(spark, sf).select(F.col("idx").cast("int").alias("v"), F.col("p").alias("value"))
+    return longs(hooks.aligned_priors(values, separated_of(spark, sf)[0]))
+
+
+@query("aligned_observables", "SELECT event_id % 3 AS c, (SELECT count(*) FROM events) - 1 - event_id AS v FROM events WHERE event_id % 3 < 2")
+def aligned_observables(spark, sf):
+    edges = event_errors(spark, sf).select(F.explode("obs").alias("c"), F.col("idx").alias("v"))
+    return longs(hooks.aligned_observables(graphs.from_edges(edges), events_of(spark, sf)).edges)
+
+
+@query("support_sets", "SELECT l_orderkey::BIGINT AS k, array_to_string(list_sort(list_distinct(list(l_partkey))), ',') AS parts, array_to_string([-1] || list_sort(list_distinct(list(l_partkey))), ',') AS more FROM lineitem GROUP BY 1")
+def support_sets(spark, sf):
+    """Orders' parts as sorted lists without repeats, and with one id inserted."""
+    x = lineitem(spark, sf).groupBy(F.col("l_orderkey").alias("k")).agg(sorted_set(F.collect_list(F.col("l_partkey").cast("int"))).alias("parts"))
+    return longs(x.select("k", as_text(F.col("parts")).alias("parts"), as_text(inserted(F.col("parts"), F.lit(-1))).alias("more")))
+
+
+@query(
+    "code_weights",
+    """WITH x AS (SELECT DISTINCT l_partkey AS c, l_orderkey AS v FROM lineitem), z AS (SELECT DISTINCT l_suppkey AS c, l_orderkey AS v FROM lineitem),
+    n AS (SELECT count(*) AS n, 1 AS row FROM x GROUP BY c UNION ALL SELECT count(*), 1 FROM z GROUP BY c UNION ALL SELECT count(*), 0 FROM x GROUP BY v UNION ALL SELECT count(*), 0 FROM z GROUP BY v)
+    SELECT max(n) FILTER (row = 0) AS most_of_a_column, max(n) FILTER (row = 1) AS most_of_a_row FROM n""",
+)
+def code_weights(spark, sf):
+    """The largest weights in two matrices over the orders, of parts and of suppliers."""
+    side = lambda c: graphs.from_edges(lineitem(spark, sf).select(F.col(c).alias("c"), F.col("l_orderkey").alias("v")).distinct(), 1, 1)
+    column, row = codes.weights(codes.Css(side("l_partkey"), side("l_suppkey")))
+    return spark.createDataFrame([(column, row)], "most_of_a_column long, most_of_a_row long")
+
+
+@query(
+    "bounds_of_degrees",
+    f"""WITH RECURSIVE {E}, {DEG}, g AS (SELECT DISTINCT dv FROM d), b(a, bound) AS (SELECT 6, 4 UNION ALL
+      SELECT a - 1, least(bound + greatest((SELECT max(dv) FROM g WHERE dv <= a - 1), coalesce((SELECT 2 * (a - 1) - min(dv) FROM g WHERE dv > a - 1 AND dv < 10), 0)), (a - 1) * ((SELECT max(dv) FROM g WHERE dv < 10) - 2)) FROM b WHERE a > 2)
+    SELECT a::BIGINT AS a, bound::BIGINT AS bound FROM b UNION ALL SELECT 0, 0 UNION ALL SELECT 1, 0""",
+)
+def bounds_of_degrees(spark, sf):
+    """Bounds on b by size for sets of up to 6 variables and 4 odd checks, from the degrees of G."""
+    degrees = graphs.degree_set(big_graph(spark, sf).edges)
+    return longs(spark.createDataFrame(list(enumerate(bounds_by_size(6, 4, degrees, 4))), "a int, bound int"))

@@ -19,7 +19,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "part"):
+    for t in ("lineitem", "orders", "events", "part", "nation", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
