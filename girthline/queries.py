@@ -867,3 +867,32 @@ def bounds_of_degrees(spark, sf):
     """Bounds on b by size for sets of up to 6 variables and 4 odd checks, from the degrees of G."""
     degrees = graphs.degree_set(big_graph(spark, sf).edges)
     return longs(spark.createDataFrame(list(enumerate(bounds_by_size(6, 4, degrees, 4))), "a int, bound int"))
+
+
+def shortest_sql(edges: str) -> str:
+    """The girth up to 12 as SQL over two columns, -1 beyond: closed walks over checks by different variables."""
+    steps = lambda k: " ".join(f"JOIN s s{i} ON s{i}.x = s{i - 1}.y" for i in range(2, k + 1))
+    differ = lambda k, c: f"len(list_distinct([{', '.join(f's{i}.{c}' for i in range(1, k + 1))}])) = {k}"
+    some = lambda k: f"SELECT {2 * k} AS g FROM s s1 {steps(k)} WHERE s{k}.y = s1.x AND {differ(k, 'x')} AND {differ(k, 'v')}"
+    return f"(WITH e AS ({edges}), s AS (SELECT a.c AS x, a.v, b.c AS y FROM e a JOIN e b ON a.v = b.v AND a.c <> b.c) SELECT coalesce(min(g), -1)::BIGINT FROM ({' UNION ALL '.join(map(some, range(2, 7)))}))"
+
+
+def parts_of(where: str) -> str:
+    return f"SELECT DISTINCT l_partkey AS c, l_orderkey AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {where}"
+
+
+#: Graphs by name: checks c and variables v, as SQL over the tables.
+CUTS = {f"parts of size {k}": parts_of(f"p_size = {k}") for k in (1, 5, 6, 25, 38)} | {"nations of suppliers": "SELECT DISTINCT s_nationkey AS c, s_suppkey AS v FROM supplier"}
+
+
+@query("girth_by_graph", " UNION ALL ".join(f"SELECT '{k}' AS graph, {shortest_sql(v)} AS girth" for k, v in CUTS.items()))
+def girth_by_graph(spark, sf):
+    """Girths of graphs that joins cut out of the tables; -1 without a cycle."""
+
+    def edges(sql: str) -> DataFrame:
+        tables = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("lineitem", "part", "supplier") if f" {n}" in sql}
+        for n in tables:
+            sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
+        return spark.sql(sql, **tables)
+
+    return spark.createDataFrame([(k, codes.girth(graphs.from_edges(edges(sql), 1, 1))) for k, sql in CUTS.items()], "graph string, girth long")
