@@ -32,13 +32,27 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def checked(model: dict) -> dict:
+    """A tokenizer file's content, if it is of the kind that Bpe encodes; anything else would give other ids."""
+    split, bpe = model.get("pre_tokenizer") or {}, model["model"]
+    strange = {
+        "normalizer": model.get("normalizer") is not None,
+        "pre_tokenizer": (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True),
+        "model": bpe.get("type", "BPE") != "BPE" or any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": any(x.get(k) for x in model.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if any(strange.values()):
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(k for k, bad in strange.items() if bad)}")
+    return model
+
+
 class Bpe:
     """An encoder of one tokenizer file's content, with its memory of words and pairs."""
 
     def __init__(self, spec: str):
         import regex
 
-        model = json.loads(spec)
+        model = checked(json.loads(spec))
         chars = byte_chars()
         as_bytes = lambda s: bytes(chars[c] for c in s)
         self.added = {x["content"]: x["id"] for x in model.get("added_tokens", [])}

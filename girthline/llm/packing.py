@@ -151,6 +151,31 @@ def pack(docs: DataFrame, encode: Callable[[str], np.ndarray] = byte_ids, row: i
     return x.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"), "text").mapInArrow(run, schema)
 
 
+def write(packed: DataFrame, path: str) -> DataFrame:
+    """Writes packed rows to <path>/rows, and a row a shard's part to <path>/manifest, and gives the rows read back.
+
+    A row's matrices are binary columns: its ids and positions as little-endian unsigned 32-bit integers, beside the
+    cumulative segment lengths. The manifest has the numbers of rows, tokens and segments, and a sum over the ids' CRCs
+    by which a copy can be checked; it is made from the rows as written. A second run overwrites both.
+    """
+    packed.write.mode("overwrite").parquet(f"{path}/rows")
+    rows = packed.sparkSession.read.schema(packed.schema).parquet(f"{path}/rows")
+    manifest_of(rows).write.mode("overwrite").parquet(f"{path}/manifest")
+    return rows
+
+
+def manifest_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("shard", "part").agg(F.count("*").alias("rows"), F.sum(F.col("n_tokens").cast("long")).alias("tokens"), F.sum(F.size("starts").cast("long")).alias("segments"), F.sum(F.crc32("ids")).alias("crc"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The packed rows of a folder that write() filled, after a check against its manifest."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if not manifest_of(rows).exceptAll(spark.read.parquet(f"{path}/manifest")).isEmpty() or not spark.read.parquet(f"{path}/manifest").exceptAll(manifest_of(rows)).isEmpty():
+        raise ValueError(f"{path}: the rows are not those of the manifest")
+    return rows
+
+
 def unpack(packed: DataFrame) -> DataFrame:
     """doc_id, start, ids of each segment, from packed rows: the inverse of pack() up to joining a document's pieces."""
     seg = packed.select("ids", F.posexplode(F.arrays_zip("doc_ids", "starts")).alias("k", "seg"), "cu_seqlens")

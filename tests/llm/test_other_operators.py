@@ -127,6 +127,18 @@ def test_packing(spark, docs, docs_rows, empty):
     assert packing.pack(empty).count() == 0 and packing.digest(packed).count() == len(rows)
 
 
+def test_packed_rows_written(spark, docs, tmp_path):
+    packed = packing.pack(docs, row=64, shard=3000)
+    want = sorted(map(str, packing.digest(packed).collect()))
+    for _ in range(2):
+        assert sorted(map(str, packing.digest(packing.write(packed, str(tmp_path / "out"))).collect())) == want
+    assert sorted(map(str, packing.digest(packing.read(spark, str(tmp_path / "out"))).collect())) == want
+    assert sorted(map(str, packing.unpack(packing.read(spark, str(tmp_path / "out"))).collect())) == sorted(map(str, packing.unpack(packed).collect()))
+    packed.where("row > 0").write.mode("overwrite").parquet(str(tmp_path / "out" / "rows"))
+    with pytest.raises(ValueError):
+        packing.read(spark, str(tmp_path / "out"))
+
+
 def test_packing_of_any_partitions(spark, docs, monkeypatch):
     """The same rows however the input is split, with one shard and with several."""
     for size in (packing.SHARD_BYTES, 9000):

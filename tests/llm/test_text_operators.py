@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from girthline.llm import bpe, jaccard, langid, lm_scoring, mixing, secrets, syncmers, totals
 from girthline.llm.queries import tokenizer_path
 
+from .conftest import prose
+
 
 def key(i):
     return "" if i is None else str(i)
@@ -438,3 +441,37 @@ def test_syncmers_of_long_texts(spark):
     words = made(300).split()
     rows = [(1, " ".join(words)), (2, " ".join(sorted(words)))]
     assert next(r["near_next"] for r in syncmers.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()) < 0.02
+
+
+@pytest.mark.parametrize("field, value", [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("model", {"type": "WordPiece"}), ("added_tokens", [{"id": 1, "content": "x", "lstrip": True}])])
+def test_bpe_refuses_other_files(field, value):
+    import json
+
+    with open(tokenizer_path()) as f:
+        spec = json.load(f)
+    bpe.checked(spec)
+    with pytest.raises(ValueError, match=field):
+        bpe.checked(spec | {field: value})
+
+
+def test_texts_of_megabytes(spark):
+    """A text of 1.2 million characters in words and a word of as many pass through the operators whole."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    texts = [prose(rng, 150_000), "ab1é" * 300_000, prose(rng, 80)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string, source string")
+    words = [len(t.split()) for t in [*texts, texts[0]]]
+    by_id = lambda df: {r["doc_id"]: r for r in df.collect()}
+    assert [by_id(mixing.mix(docs))[i]["size"] for i in range(4)] == words
+    scored = by_id(lm_scoring.score(docs))
+    assert [scored[i]["n_tokens"] for i in range(4)] == [n + 1 for n in words] and all(np.isfinite(r["score"]) for r in scored.values())
+    linked = by_id(jaccard.classes(docs))
+    low = texts[0].split()
+    assert linked[3]["component_id"] == 0 and linked[0]["n_shingles"] == len({tuple(w.translate({k: k + 32 for k in range(65, 91)}) for w in low[i : i + 5]) for i in range(len(low) - 4)}) and linked[1]["n_shingles"] == 1
+    assert all(r["lang_pred"] == "en" for r in langid.identify(docs).collect())
+    tok, got = Tokenizer.from_file(tokenizer_path()), by_id(bpe.encode(docs, tokenizer_path()))
+    for i in (0, 2):
+        ids = tok.encode(texts[i], add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert got[1]["decoded_sha256"] == hashlib.sha256(texts[1].encode()).hexdigest()
