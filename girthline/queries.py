@@ -140,8 +140,8 @@ def isolated_vars(spark, sf):
 
 @over_graph("csr_graph_roundtrip", f"WITH {E} SELECT c, v FROM e")
 def csr_graph_roundtrip(spark, g):
-    indptr, indices = graphs.to_csr(g)
-    return longs(graphs.from_csr(spark, g.checks, g.variables, indptr, indices).edges)
+    indptr, indices = graphs.csr_tables(g)
+    return longs(graphs.from_csr_tables(written(indptr, "indptr"), written(indices, "indices"), g.checks, g.variables).edges)
 
 
 @query("cycles2_raw", f"WITH {E}, {PAIRS} SELECT v1 || ',' || v2 AS vs, n * (n - 1) AS raw FROM p")

@@ -6,10 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Tanner
+from .graph import Tanner, with_sum_before
 from .scratch import written
 
 ERRORS = "idx long, p double, dets array<int>, obs array<int>"
@@ -101,18 +101,8 @@ def declared(text: str) -> tuple[int, int]:
 
 
 def numbered(df: DataFrame, key: str, name: str, parts: int = 256) -> DataFrame:
-    """`df` with numbers from 0 in ascending order of a numeric column without ties, as ints.
-
-    Quantiles cut the key into ranges; rows are numbered within each, after those of the ranges before. So no task sees
-    all rows, only the at most `parts` counts are added up in one.
-    """
-    edges = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts).alias("q")).first()["q"] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col(key))) if edges else F.lit(0)
-    x = written(df.withColumn("_part", part), "numbered")
-    counts = x.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
-    before = counts.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return x.withColumn("_k", place).join(before, F.col("_part") == F.col("_of")).withColumn(name, (F.col("_k") + F.col("_before")).cast("int")).drop("_part", "_of", "_k", "_before")
+    """`df` with numbers from 0 in ascending order of a numeric column without ties, as ints."""
+    return with_sum_before(df, key, F.lit(1), name, parts).withColumn(name, F.col(name).cast("int"))
 
 
 def merged(errors: DataFrame, combine: str = "sum") -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import signature
+from .scratch import written
 
 
 #: Edges of a check from which on a search keeps it apart.
@@ -113,7 +114,55 @@ def from_edges(edges: DataFrame, checks: int | None = None, variables: int | Non
     return Tanner(edges, checks, variables)
 
 
+#: Edges that the driver takes as arrays.
+MOST_EDGES = 50_000_000
+
+
 def to_csr(graph: Tanner) -> tuple[np.ndarray, np.ndarray]:
-    """indptr and indices on the driver, for matrices of that size."""
+    """indptr and indices on the driver, for matrices that its callers hold there; csr_tables() is for larger ones."""
+    if graph.edges.count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges: use csr_tables")
     rows = graph.edges.toPandas().sort_values(["c", "v"])
     return np.concatenate([[0], np.cumsum(np.bincount(rows["c"], minlength=graph.checks))]), rows["v"].to_numpy()
+
+
+def with_sum_before(df: DataFrame, key: str, value: Column, name: str, parts: int = 256) -> DataFrame:
+    """`df` with the sum of `value` over the rows before, in ascending order of a numeric column without ties.
+
+    Quantiles cut the key into ranges; each is summed up by itself, after the sum of those before. So no task sees all
+    rows, and only at most `parts` sums are added up in one.
+    """
+    edges = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts).alias("q")).first()["q"] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col(key))) if edges else F.lit(0)
+    x = written(df.withColumn("_value", value.cast("long")).withColumn("_part", part), "ranges")
+    sums = x.groupBy(F.col("_part").alias("_of")).agg(F.sum("_value").alias("_n"))
+    before = sums.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy("_part").orderBy(key)) - F.col("_value")
+    return x.withColumn("_k", inside).join(before, F.col("_part") == F.col("_of")).withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_of", "_k", "_before", "_value")
+
+
+def csr_tables(graph: Tanner) -> tuple[DataFrame, DataFrame]:
+    """Compressed rows as tables: indptr (k, ptr) with a row a check and one more, and indices (pos, v)."""
+    spark = graph.edges.sparkSession
+    degree = spark.range(graph.checks).select(F.col("id").cast("int").alias("k")).join(check_degrees(graph.edges), F.col("k") == F.col("c"), "left").select("k", F.coalesce("dc", F.lit(0)).alias("dc"))
+    starts = written(with_sum_before(degree, "k", F.col("dc"), "ptr").select("k", "ptr"), "indptr")
+    end = graph.edges.agg(F.count("*").alias("ptr")).select(F.lit(graph.checks).alias("k"), "ptr")
+    place = F.row_number().over(Window.partitionBy("c").orderBy("v")) - 1
+    indices = graph.edges.withColumn("at", place).join(starts, F.col("c") == F.col("k")).select((F.col("ptr") + F.col("at")).alias("pos"), "v")
+    return starts.unionByName(end), indices
+
+
+def from_csr_tables(indptr: DataFrame, indices: DataFrame, checks: int, variables: int) -> Tanner:
+    """A graph from csr_tables(), after the checks that malformed arrays fail. Positions meet their check by equality."""
+    if checks < 0 or variables < 0:
+        raise ValueError("negative dimension")
+    ends = indptr.select((F.col("k") - 1).alias("k"), F.col("ptr").alias("to"))
+    rows = indptr.where(F.col("k") < checks).join(ends, "k", "left")
+    facts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("to").isNull()).alias("open"), F.count_if(F.col("to") < F.col("ptr")).alias("falls"), F.min(F.when(F.col("k") == 0, F.col("ptr"))).alias("first"), F.max("to").alias("last")).first()
+    ids = indices.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if indptr.count() != checks + 1 or facts["n"] != checks or facts["open"] or facts["falls"] or (checks and (facts["first"] != 0 or facts["last"] != ids["n"])):
+        raise ValueError("indptr must have one entry more than there are checks, begin with 0, not decrease, and end with the number of indices")
+    if ids["n"] and (ids["lo"] < 0 or ids["hi"] >= variables):
+        raise ValueError("variable id out of range")
+    at = rows.where(F.col("to") > F.col("ptr")).select(F.col("k").alias("c"), F.explode(F.sequence("ptr", F.col("to") - 1)).alias("pos"))
+    return Tanner(at.join(indices, "pos").select("c", F.col("v").cast("int").alias("v")), checks, variables)

@@ -25,6 +25,27 @@ def test_csr_validation(spark):
             graph.from_csr(spark, *bad)
 
 
+def test_csr_tables(spark, monkeypatch):
+    """The same compressed rows as tables and as arrays, isolated checks and parallel edges included."""
+    rows = [(5, 1), (0, 3), (0, 0), (5, 0), (2, 2), (2, 2), (0, 9)]
+    g = graph.Tanner(spark.createDataFrame(rows, "c int, v int").repartition(3), 8, 10)
+    indptr, indices = graph.csr_tables(g)
+    ptr, ind = graph.to_csr(g)
+    assert [r["ptr"] for r in indptr.orderBy("k").collect()] == ptr.tolist() == [0, 3, 3, 5, 5, 5, 7, 7, 7]
+    assert [r["v"] for r in indices.orderBy("pos").collect()] == ind.tolist()
+    back = graph.from_csr_tables(indptr, indices, 8, 10)
+    assert sorted(map(tuple, back.edges.collect())) == sorted(rows) and (back.checks, back.variables) == (8, 10)
+    bad = [(indptr, 9, 10), (indptr, 7, 10), (indptr, 8, 9), (indptr.where("k <> 3"), 8, 10), (indptr.selectExpr("k", "IF(k = 4, 1L, ptr) AS ptr"), 8, 10), (indptr.selectExpr("k", "ptr + 1 AS ptr"), 8, 10)]
+    for table, checks, variables in bad:
+        with pytest.raises(ValueError):
+            graph.from_csr_tables(table, indices, checks, variables)
+    empty = graph.Tanner(g.edges.where("c < 0"), 0, 0)
+    assert graph.from_csr_tables(*graph.csr_tables(empty), 0, 0).edges.isEmpty()
+    monkeypatch.setattr(graph, "MOST_EDGES", 3)
+    with pytest.raises(ValueError):
+        graph.to_csr(g)
+
+
 @pytest.mark.parametrize(
     "make,size",
     [
