@@ -38,6 +38,9 @@ SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 6000
 #: Alphabets of the made random strings: hexadecimal, base 36 in both cases, base 62, and base 64 in both forms.
 ALPHABETS = tuple(RUN_CHARS[a:b] + more for a, b, more in ((52, 62, "abcdef"), (26, 62, ""), (0, 26, "0123456789"), (0, 62, ""), (0, 64, ""), (0, 62, "-_")))
 MASK = "[SECRET]"
+#: The rows of a keyboard, alone and one after another; and identifiers that are random by design, but public.
+KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertyuiopasdfghjkl", "asdfghjklzxcvbnm", "qwertyuiopasdfghjklzxcvbnm", "1234567890qwertyuiop")
+PUBLIC = "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def running(steps: Column, block: int = 256) -> Column:
@@ -99,17 +102,26 @@ def made_strings(spark: SparkSession, n: int, salt: str = "random") -> DataFrame
 def labelled_sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_random: int = SAMPLE_RANDOM) -> DataFrame:
     """(string, random): made random strings, and runs of 6 and more characters from about `most_docs` documents, without
     those that the fixed patterns take. The runs count once as they are and once in upper case, which is as ordinary; so are
-    numbers, of which some are made, and identifiers, which are three words of a document joined in one of six ways."""
+    numbers, dates and times, of which some are made, rows of keys, and identifiers, which are three words of a document
+    joined in one of twelve ways, some with acronyms, versions and numbers."""
     n = max(1, docs.count())
     picked = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int(min(1.0, most_docs / n) * (1 << 30))))
     clean = picked.select(F.regexp_replace("text", TAKEN, " ").alias("text"))
     runs = clean.select(F.explode(F.regexp_extract_all("text", F.lit(RUN + "{6,}"), 0)).alias("run"))
     words = clean.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), 0).alias("w")).where("size(w) >= 3")
     one, cap = lambda i, k: F.lower(F.get("w", 3 * i + k)), lambda i, k: F.initcap(F.get("w", 3 * i + k))
-    ways = lambda i: F.array(F.concat(one(i, 0), cap(i, 1), cap(i, 2)), F.concat(cap(i, 0), cap(i, 1), cap(i, 2)), *(F.concat_ws(c, one(i, 0), one(i, 1), one(i, 2)) for c in "_-/"), F.upper(F.concat_ws("_", one(i, 0), one(i, 1), one(i, 2))))
-    joined = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), lambda i: F.get(ways(i), i % 6))).alias("string"))
+    digits = lambda i, k, most: F.pmod(F.xxhash64(F.lit(k), one(i, 0), i), F.lit(most)).cast("string")
+    short = lambda i, k: F.upper(F.substring(F.get("w", 3 * i + k), F.lit(1), F.lit(2) + i % 3))
+    technical = lambda i: (F.concat(short(i, 0), cap(i, 1), cap(i, 2)), F.concat(cap(i, 0), short(i, 1), cap(i, 2)), F.concat(one(i, 0), digits(i, 1, 10000), F.lit("_"), one(i, 1), digits(i, 2, 100)), F.concat_ws("_", one(i, 0), digits(i, 3, 20), digits(i, 4, 40), digits(i, 5, 300)), F.concat_ws("-", one(i, 0), one(i, 1), F.concat(F.lit("v"), digits(i, 6, 30)), digits(i, 7, 2100)), F.concat_ws("-", short(i, 0), digits(i, 8, 1000000)))
+    ways = lambda i: F.array(*technical(i), F.concat(one(i, 0), cap(i, 1), cap(i, 2)), F.concat(cap(i, 0), cap(i, 1), cap(i, 2)), *(F.concat_ws(c, one(i, 0), one(i, 1), one(i, 2)) for c in "_-/"), F.upper(F.concat_ws("_", one(i, 0), one(i, 1), one(i, 2))))
+    joined = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), lambda i: F.get(ways(i), i % 12))).alias("string"))
     number = F.substring(F.concat(*(F.pmod(F.xxhash64(F.lit("number"), "id", F.lit(k)), F.lit(10**10)).cast("string") for k in (1, 2))), F.lit(1), F.lit(6) + (F.col("id") % 14).cast("int"))
     numbers = docs.sparkSession.range(most_random // 3).select(number.alias("string"))
+    when = F.timestamp_seconds(F.pmod(F.xxhash64(F.lit("time"), "id"), F.lit(2**31)))
+    forms = F.array(*(F.date_format(when, f) for f in ("yyyy-MM-dd", "yyyy-MM-dd'T'HH", "yyyyMMdd'T'HHmmss'Z'", "yyyyMMdd_HHmmss")))
+    times = docs.sparkSession.range(most_random // 3).select(F.get(forms, (F.col("id") % 4).cast("int")).alias("string"))
+    keys = docs.sparkSession.range(30).select(F.explode(F.array(*(F.lit(f(k)) for k in KEYS for f in (str, str.upper)))).alias("string"))
+    numbers = numbers.unionByName(times).unionByName(keys)
     ordinary = runs.select(F.explode(F.array("run", F.upper("run"))).alias("string")).unionByName(joined).unionByName(numbers)
     return made_strings(docs.sparkSession, most_random).select("string", F.lit(True).alias("random")).unionByName(ordinary.withColumn("random", F.lit(False)))
 
@@ -162,7 +174,8 @@ def judged(runs: Column, model: Model) -> Column:
         found = F.filter(spans(x["secret"], len(KINDS), f"{PART}{{{RUN_LEAST},}}", 0, RUN_LEAST), good)
         return F.transform(found, lambda p: F.struct((p["start"] + x["start"]).alias("start"), p["kind"].alias("kind"), (p["end"] + x["start"]).alias("end"), p["secret"].alias("secret")))
 
-    return F.flatten(F.transform(runs, lambda x: F.when(good(x), F.array(x)).when(x["secret"].rlike(SEPARATORS), parts(x)).otherwise(none_())))
+    public = lambda x: (F.length(x["secret"]) == 36) & F.rlike(x["secret"], F.lit(PUBLIC))
+    return F.flatten(F.transform(runs, lambda x: F.when(public(x), none_()).when(good(x), F.array(x)).when(x["secret"].rlike(SEPARATORS), parts(x)).otherwise(none_())))
 
 
 def scan(docs: DataFrame, model: Model, base: str, every: str) -> DataFrame:

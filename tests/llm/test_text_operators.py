@@ -167,6 +167,32 @@ def test_secrets_planted(spark):
     assert secrets.find(table, model).where("n_markov > 0").count() <= 3
 
 
+def test_secrets_and_technical_strings(spark):
+    """Names, paths, dates, versions and identifiers of words that the model never saw are left alone but for a few in a
+    hundred; random strings are found, of 8 to 11 characters a little less often."""
+    rng = random.Random(77)
+    words = "kubernetes ingress class deployment buffer stream factory request handler config parser server client socket thread pool cache index query table column schema driver module package version release branch commit merge".split()
+    w, d = (lambda: rng.choice(words)), (lambda a, b: str(rng.randint(a, b)))
+    kinds = [
+        lambda: f"{rng.choice(['XML', 'HTTP', 'JSON', 'URL', 'DB', 'API'])}{w().title()}{w().title()}{w().title()}", lambda: f"{w()}_{w()}_{d(0, 30)}_{d(0, 30)}", lambda: f"{w()}-{w()}-v{d(0, 9)}",
+        lambda: f"20{d(10, 29)}-{d(10, 12)}-{d(10, 28)}T{d(10, 23)}", lambda: f"{w()}{d(1, 9999)}", lambda: f"src/{w()}/{w()}/{w()}_{w()}", lambda: f"{w().upper()}_{w().upper()}_{d(1, 99)}", lambda: f"lib{w()}_so_{d(0, 9)}_{d(0, 30)}",
+        lambda: "-".join("".join(rng.choices("0123456789abcdef", k=n)) for n in (8, 4, 4, 4, 12)), lambda: f"iso{d(1000, 9999)}-{d(1, 15)}_{w()}", lambda: f"rgba_{d(0, 255)}_{d(0, 255)}_{d(100, 255)}", lambda: f"20{d(10, 29)}{d(10, 12)}{d(10, 28)}_{d(100000, 235959)}",
+    ]
+    ordinary = [k() for _ in range(50) for k in kinds]
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    made = {(lo, hi): ["".join(rng.choices(a, k=rng.randint(lo, hi))) for a in alphabets for _ in range(80)] for lo, hi in ((8, 11), (12, 15), (16, 31))}
+    texts = ordinary + [x for xs in made.values() for x in xs]
+    model = secrets.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = {r["doc_id"]: r["n_markov"] > 0 for r in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), model).collect()}
+    flagged = [x for i, x in enumerate(ordinary) if got[i]]
+    assert len(flagged) <= 0.05 * len(ordinary), flagged
+    at, found = len(ordinary), {}
+    for size, xs in made.items():
+        found[size] = sum(got[at + i] for i in range(len(xs))) / len(xs)
+        at += len(xs)
+    assert found[8, 11] >= 0.85 and found[12, 15] >= 0.95 and found[16, 31] >= 0.99, found
+
+
 def test_secrets_beside_others(spark):
     """A random string in the same run as one of the patterns' matches is found, and each is masked."""
     model = secrets.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
