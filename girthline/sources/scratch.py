@@ -43,6 +43,10 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     return back
 
 
+#: Rows of a bucket, about, until there are as many buckets as shuffles have partitions.
+BUCKET_ROWS = 50_000
+
+
 def bucketed(df: DataFrame, path: str, column: str) -> DataFrame:
     """`df` as a table of buckets of `column` at a path, written unless it is there to its end, so that joins on the
     column need not shuffle it again. The session knows it by a name of its own."""
@@ -53,7 +57,7 @@ def bucketed(df: DataFrame, path: str, column: str) -> DataFrame:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({column}) SORTED BY ({column}) INTO {n} BUCKETS")
     else:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + df.count() // BUCKET_ROWS)
         spark.range(1).selectExpr(f"{n} AS n").write.mode("overwrite").parquet(f"{path}-buckets")
         df.repartition(n, column).write.mode("overwrite").format("parquet").bucketBy(n, column).sortBy(column).option("path", path).saveAsTable(name)
     return spark.table(name)

@@ -34,7 +34,9 @@ def run(spark: SparkSession, input: str, output: str, checkpoint: str, settings:
     s = {**DEFAULTS, **settings}
     output = output.rstrip("/")
     edges = spark.read.parquet(input).select(F.col(s["check"]).cast("int").alias("c"), F.col(s["variable"]).cast("int").alias("v")).dropna()
-    graph = from_edges(edges.distinct() if s["distinct"] else edges)
+    # Written once: the search and its name read the edges several times.
+    (edges.distinct() if s["distinct"] else edges).write.mode("overwrite").parquet(f"{checkpoint.rstrip('/')}/edges")
+    graph = from_edges(spark.read.schema("c int, v int").parquet(f"{checkpoint.rstrip('/')}/edges"))
     log.info("%d checks and %d variables at most in %s", graph.checks, graph.variables, input)
     degrees = [] if s["bounds"] else degree_set(graph.edges)
     bounds = s["bounds"] or bounds_by_size(s["amax"], s["bmax"], degrees, s["girth"])

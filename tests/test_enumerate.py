@@ -10,7 +10,7 @@ from girthline.operators import accept, expand
 from girthline.operators.cycles import Cycles
 from girthline.plans.bounds import Search, bounds_by_size
 from girthline.plans.enumerate import Enumeration, enumerate_sets
-from girthline.sources import codes
+from girthline.sources import codes, scratch
 from girthline.sources.graph import Tanner, from_edges
 
 TOYS = {
@@ -151,8 +151,9 @@ def test_empty_cycles(spark):
     assert classes(enumerate_sets(g, 4, 2, [2, 2, 2])) == {}
 
 
-def test_adjacency_is_not_shuffled_again(spark):
+def test_adjacency_is_not_shuffled_again(spark, monkeypatch):
     """The plans of a layer read the adjacency in buckets of the check that they join on."""
+    monkeypatch.setattr(scratch, "BUCKET_ROWS", 20)
     rng = random.Random(7)
     g = graph(spark, sorted({(rng.randrange(30), v) for v in range(60) for _ in range(4)}))
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
