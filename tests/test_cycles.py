@@ -88,3 +88,18 @@ def test_parts_of_a_heavy_middle(spark, monkeypatch):
 def test_girth_of_a_ring(spark, k):
     ring = [(i, i) for i in range(k)] + [(i, (i + 1) % k) for i in range(k)] + [(k + i, i) for i in range(k)]
     assert codes.girth(from_edges(spark.createDataFrame(ring, "c int, v int"))) == 2 * k
+
+
+@pytest.mark.parametrize("copies", [0, 8])
+def test_only_half_paths_that_meet_become_rows(spark, copies, monkeypatch):
+    """Sparse graphs have far more half paths than meet; starts and lists beyond a block are dealt out, with the same cycles."""
+    rng = random.Random(3)
+    edges = sorted({(rng.randrange(300), rng.randrange(400)) for _ in range(1100)})
+    edges += rng.choices(edges, k=copies)
+    found = Cycles(Tanner(spark.createDataFrame(edges, "c int, v int"), 300, 400).edges)
+    met, every = found.meeting(3).select("u", "p1", "p2").count(), found.half(3).count()
+    assert met < every / 2
+    assert found.counted(3).count() == len(walked(edges, 3))
+    monkeypatch.setattr(module, "BLOCK", 50)
+    monkeypatch.setattr(module, "LONG", 3)
+    assert counted(spark, edges, 3) == walked(edges, 3)
