@@ -155,6 +155,33 @@ def test_alist(spark, tmp_path):
         alist.read(spark, str(path))
 
 
+def test_alist_of_many_files_and_splits(spark, tmp_path, monkeypatch):
+    """Files follow one another by name and are read in splits; long degree lines are made in pieces and read as numbers."""
+    monkeypatch.setattr(alist, "PIECE", 30)
+    monkeypatch.setattr(alist, "NUMBERS", 7)
+    rng = random.Random(4)
+    edges = sorted({(rng.randrange(150), rng.randrange(400)) for _ in range(1200)})
+    g = graph.from_edges(spark.createDataFrame(edges, "c int, v int"), 151, 401)
+    alist.write(g, str(tmp_path / "many"), rows=50)
+    parts = sorted((tmp_path / "many").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    assert len(parts) > 5 and text.splitlines() == [r["line"] for r in alist.as_lines(g).orderBy("no").collect()]
+    (tmp_path / "one.alist").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for name in ("many", "one.alist"):
+            back = alist.read(spark, str(tmp_path / name))
+            assert edge_set(back.edges) == set(edges) and (back.checks, back.variables) == (151, 401)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wrong = text.splitlines()
+    degrees = wrong[2].split(" ")
+    wrong[2] = " ".join([str(int(degrees[0]) + 1), *degrees[1:]])
+    (tmp_path / "one.alist").write_text("\n".join(wrong))
+    with pytest.raises(ValueError):
+        alist.read(spark, str(tmp_path / "one.alist"))
+
+
 def test_class_files(spark, tmp_path):
     rows = [(2, 1, [3, 4], "leafless"), (2, 1, [0, 9], "leafy"), (3, 0, [1, 2, 10], "leafless")]
     sets = spark.createDataFrame(rows, "a int, b int, vs array<int>, kind string")
