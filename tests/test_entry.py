@@ -64,3 +64,13 @@ def test_entry_without_optional_packages(tmp_path):
     (tmp_path / "xxhash.py").write_text("raise ImportError('no xxhash here', name='xxhash')\n")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'class_counts_a2' in q and 'op1_lm_scoring' not in q"
     subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"}, check=True, timeout=60)
+
+
+@pytest.mark.parametrize("name", ["lollipop_d1", "lollipop_d2", "lollipop_d3"])
+def test_cycles_of_a_lollipop_are_made_once(spark, monkeypatch, name):
+    """Parents and the cycles at the end come from one search."""
+    made = []
+    monkeypatch.setattr(queries, "Cycles", lambda *a, f=queries.Cycles: made.append(1) or f(*a))
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey <= 100").selectExpr("int(l_partkey % 41) AS c", "int(l_orderkey) AS v").distinct()
+    queries.OVER_GRAPH[name](spark, Tanner(rows, 41, 101))
+    assert made == [1]
