@@ -103,3 +103,19 @@ def test_only_half_paths_that_meet_become_rows(spark, copies, monkeypatch):
     monkeypatch.setattr(module, "BLOCK", 50)
     monkeypatch.setattr(module, "LONG", 3)
     assert counted(spark, edges, 3) == walked(edges, 3)
+
+
+def test_pairs_where_variables_have_few_checks(spark, monkeypatch):
+    # Pairs of checks that two, three and four variables join, and one joined by most of them.
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(7), rng.randrange(24)) for _ in range(80)} | {(c, v) for c in (0, 1) for v in range(12)})
+    found = Cycles(Tanner(spark.createDataFrame(edges, "c int, v int"), 100, 100).edges)
+    with monkeypatch.context() as m:
+        # Neither degrees of both sides nor half paths are needed.
+        m.setattr(module, "ranked", lambda edges: pytest.fail("degrees were looked up"))
+        sets = {tuple(r["vs"]): (r["checks"], r["n"]) for r in found.sets(2).collect()}
+    assert {k: n for k, (_, n) in sets.items()} == walked(edges, 2)
+    assert all(sorted(cs) == sorted(c for c, v in edges if v in vs) for vs, (cs, _) in sets.items())
+    monkeypatch.setattr(module, "PAIRS", 0)
+    found = Cycles(Tanner(spark.createDataFrame(edges, "c int, v int"), 100, 100).edges)
+    assert {tuple(r["vs"]): (r["checks"], r["n"]) for r in found.sets(2).collect()} == sets
