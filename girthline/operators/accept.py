@@ -26,9 +26,12 @@ def judged(sets: DataFrame, bound: int) -> DataFrame:
     return sets.withColumn("reject_reason", reason)
 
 
-def induced_stats(supports: DataFrame, edges: DataFrame) -> DataFrame:
-    """vs with b and elementary, by exploding and joining edges: for supports whose checks aren't at hand."""
-    degree = supports.select("vs").distinct().withColumn("v", F.explode("vs")).join(edges, "v").groupBy("vs", "c").agg(F.count("*").alias("d"))
+def induced_stats(supports: DataFrame, graph: DataFrame) -> DataFrame:
+    """vs with b and elementary, by joining the graph's edges (c, v), or neighbours (v, cs), which are rows of a variable
+    and so fewer to move: for supports whose checks aren't at hand."""
+    x = supports.select("vs").distinct().withColumn("v", F.explode("vs")).join(graph, "v")
+    x = x.select("vs", F.explode("cs").alias("c")) if "cs" in graph.columns else x
+    degree = x.groupBy("vs", "c").agg(F.count("*").alias("d"))
     return degree.groupBy("vs").agg((F.max("d") <= 2).alias("elementary"), F.count_if(F.col("d") % 2 == 1).alias("b"))
 
 
