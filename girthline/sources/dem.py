@@ -6,13 +6,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import Tanner, with_sum_before
 from .scratch import written
 
 ERRORS = "idx long, p double, dets array<int>, obs array<int>"
+#: Line ends that only Python knows, lines on which others depend, and errors.
+ENDS, SPACE = r"[\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]", r"(?iU)^[\s\x1f]*"
+SEQUENTIAL, ERROR = SPACE + r"(\}|repeat(?!\w)|shift_detectors(?!\w))", SPACE + r"error(?!\w)"
 LINE = re.compile(r"^\s*(\w+)(?:\[[^\]]*\])?(?:\(([^)]*)\))?\s*([^#{]*)")
 
 
@@ -60,8 +63,27 @@ def parse(text: str) -> Iterator[tuple[int, float, list[int], list[int]]]:
             k += 1
 
 
+def texts(spark: SparkSession, path: str) -> tuple[bool, DataFrame]:
+    """Whether a model, a file or a folder of ordered files, has no blocks and shifts, and its value: then its lines,
+    of which none depends on another, with file and split; else the whole file, as repeat blocks are sequential."""
+    x = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.explode(F.split("value", ENDS)).alias("value"))
+    if x.where(F.col("value").rlike(SEQUENTIAL)).isEmpty():
+        return True, x
+    whole = spark.read.text(path, wholetext=True)
+    if len(whole.inputFiles()) > 1:
+        raise ValueError("a model with blocks or shifts must be one file")
+    return False, whole
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Errors of a model file: idx, p, dets, obs. A file is parsed by one task, as repeat blocks are sequential."""
+    """Errors of a model file, or of a folder of files that follow one another by name: idx, p, dets, obs. It is read in
+    splits; only a file with blocks or shifts is parsed by one task."""
+    apart, x = texts(spark, path)
+
+    def one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *row[1:]) for k, row in zip(b["idx"], parse("\n".join(b["value"])), strict=True)]
+            yield pd.DataFrame(rows, columns=["idx", "p", "dets", "obs"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -74,17 +96,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=["idx", "p", "dets", "obs"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, ERRORS)
+    if not apart:
+        return x.mapInPandas(run, ERRORS)
+    x = written(x.where(F.col("value").rlike(ERROR)).withColumn("id", F.monotonically_increasing_id()), "model")
+    # Ids are consecutive inside a split.
+    splits = x.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = splits.withColumn("before", F.sum("n").over(Window.orderBy("file", "split")) - F.col("n")).drop("n")
+    x = x.join(F.broadcast(before), ["file", "split"]).select((F.col("id") - F.col("first") + F.col("before")).alias("idx"), "value")
+    return x.mapInPandas(one_by_one, ERRORS)
 
 
 def declared_in(spark: SparkSession, path: str) -> tuple[int, int]:
-    """declared() of a model file."""
+    """declared() of a model."""
+    apart, x = texts(spark, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([declared(t) for t in b["value"]], columns=["d", "o"])
+            yield pd.DataFrame([declared(t) for t in (["\n".join(b["value"])] if apart else b["value"])], columns=["d", "o"])
 
-    found = spark.read.text(path, wholetext=True).mapInPandas(run, "d int, o int").agg(F.max("d"), F.max("o")).first()
+    found = x.select("value").mapInPandas(run, "d int, o int").agg(F.max("d"), F.max("o")).first()
     return found[0] or 0, found[1] or 0
 
 
@@ -113,7 +143,8 @@ def merged(errors: DataFrame, combine: str = "sum") -> DataFrame:
     p = F.sum("p") if combine == "sum" else (1 - F.product(1 - 2 * F.col("p"))) / 2
     x = errors.select("idx", "p", F.array_sort(F.array_distinct("dets")).alias("dets"), F.array_sort(F.array_distinct("obs")).alias("obs"))
     x = x.groupBy("dets", "obs").agg(p.alias("p"), F.min("idx").alias("first"))
-    return numbered(x, "first", "v").select("v", "p", "dets", "obs")
+    # Numbering reads them more than once.
+    return numbered(written(x, "merged"), "first", "v").select("v", "p", "dets", "obs")
 
 
 def matrices(columns: DataFrame, detectors: int | None = None, observables: int | None = None) -> tuple[Tanner, Tanner, DataFrame]:

@@ -240,6 +240,29 @@ def test_error_model(spark, tmp_path):
     assert got == 4
 
 
+def test_error_model_of_many_files_and_splits(spark, tmp_path, monkeypatch):
+    """Without blocks and shifts a model is read in splits and files follow by name; errors keep their numbers."""
+    text = [f"error({(1 + i % 5) / 16}) D{i % 13} D{i * 7 % 31} L{i % 2}{' # repeat' * (i % 3)}" for i in range(3000)]
+    text[5:5] = ["", "detector(1) D40", "  # error(0.5) D9", "logical_observable L3", "errors D1"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/part-00001").write_text("\n".join(text[1400:]) + "\x0cERROR[x](0.5) D44")
+    (tmp_path / "m/part-00000").write_text("\n".join(text[:1400]) + "\n")
+    (tmp_path / "one").write_text("\n".join(text) + "\nerror(0.5) D44")
+    want = [tuple(x) for x in dem.parse((tmp_path / "one").read_text())]
+    assert len(want) == 3001 and [x[0] for x in want] == list(range(3001))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        for path in ("m", "one"):
+            rows = dem.read(spark, str(tmp_path / path))
+            assert rows.rdd.getNumPartitions() > 5 and [tuple(r) for r in rows.orderBy("idx").collect()] == want
+            assert dem.declared_in(spark, str(tmp_path / path)) == (45, 4)
+        (tmp_path / "m/part-00002").write_text("shift_detectors 1\n")
+        with pytest.raises(ValueError, match="one file"):
+            dem.read(spark, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_stream_of_errors(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
