@@ -10,6 +10,7 @@ from girthline.functions import arrays
 from girthline.operators import accept, expand
 from girthline.operators.cycles import Cycles
 from girthline.sources.graph import Tanner
+from girthline.sources.scratch import written
 
 
 class Plain:
@@ -156,3 +157,21 @@ def test_signatures_spare_lists(spark, monkeypatch):
     assert r["missed"] == 0 and r["overlap"] <= r["looked"] < 0.75 * r["n"]
     monkeypatch.setattr(expand, "apart", lambda a, sig_a, b, sig_b: arrays.disjoint(a, b))
     assert with_them and found(expand.path(parents, g.adjacency(), 3)) == with_them
+
+
+def test_only_stems_that_meet_are_kept(spark, monkeypatch):
+    """A sparse graph has far more stems than meet another of their parent: no others are written or joined."""
+    kept = []
+
+    def seen(df, label="table"):
+        out = written(df, label)
+        kept.append((label, out.count()))
+        return out
+
+    g, parents, sets, plain = setup(spark, graph(7, 60, 90, 210))
+    monkeypatch.setattr(expand, "written", seen)
+    want = collections.Counter(tuple(sorted((*p, *w))) for p in sets for w in plain.walks(p, 2))
+    assert want and found(expand.path(parents, g.adjacency(), 2)) == want
+    (n,) = [n for label, n in kept if label == "meeting"]
+    every = expand.stems(parents.withColumn("pid", F.monotonically_increasing_id()), g.adjacency(), 1).count()
+    assert 0 < n < every / 2
