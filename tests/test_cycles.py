@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from girthline.operators import accept
 from girthline.operators import cycles as module
 from girthline.operators.cycles import Cycles
 from girthline.sources import codes
@@ -119,3 +120,12 @@ def test_pairs_where_variables_have_few_checks(spark, monkeypatch):
     monkeypatch.setattr(module, "PAIRS", 0)
     found = Cycles(Tanner(spark.createDataFrame(edges, "c int, v int"), 100, 100).edges)
     assert {tuple(r["vs"]): (r["checks"], r["n"]) for r in found.sets(2).collect()} == sets
+
+
+def test_induced_degrees_from_lists(spark):
+    edges = [(0, 0), (1, 0), (0, 1), (1, 1), (2, 1), (0, 2), (3, 2)]
+    found = Cycles(Tanner(spark.createDataFrame(edges, "c int, v int"), 4, 3).edges)
+    sets = spark.createDataFrame([([0, 1],), ([0, 1, 2],)], "vs array<int>")
+    want = [([0, 1], True, 1), ([0, 1, 2], False, 3)]
+    for graph in (found.near, spark.createDataFrame(edges, "c int, v int")):
+        assert sorted((r["vs"], r["elementary"], r["b"]) for r in accept.induced_stats(sets, graph).collect()) == want
