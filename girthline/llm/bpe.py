@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import remembered
 from .tokens import portions
 
 #: The split before the merges of byte-level BPE files of this family, and the name they give the split.
@@ -162,7 +163,7 @@ class Bpe:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[str, Bpe] = remembered("bpe", {})
 
 
 def encoder(spec: str, key: str) -> Bpe:

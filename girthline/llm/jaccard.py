@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lean
 from .common import forget, written
 from .tokens import mix, ngrams, word_hashes
 from .totals import MESSAGE, Exchange, bundle, pack, text_size, unbundle, unpack
@@ -70,7 +71,7 @@ def gather(docs: DataFrame, words: int, percent: int) -> DataFrame:
     changes their place in the orders alike for all sets and keeps tokens that could go, so no link depends on it.
     """
     way = Exchange(text_size(docs), KEY_BITS, 1)
-    rows = docs.select("doc_id", "text").mapInArrow(bundle, "unit long, docs binary")
+    rows = docs.select("doc_id", "text").mapInArrow(lean.task(bundle), "unit long, docs binary")
 
     def opened(table: pa.Table) -> tuple[int, pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         number, table = table.column("unit")[0].as_py(), unbundle(table)
@@ -101,8 +102,8 @@ def gather(docs: DataFrame, words: int, percent: int) -> DataFrame:
             tokens[i], dfs[i] = token[own].tobytes(), pack(df[own])
         return pa.table({"doc_id": table.column("doc_id"), "n": pa.array(size), "sig1": pa.array(sums[0].view(np.int64)), "sig2": pa.array(sums[1].view(np.int64)), "tokens": pa.array(tokens, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
 
-    answers = way.totals(rows.groupBy("unit").applyInArrow(send, MESSAGE))
-    return rows.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(assemble, "doc_id long, n long, sig1 long, sig2 long, tokens binary, dfs binary")
+    answers = way.totals(rows.groupBy("unit").applyInArrow(lambda t: lean.group(send, t), MESSAGE))
+    return rows.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(lambda t, a: lean.group(assemble, t, a), "doc_id long, n long, sig1 long, sig2 long, tokens binary, dfs binary")
 
 
 def shrink(tokens: np.ndarray, dfs: np.ndarray) -> bytes:
@@ -158,7 +159,7 @@ def postings(active: DataFrame, k: int, orders: int) -> DataFrame:
             if sum(size):
                 yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(found).view(np.int64)), "node": pa.array(np.repeat(node, size)), "n": pa.array(np.repeat(n, size))})
 
-    return active.select("node", "n", "prefixes").mapInArrow(run, "token long, node long, n long")
+    return active.select("node", "n", "prefixes").mapInArrow(lean.task(run), "token long, node long, n long")
 
 
 def verified(pairs: DataFrame, active: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -183,8 +184,8 @@ def verified(pairs: DataFrame, active: DataFrame, percent: int, orders: int) ->
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     side = lambda s, *cols: active.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in cols))
-    left = pairs.join(side("a", "prefixes"), "a").join(side("b", "prefixes"), "b").mapInArrow(passing, "a long, b long")
-    return left.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b").mapInArrow(run, "a long, b long")
+    left = pairs.join(side("a", "prefixes"), "a").join(side("b", "prefixes"), "b").mapInArrow(lean.task(passing), "a long, b long")
+    return left.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b").mapInArrow(lean.task(run), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -257,7 +258,7 @@ def block_links(lists: DataFrame, active: DataFrame, percent: int, orders: int)
             edges = [(int(node[used[i]]), int(node[used[j]])) for i, j in forest(linked)]
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-    return rows.groupBy("token", "lo", "hi").applyInArrow(run, "a long, b long")
+    return rows.groupBy("token", "lo", "hi").applyInArrow(lambda t: lean.group(run, t), "a long, b long")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -328,6 +329,12 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     Repeated rows get a row each; an empty table gives an empty result; other columns are ignored. A very long text is a
     batch of its own and one large set; whole sets are compared, whatever their size. Ties in the orders go by hashes.
     """
+    with lean.small_batches(docs.sparkSession):
+        return classified(docs, words, percent)
+
+
+def classified(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """classes(), under the caller's settings."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     every = written(gather(rows, words, percent), "sets")
     same = written(every.where("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
@@ -349,7 +356,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("node").filter(keep), b.column("n").filter(keep), pa.array(tokens, pa.binary()), pa.array(firsts, pa.binary())], names=["node", "n", "tokens", "prefixes"])
 
-    active = written(shared.select("node", "n", "copies", "tokens", "dfs").mapInArrow(others, "node long, n long, tokens binary, prefixes binary"), "active")
+    active = written(shared.select("node", "n", "copies", "tokens", "dfs").mapInArrow(lean.task(others), "node long, n long, tokens binary, prefixes binary"), "active")
     # Classes whose first ids are the same row id are one document already.
     comps = components(links(active, percent).unionByName(same.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))))
     found = same.join(comps.select("node", "comp"), "node", "left").select("sig1", "sig2", F.coalesce("comp", "node").alias("component_id"))

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, unused
+from .common import crc_fold
+from .lean import task
 from .tokens import portions
 
 #: n-grams of 1 to 3 characters; so many of each profile and each document.
@@ -108,7 +109,7 @@ def train(labelled: DataFrame, top: int = TOP, sample: int = SAMPLE) -> list[tup
                     yield from rows()
         yield from rows()
 
-    found = picked.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = picked.select("lang", "text").mapInArrow(task(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top)
     return [(r["lang"], r["gram"], r["rank"]) for r in best.select("lang", "gram", "rank").collect()]
@@ -126,12 +127,14 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TO
     number = {name: i for i, name in enumerate(langs)}
     # A row a gram of a profile, by gram: only the languages that have a gram are looked at.
     rows = np.array(sorted((gram, number[lang], rank) for lang, gram, rank in profiles), np.int64).reshape(-1, 3)
+    # As Spark finds a column: by its name, or in any case.
+    text_at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
     known, first, many = np.unique(rows[:, 0], return_index=True, return_counts=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score = [], []
-            for _, texts in portions(batch.column(batch.num_columns - 1), BYTES, GROUP):
+            for _, texts in portions(batch.column(text_at), BYTES, GROUP):
                 doc, gram, n, letters = grams([t or "" for t in texts])
                 doc, gram, rank = ranked(doc, gram, n, top)
                 size, count = len(letters), np.bincount(doc, minlength=len(letters))
@@ -149,12 +152,10 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], top: int = TO
                 ok = (letters > 0) & bool(langs)
                 pred += [langs[b] if k else "und" for b, k in zip(best.tolist(), ok.tolist())]
                 score += np.where(ok, np.clip(1 - far / top, 0, 1), 0.0).tolist()
-            own = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
 
     schema = docs.limit(0).schema.add(names[0], "string").add(names[1], "double")
-    (copy,) = unused(docs, "text")
-    return docs.select("*", F.col("text").alias(copy)).mapInArrow(run, schema)
+    return docs.mapInArrow(task(run), schema)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 
+from .lean import remembered
+
 #: Words whose hash a worker remembers; bounds memory, not results.
 REMEMBER = 200_000
 MIX, ADD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -26,7 +28,7 @@ class Hashes(dict):
         return h
 
 
-_hashes = Hashes()
+_hashes = remembered("words", Hashes())
 
 
 def word_hashes(text: str | bytes | None) -> np.ndarray:
