@@ -59,6 +59,18 @@ def touching(parents: DataFrame, adjacency: DataFrame, least: int) -> DataFrame:
     return x.withColumn("n", within(F.col("cs"), F.col("odd"))).where(F.col("n") >= least).drop("even_sig")
 
 
+def twice_met(parents: DataFrame, near: DataFrame) -> DataFrame:
+    """v, dv, cs, sig of the variables (v, cs) that have two or more edges to odd checks of some parent, for touching().
+
+    Only ids are joined at the checks, and lists fetched for what remains, so no list of checks is shuffled once for each
+    of its checks. Parents are told apart by a hash; two with the same one could only let more variables pass.
+    """
+    ends = parents.select(F.xxhash64("vs").alias("parent"), F.explode("odd").alias("c"))
+    met = ends.join(near.select("v", F.explode("cs").alias("c")), "c").groupBy("parent", "v").agg(F.count("*").alias("n"))
+    kept = written(met.where("n > 1").select("v").distinct(), "met")
+    return near.join(kept, "v", "left_semi").select("v", F.size("cs").alias("dv"), "cs", signature(F.col("cs")).alias("sig"))
+
+
 def in_pairs(rows: DataFrame, column: str, kind) -> DataFrame:
     """Rows with `pair`, each two entries of a sorted list of one kind, equal pairs once."""
     ids = kind(F.col(column))

@@ -175,3 +175,13 @@ def test_only_stems_that_meet_are_kept(spark, monkeypatch):
     (n,) = [n for label, n in kept if label == "meeting"]
     every = expand.stems(parents.withColumn("pid", F.monotonically_increasing_id()), g.adjacency(), 1).count()
     assert 0 < n < every / 2
+
+
+def test_lists_are_fetched_only_for_variables_met_twice(spark):
+    """Of many variables at an odd check only those with a second edge to odd checks of the same parent get their lists."""
+    from girthline.operators import expand
+
+    parents = spark.createDataFrame([([1, 2], [10, 11]), ([3, 4], [12])], "vs array<int>, odd array<int>")
+    near = [(v, [10, 100 + v]) for v in range(20, 60)] + [(5, [10, 11, 12]), (6, [11, 11]), (7, [10, 12]), (8, [])]
+    got = expand.twice_met(parents, spark.createDataFrame(near, "v int, cs array<int>"))
+    assert sorted((r["v"], r["dv"], r["cs"]) for r in got.collect()) == [(5, 3, [10, 11, 12]), (6, 2, [11, 11])]
