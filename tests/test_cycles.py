@@ -129,3 +129,43 @@ def test_induced_degrees_from_lists(spark):
     want = [([0, 1], True, 1), ([0, 1, 2], False, 3)]
     for graph in (found.near, spark.createDataFrame(edges, "c int, v int")):
         assert sorted((r["vs"], r["elementary"], r["b"]) for r in accept.induced_stats(sets, graph).collect()) == want
+
+
+@pytest.mark.parametrize("copies", [0, 8])
+def test_rounds_give_the_same_and_leave_nothing(spark, copies, monkeypatch):
+    """Starts in several rounds; the tables of a round are gone after it, and those of the last size with its count."""
+    from girthline.sources import scratch
+
+    rng = random.Random(3)
+    edges = sorted({(rng.randrange(60), rng.randrange(80)) for _ in range(330)})
+    edges += rng.choices(edges, k=copies)
+    labels, path = [], scratch.fresh_path
+    monkeypatch.setattr(scratch, "fresh_path", lambda s, label: labels.append((label, path(s, label))) or labels[-1][1])
+    monkeypatch.setattr(module, "ROUND", 500)
+    found = Cycles(Tanner(spark.createDataFrame(edges, "c int, v int"), 300, 400).edges, 3)
+    assert {tuple(r["vs"]): r["n"] for r in found.counted(3).collect()} == walked(edges, 3)
+    assert sum(label == "meeting3" for label, _ in labels) > 2
+    assert {label for label, p in labels if scratch.finished(spark, p)} == {"near", "cycles3"}
+
+
+def test_triples_judged_by_degrees(spark):
+    """Triples of which no two share two checks are elementary with b = d - 6; the others are found."""
+    rng = random.Random(9)
+    edges = sorted({(rng.randrange(14), rng.randrange(20)) for _ in range(70)})
+    near = collections.defaultdict(set)
+    for c, v in edges:
+        near[v].add(c)
+    found = Cycles(Tanner(spark.createDataFrame(edges, "c int, v int"), 100, 100).edges)
+    sets = found.counted(3)
+    twice = {tuple(r["vs"]) for r in found.joined_twice(sets, found.counted(2)).collect()}
+    every = {tuple(r["vs"]): r["d"] for r in sets.collect()}
+    assert twice == {t for t in every if any(len(near[t[i]] & near[t[j]]) > 1 for i, j in ((0, 1), (0, 2), (1, 2)))} and 0 < len(twice) < len(every)
+    for t in set(every) - twice:
+        degree = collections.Counter(c for v in t for c in near[v])
+        assert max(degree.values()) == 2 and sum(n == 1 for n in degree.values()) == every[t] - 6
+
+
+def test_negative_names(spark):
+    """A search names checks of many edges negatively; cycles by half paths keep these ids."""
+    edges = [(c, v) for c in (-1, -7) for v in (1, 2, 3)] + [(5, 3), (5, 4), (-1, 4), (-1, 1)]
+    assert counted(spark, edges, 2) == walked(edges, 2) and counted(spark, edges, 3) == walked(edges, 3)

@@ -180,3 +180,23 @@ def test_adjacency_is_not_shuffled_again(spark, monkeypatch):
             assert (False, False) in found and (False, True) not in found, plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_layers_in_parts(spark, monkeypatch):
+    """Sets and leaves that are dealt out give the same sets and counts, and only accepted sets are kept."""
+    from girthline.plans import enumerate as module
+
+    rng = random.Random(5)
+    g = graph(spark, sorted({(rng.randrange(30), v) for v in range(60) for _ in range(rng.randint(1, 4))}))
+    run = lambda: enumerate_sets(g, 4, 4, [0, 0, 5, 3, 3], leaves=True, singletons=True)
+    sets = lambda r: sorted((x["a"], x["b"], x["kind"], tuple(x["vs"])) for x in r.supports.collect())
+    kept, in_rounds = {}, module.in_rounds
+    with monkeypatch.context() as m:
+        m.setattr(module, "in_rounds", lambda parts, label: kept.setdefault(label, in_rounds(parts, label)))
+        whole = run()
+    row = {(r["stage"], r["a"]): r for r in whole.layers}
+    assert kept["leafless3"].count() == row["leafless", 3]["accepted"] < row["leafless", 3]["unique"]
+    monkeypatch.setattr(module, "SETS_AT_ONCE", 7)
+    monkeypatch.setattr(module, "LEAVES_AT_ONCE", 50)
+    parts = run()
+    assert parts.stats == whole.stats and parts.layers == whole.layers and sets(parts) == sets(whole) and identity(whole.stats)

@@ -185,3 +185,16 @@ def test_lists_are_fetched_only_for_variables_met_twice(spark):
     near = [(v, [10, 100 + v]) for v in range(20, 60)] + [(5, [10, 11, 12]), (6, [11, 11]), (7, [10, 12]), (8, [])]
     got = expand.twice_met(parents, spark.createDataFrame(near, "v int, cs array<int>"))
     assert sorted((r["v"], r["dv"], r["cs"]) for r in got.collect()) == [(5, 3, [10, 11, 12]), (6, 2, [11, 11])]
+
+
+@pytest.mark.parametrize("copies", [0, 12])
+def test_leaves_without_lists(spark, copies):
+    """The last leaves carry b and elementary instead of checks; in parts, each child is in one; places are enough."""
+    edges = graph(3, 30, 40, 90, copies)
+    g, pairs, _, _ = setup(spark, edges)
+    parents = pairs.select("vs", "checks", "odd", "even", "b").unionByName(accept.measured(expand.singletons(g.neighbours(), 4)).where("elementary").select("vs", "checks", "odd", "even", "b"))
+    full = accept.measured(accept.merged(expand.dot1(parents, g.adjacency(), 4)))
+    want = {tuple(r["vs"]): (r["b"], r["elementary"], r["raw"]) for r in full.collect()}
+    got = [{tuple(r["vs"]): (r["b"], r["elementary"], r["raw"]) for r in accept.merged(expand.bare_dot1(parents, g.adjacency(), 4, i, 3)).collect()} for i in range(3)]
+    assert want and sum(map(len, got)) == len(want) and got[0] | got[1] | got[2] == want
+    assert expand.leaf_places(parents, g.neighbours(), 4) >= sum(raw for _, _, raw in want.values())
