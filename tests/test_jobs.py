@@ -182,3 +182,19 @@ def test_queries(spark, name):
     cols = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, want))
+
+
+def test_a_finished_search_is_recognised(spark, tmp_path, monkeypatch):
+    """Its sets are counted again and left; other settings, or sets that are gone, are made anew."""
+    source, out, ck = str(tmp_path / "edges"), tmp_path / "out", str(tmp_path / "ck")
+    spark.createDataFrame(EDGES, "c int, v int").write.parquet(source)
+    searched, search_all = [], trapping_sets.enumerate_sets
+    monkeypatch.setattr(trapping_sets, "enumerate_sets", lambda *a, **k: searched.append(1) or search_all(*a, **k))
+    run = lambda **k: sets(trapping_sets.run(spark, source, str(out), ck, {**SEARCH, **k}))
+    first = run()
+    assert run() == first and len(searched) == 1
+    for file in (out / "sets" / "a=3").glob("b=*/*.parquet"):
+        file.unlink()
+    assert run() == first and len(searched) == 2
+    assert len(run(amax=2, bounds=[0, 0, 2])) < len(first) and len(searched) == 3
+    assert run() == first and len(searched) == 4
