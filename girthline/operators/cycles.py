@@ -37,7 +37,7 @@ HEAVY = 2000
 LONG, BLOCK = 4096, 1_000_000
 
 #: Ids of next nodes of a round, about.
-ROUND = 1_000_000_000
+ROUND = 500_000_000
 
 #: Pairs of checks for each edge, and checks of a variable, up to which cycles of two are found by pairs of checks.
 PAIRS, MOST = 32, 4096
